@@ -103,7 +103,7 @@ def matrix_rows(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     return rows.groupBy(*by).agg(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("true_pos", "cells.n"))), lambda r: r["n"]
+            F.sort_array(F.collect_list(F.struct("true_pos", F.col("cells.n").alias("n")))), lambda r: r["n"]
         ).alias("matrix")
     )
 

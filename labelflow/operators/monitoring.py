@@ -31,7 +31,7 @@ def _bucket_name(i: int) -> str:
     return f"le_{i}"
 
 
-def _event_sums(with_buckets: bool, value: str) -> list[Column]:
+def event_sums(with_buckets: bool, value: str) -> list[Column]:
     family = status_class(F.col("http_status"))
     count = lambda c: F.count(F.when(c, 1))
     sums = [
@@ -69,7 +69,7 @@ def request_windows(
         raise ValueError("width must be a multiple of slide")
     base = (
         requests.groupBy(F.window(ts, f"{step} seconds").alias("w"), *by)
-        .agg(*_event_sums(buckets, value))
+        .agg(*event_sums(buckets, value))
         .withColumn("start", F.col("w.start"))
         .drop("w")
     )
@@ -118,7 +118,7 @@ def latency_histogram(
     requests: DataFrame, by: Sequence[str] = (), value: str = "latency_s"
 ) -> DataFrame:
     """(by..., n, latency_sum, cum): cumulative bucket counts over the whole table."""
-    out = requests.groupBy(*by).agg(*_event_sums(True, value))
+    out = requests.groupBy(*by).agg(*event_sums(True, value))
     return cumulative_buckets(out).drop("n_2xx", "n_4xx", "n_5xx")
 
 
