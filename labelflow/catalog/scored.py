@@ -63,24 +63,32 @@ def native(t: Tables, rows, id_col="sentence_id"):
     return s.from_logits(s.linear_logits(rows, lexicon(t), CLASSES, INTERCEPT, "text", id_col), CLASSES)
 
 
-def python_scorer():
-    """The same linear scorer as a plain Python callable, standing in for a model."""
-    import math
-
-    def run(texts: list[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            logits = list(INTERCEPT)
-            for word in text.lower().split():
-                for c, w in enumerate(LEXICON.get(word, (0.0, 0.0, 0.0))):
-                    logits[c] += w
-            top = max(logits)
-            exps = [math.exp(x - top) for x in logits]
-            total = sum(exps)
-            out.append([e / total for e in exps])
-        return out
-
-    return run
+def make_python_scorer():
+    """The same linear scorer as plain Python, standing in for a model.
+
+    Nested functions are shipped to the workers by value, so the package need not be installed there.
+    """
+    lexicon_, intercept = dict(LEXICON), list(INTERCEPT)
+
+    def factory():
+        import math
+
+        def run(texts: list[str]) -> list[list[float]]:
+            out = []
+            for text in texts:
+                logits = list(intercept)
+                for word in text.lower().split():
+                    for c, w in enumerate(lexicon_.get(word, ())):
+                        logits[c] += w
+                top = max(logits)
+                exps = [math.exp(x - top) for x in logits]
+                total = sum(exps)
+                out.append([e / total for e in exps])
+            return out
+
+        return run
+
+    return factory
 
 
 SCORES = """SELECT id AS sentence_id, sentiment, confidence, round(p[1], 6) AS p0, round(p[3], 6) AS p2
@@ -106,7 +114,7 @@ def linear_scorer(t: Tables):
 @query("batch_scorer_m1", sql(SCORES, "sentences", extra=sql_scored("sentences")))
 def batch_scorer(t: Tables):
     """The Python scorer in 32-text calls over all rows."""
-    return score_columns(s.score(t.sentences, python_scorer, batch_size=32))
+    return score_columns(s.score(t.sentences, make_python_scorer(), batch_size=32))
 
 
 @query(
@@ -146,7 +154,7 @@ TEST_ROWS = """SELECT p.id, p.y_true, p.lang, x.text FROM predictions p
 def evaluate_split(t: Tables):
     text = t.sentences.select(F.col("sentence_id").alias("id"), "text", "split")
     rows = t.predictions.select("id", F.col("y_true").alias("label"), "lang").join(text, "id")
-    pairs = tr.evaluate_split(rows, python_scorer)
+    pairs = tr.evaluate_split(rows, make_python_scorer())
     return pairs.groupBy("y_true", "y_pred", "lang").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("confidence")).alias("mean_confidence")
     )
@@ -168,7 +176,7 @@ def evaluate_sample(t: Tables):
     """The same evaluation on a capped random sample of the test rows."""
     text = t.sentences.select(F.col("sentence_id").alias("id"), "text", "split")
     rows = t.predictions.select("id", F.col("y_true").alias("label"), "lang").join(text, "id")
-    return m.confusion_counts(tr.evaluate_split(rows, python_scorer, max_samples=50))
+    return m.confusion_counts(tr.evaluate_split(rows, make_python_scorer(), max_samples=50))
 
 
 @query("fit_classifier_m4")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,27 +32,46 @@ def text_key(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """White-space tokens; an empty text has none."""
-    return F.filter(F.split(collapse(F.coalesce(text, F.lit(""))), " ", -1), lambda t: t != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), WHITESPACE, -1), lambda t: t != "")
 
 
 def within_length(text: Column, lo: int = vocab.MIN_TEXT, hi: int = vocab.MAX_TEXT) -> Column:
     return F.length(text).between(lo, hi)
 
 
+def _char_class(letters: str) -> str:
+    """Regex class of the letters in both cases, neighbours merged to ranges (much cheaper than (?iu))."""
+    points = sorted({ord(c) for c in letters + letters.upper()})
+    out, start = "", points[0]
+    for here, after in zip(points, [*points[1:], None]):
+        if after != here + 1:
+            out += f"\\x{{{start:X}}}-\\x{{{here:X}}}"
+            start = after
+    return f"[{out}]"
+
+
+VIETNAMESE = _char_class(vocab.VIETNAMESE_LETTERS)
+
+
+def has_tokens(text: Column, n: int) -> Column:
+    """Whether the text has at least ``n`` white-space tokens. Anchored, so it reads only their characters."""
+    gap, word = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+    more = f"(?:{word}++{gap}++){{{n - 1}}}"
+    return F.coalesce(text, F.lit("")).rlike(rf"(?U)\A{gap}*+{more}{word}")
+
+
 def detect_language(
     text: Column, default: str = vocab.DEFAULT_LANGUAGE, min_tokens: int = vocab.MIN_TOKENS
 ) -> Column:
     """struct(lang, confidence): too short, any Vietnamese letter, or English."""
-    body = collapse(F.coalesce(text, F.lit("")))
-    short = (body == "") | (F.size(F.split(body, " ", -1)) < min_tokens)
-    marked = body.rlike(f"(?iu)[{vocab.VIETNAMESE_LETTERS}]")
 
     def result(lang: str, confidence: float) -> Column:
         return F.struct(F.lit(lang).alias("lang"), F.lit(confidence).alias("confidence"))
 
-    return F.when(short, result(default, 0.0)).when(marked, result("vi", 0.99)).otherwise(
-        result("en", 0.75)
-    )
+    marked = text.rlike(VIETNAMESE)
+    return F.when(~has_tokens(text, max(min_tokens, 1)), result(default, 0.0)).when(
+        marked, result("vi", 0.99)
+    ).otherwise(result("en", 0.75))
 
 
 def resolve_language(requested: Column, text: Column) -> Column:
@@ -75,24 +94,41 @@ def is_supported_language(lang: Column) -> Column:
 
 
 def _outside(ranges) -> str:
-    return "[" + "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in ranges) + "]"
+    """Runs of characters outside the ranges: removing runs is cheaper than removing single letters."""
+    return "[^" + "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in ranges) + "]+"
 
 
 def dominant_script(text: Column) -> Column:
-    """Script with most code points, earlier script on ties, null when no script occurs."""
+    """Script with most code points, earlier script on ties, null when no script occurs.
+
+    One pass drops everything below U+0600; the other scripts are then counted in what is left, usually
+    nothing.
+    """
     body = F.coalesce(text, F.lit(""))
-    scored = [
-        F.struct(
-            (F.length(body) - F.length(F.regexp_replace(body, _outside(ranges), ""))).alias("n"),
-            F.lit(-rank).alias("rank"),
-            F.lit(name).alias("script"),
+    high = F.regexp_replace(body, r"[\x{0}-\x{5FF}]+", "")
+
+    def pick(rest: Column) -> Column:
+        scored = [
+            F.struct(
+                F.length(
+                    F.regexp_replace(body if name == "latin" else rest, _outside(ranges), "")
+                ).alias("n"),
+                F.lit(-rank).alias("rank"),
+                F.lit(name).alias("script"),
+            )
+            for rank, (name, ranges) in enumerate(vocab.SCRIPT_RANGES.items())
+        ]
+        nothing = F.struct(
+            F.lit(0).alias("n"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("script")
         )
-        for rank, (name, ranges) in enumerate(vocab.SCRIPT_RANGES.items())
-    ]
-    nothing = F.struct(
-        F.lit(0).alias("n"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("script")
-    )
-    return F.array_max(F.array(*scored, nothing))["script"]
+        return F.array_max(F.array(*scored, nothing))["script"]
+
+    return bind(high, pick)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def script_locale(script: Column) -> Column:
@@ -107,6 +143,12 @@ def lookup(key: Column, mapping: Mapping) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
+def map_lookup(key: Column, mapping: Mapping[str, object]) -> Column:
+    """Like :func:`lookup` for use inside lambdas: the key expression is evaluated once per call."""
+    pairs = [F.lit(x) for item in mapping.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), key)
+
+
 # Our own starter dictionaries for the social-text cleaner; pass others as arguments.
 SLANG = {"u": "you", "gr8": "great", "pls": "please", "thx": "thanks", "ko": "không", "dc": "được"}
 EMOJI = {"😊": "smile", "😞": "sad", "😡": "angry", "👍": "good", "👎": "bad", "❤": "love"}
@@ -143,7 +185,7 @@ def clean_social(
     words = SLANG if slang is None else slang
 
     def token(t: Column) -> Column:
-        word = F.coalesce(lookup(F.lower(t), words), t)
+        word = F.coalesce(map_lookup(F.lower(t), words), t) if words else t
         return F.when(t.startswith("#"), _tag_words(t)).otherwise(word) if hashtags else word
 
     if hashtags or words:

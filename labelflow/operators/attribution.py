@@ -92,23 +92,26 @@ def attribute_leave_one_out(
 def ranked_tokens(tokens: Column, values: Column, scale: float = 45.0) -> Column:
     """Array of struct(rank, token, value, width): by |value| descending, input order on ties.
 
-    Works inside the row, so a long text needs no shuffle. Width is |value| / max(|value|, 1e-9) * scale.
+    Works inside the row, so a long text needs no shuffle. Width is |value| / max(|value|, 1e-9) * scale;
+    after sorting the maximum is the first entry, so no pass per token is needed.
     """
-    top = F.greatest(
-        F.coalesce(F.array_max(F.transform(values, lambda v: F.abs(v))), F.lit(0.0)), F.lit(1e-9)
-    )
     items = F.transform(
         F.arrays_zip(tokens.alias("token"), values.alias("value")),
         lambda r, i: F.struct(
             (-F.abs(r["value"])).alias("o"), i.alias("pos"), r["token"].alias("token"), r["value"].alias("value")
         ),
     )
-    return F.transform(
-        F.array_sort(items),
-        lambda r, i: F.struct(
-            (i + 1).alias("rank"),
-            r["token"].alias("token"),
-            r["value"].alias("value"),
-            (-r["o"] / top * scale).alias("width"),
-        ),
-    )
+
+    def finish(ordered: Column) -> Column:
+        def item(r: Column, i: Column) -> Column:
+            top = F.greatest(-F.get(ordered, F.lit(0))["o"], F.lit(1e-9))
+            return F.struct(
+                (i + 1).alias("rank"),
+                r["token"].alias("token"),
+                r["value"].alias("value"),
+                (-r["o"] / top * scale).alias("width"),
+            )
+
+        return F.transform(ordered, item)
+
+    return T.bind(F.array_sort(items), finish)

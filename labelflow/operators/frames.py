@@ -12,6 +12,7 @@ from labelflow.functions import text as T
 from labelflow.functions import vocab
 from labelflow.operators.dedup import drop_duplicates_first
 from labelflow.operators.sampling import stratified_split
+from labelflow.session import materialize
 
 RAW_SENTENCES = ("sentence_id", "text", "split")
 RAW_ASPECTS = ("sentence_id", "aspect_category", "sentiment")
@@ -29,12 +30,18 @@ class Frames:
 
 @dataclass(frozen=True)
 class Step:
-    """A transform over both frames and the columns that must still be there afterwards."""
+    """A transform over both frames and the columns that must still be there afterwards.
+
+    ``reads_aspects`` and ``only_removes`` (its sentences are a subset of those it got) tell the runner when
+    it may put off the cascade; the defaults are the safe ones.
+    """
 
     name: str
     apply: Callable[[Frames], Frames]
     sentence_columns: tuple[str, ...] = ()
     aspect_columns: tuple[str, ...] = ()
+    reads_aspects: bool = True
+    only_removes: bool = False
 
 
 @dataclass
@@ -125,6 +132,7 @@ def map_labels(categories: Mapping[str, str] = vocab.ASPECT_RENAMES, drop: str =
         "map_labels",
         lambda f: Frames(f.sentences, label_rows(f.aspects, categories, drop)),
         aspect_columns=("aspect_category", "sentiment"),
+        only_removes=True,
     )
 
 
@@ -135,6 +143,7 @@ def derive_sentiment(strategy: str = "negative_priority") -> Step:
         "derive_sentiment",
         lambda f: Frames(attach_sentiment(f.sentences, f.aspects, strategy), f.aspects),
         sentence_columns=("sentence_id", "sentiment"),
+        only_removes=True,
     )
 
 
@@ -143,6 +152,8 @@ def clean_text(lowercase: bool = True, strip_whitespace: bool = True) -> Step:
         "clean_text",
         lambda f: Frames(clean_rows(f.sentences, lowercase, strip_whitespace), f.aspects),
         sentence_columns=("text",),
+        reads_aspects=False,
+        only_removes=True,
     )
 
 
@@ -151,6 +162,8 @@ def remove_duplicates(order_col: str = "row_order") -> Step:
         "remove_duplicates",
         lambda f: Frames(drop_duplicates_first(f.sentences, ["text"], order_col), f.aspects),
         sentence_columns=("sentence_id", "text"),
+        reads_aspects=False,
+        only_removes=True,
     )
 
 
@@ -159,18 +172,26 @@ def limit_length(lo: int = vocab.MIN_TEXT, hi: int = vocab.MAX_TEXT) -> Step:
         "limit_length",
         lambda f: Frames(filter_length(f.sentences, lo, hi), f.aspects),
         sentence_columns=("text",),
+        reads_aspects=False,
+        only_removes=True,
     )
 
 
-def split_validation(ratio: float = 0.1, seed: int = 42) -> Step:
+def split_validation(ratio: float = 0.1, seed: int = 42, stage: bool = True) -> Step:
+    """``stage`` writes the sentences once, because the split reads them several times."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must satisfy 0 < ratio < 1")
+
+    def apply(f: Frames) -> Frames:
+        rows = materialize(f.sentences, "before-split") if stage else f.sentences
+        return Frames(stratified_split(rows, "sentiment", ratio, seed, "sentence_id"), f.aspects)
+
     return Step(
         "split_validation",
-        lambda f: Frames(
-            stratified_split(f.sentences, "sentiment", ratio, seed, "sentence_id"), f.aspects
-        ),
+        apply,
         sentence_columns=("split", "sentiment"),
+        reads_aspects=False,
+        only_removes=True,
     )
 
 
@@ -195,15 +216,20 @@ def _check_step(step: Step, frames: Frames, strict: bool) -> None:
 def run_steps(
     frames: Frames, steps: Sequence[Step], strict: bool = False, count_rows: bool = False
 ) -> RunResult:
-    """Apply steps in order, cascading aspects after each.
+    """Apply steps in order; aspects of removed sentences are gone before any step can see them.
 
-    Column checks cost nothing (they read the plan). ``strict`` also runs an emptiness job per step.
-    ``count_rows`` attaches observations, filled when the result is next computed, instead of counting.
+    Successive cascades over shrinking sentences equal the last one, so the cascade runs only before a step
+    that reads aspects or may add sentences, and at the end. Column checks cost nothing (they read the
+    plan). ``strict`` also runs an emptiness job per step. ``count_rows`` attaches observations, filled when
+    the result is next computed, instead of counting.
     """
     _require_ids(frames, "input")
-    result = RunResult(frames)
+    result, pending = RunResult(frames), False
     for position, step in enumerate(steps):
-        out = step.apply(result.frames)
+        now = result.frames
+        if pending and (step.reads_aspects or not step.only_removes):
+            now = Frames(now.sentences, cascade(now.sentences, now.aspects))
+        out = step.apply(now)
         _require_ids(out, step.name)
         if count_rows:
             watch = Observation(f"{position}_{step.name}")
@@ -211,6 +237,9 @@ def run_steps(
                 out.sentences.observe(watch, F.count(F.lit(1)).alias("sentences")), out.aspects
             )
             result.counts[step.name] = watch
-        result.frames = Frames(out.sentences, cascade(out.sentences, out.aspects))
-        _check_step(step, result.frames, strict)
+        result.frames, pending = out, True
+        _check_step(step, out, strict)
+    last = result.frames
+    if pending:
+        result.frames = Frames(last.sentences, cascade(last.sentences, last.aspects))
     return result

@@ -12,7 +12,8 @@ from labelflow.functions import probs as P
 from labelflow.functions import text as T
 from labelflow.functions import vocab
 
-# Builds a scorer once per Python worker; the scorer maps a list of texts to rows of probabilities.
+# Builds a scorer once per task; the scorer maps a list of texts to rows of probabilities. A factory from a
+# module needs that module on the workers; a nested function is shipped by value.
 ScorerFactory = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
 
 MAX_LEXICON = 100_000
@@ -93,7 +94,9 @@ def linear_logits(
     sum collapses to one narrow row per text before the shuffle. A lexicon over MAX_LEXICON tokens is
     joined by a shuffle instead of a broadcast, on per-text token counts.
     """
-    tokens = token_rows(df, text_col, id_col)
+    # Empty tokens are kept: they match nothing, and a text without tokens still gets its row.
+    words = F.split(F.lower(F.coalesce(text_col, F.lit(""))), T.WHITESPACE, -1)
+    tokens = df.select(F.col(id_col), F.explode(words).alias("token"))
     if check_lexicon(weights):
         hits = tokens.join(F.broadcast(weights), "token", "left")
         times = F.lit(1)
@@ -105,12 +108,7 @@ def linear_logits(
         *[F.sum(F.coalesce(F.col(c), F.lit(0.0)) * times).alias(c) for c in classes]
     )
     logits = F.array(*[F.col(c) + F.lit(float(b)) for c, b in zip(classes, intercept)])
-    scored = sums.select(id_col, logits.alias("logits"))
-    # Texts without any token score the bare intercept.
-    bare = df.filter(F.size(T.tokens(F.col(text_col))) == 0).select(
-        id_col, F.array(*[F.lit(float(b)) for b in intercept]).alias("logits")
-    )
-    return scored.unionByName(bare)
+    return sums.select(id_col, logits.alias("logits"))
 
 
 def from_logits(scored: DataFrame, classes: Sequence[str]) -> DataFrame:

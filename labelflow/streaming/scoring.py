@@ -15,11 +15,11 @@ def inline_logits(
     text: Column, weights: Mapping[str, Sequence[float]], intercept: Sequence[float]
 ) -> Column:
     """Linear logits from a small literal lexicon, computed inside the row (no state, no shuffle)."""
-    words = F.filter(T.tokens(F.lower(text)), lambda t: t.isin(*weights))
+    words = F.filter(F.split(F.lower(text), T.WHITESPACE, -1), lambda t: t.isin(*weights))
 
     def one(i: int, bias: float) -> Column:
-        value = lambda t: T.lookup(t, {k: float(w[i]) for k, w in weights.items()})
-        return F.aggregate(words, F.lit(float(bias)), lambda acc, t: acc + value(t))
+        values = {token: float(w[i]) for token, w in weights.items()}
+        return F.aggregate(words, F.lit(float(bias)), lambda acc, t: acc + T.map_lookup(t, values))
 
     return F.array(*[one(i, b) for i, b in enumerate(intercept)])
 
