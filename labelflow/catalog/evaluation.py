@@ -80,7 +80,7 @@ def label_scores(t: Tables):
     ),
 )
 def evaluate(t: Tables):
-    scalars, _, _ = m.evaluate(t.predictions, LABELS)
+    scalars = m.evaluate(t.predictions, LABELS)
     floats = ("accuracy", "mean_confidence", "precision_macro", "recall_macro", "f1_macro")
     return scalars.select("n_samples", *[r6(F.col(c)).alias(c) for c in floats])
 

@@ -12,6 +12,7 @@ from labelflow.operators.balance import value_counts
 from labelflow.operators.frames import Frames
 from labelflow.operators.frames import label_rows
 from labelflow.plans.preprocess import build_dataset
+from labelflow.session import materialize
 
 LIMITS = q.QualityLimits(min_samples=150, max_null_ratio=0.01)
 
@@ -112,7 +113,7 @@ FIELDS = (
     ),
 )
 def invalid_labels(t: Tables):
-    sp, ap = profiles(t)
+    sp, ap = (materialize(p, "profile") for p in profiles(t))
     parts = []
     for frame, col, allowed in FIELDS:
         out = q.invalid_labels(sp if frame == "dirty_sentences" else ap, col, allowed)

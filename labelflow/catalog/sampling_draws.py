@@ -11,7 +11,10 @@ from labelflow.functions import text as T
 from labelflow.operators import sampling as sp
 from labelflow.operators.dedup import drop_duplicates_first
 from labelflow.plans.eval_set import build_eval_set
+from labelflow.session import materialize
 
+# Languages pooled to the metrics label, so that every stratum has enough rows on the smallest tables.
+LANG = "CASE WHEN lang IN ('en', 'vi') THEN lang ELSE 'other' END"
 KEY42 = sql_hash("'42'", "sentence_id")
 
 
@@ -46,13 +49,14 @@ def stratified_split(t: Tables):
         "SELECT id, stratum, split FROM halves",
         "predictions",
         extra={
-            "keyed": "SELECT id, 'train' AS split, lang || '__' || y_true AS stratum FROM predictions",
+            "keyed": f"SELECT id, 'train' AS split, {LANG} || '__' || y_true AS stratum FROM predictions",
             "halves": sql_split("keyed", "stratum", 0.1, "id", "test", "split = 'train'"),
         },
     ),
 )
 def train_test(t: Tables):
-    rows = t.predictions.select("id", L.stratum_key(F.col("lang"), F.col("y_true")).alias("stratum"))
+    key = L.stratum_key(T.language_label(F.col("lang")), F.col("y_true"))
+    rows = t.predictions.select("id", key.alias("stratum"))
     return sp.train_test_split(rows, "stratum", "id").select("id", "stratum", "split")
 
 
@@ -167,7 +171,7 @@ def task_mix(t: Tables):
              UNION ALL SELECT split, label, 1 FROM halves WHERE split = 'test') GROUP BY 1, 2""",
         "predictions",
         extra={
-            "firsts": f"""SELECT p.id, p.y_true AS label, 'train' AS split, p.lang || '__' || p.y_true AS stratum
+            "firsts": f"""SELECT p.id, p.y_true AS label, 'train' AS split, {LANG.replace("lang", "p.lang")} || '__' || p.y_true AS stratum
                 FROM predictions p JOIN documents d ON p.id = CAST(d.doc_id AS VARCHAR)
                 QUALIFY row_number() OVER (PARTITION BY {sql_clean('d.text')} ORDER BY d.doc_id) = 1""",
             "halves": sql_split("firsts", "stratum", 0.1, "id", "test", "split = 'train'"),
@@ -181,8 +185,8 @@ def training_rows(t: Tables):
     text = t.sentences.select(F.col("sentence_id").alias("id"), "text", "row_order")
     rows = t.predictions.select("id", F.col("y_true").alias("label"), "lang").join(text, "id")
     rows = drop_duplicates_first(rows, {"text": T.text_key(F.col("text"))}).drop("text")
-    rows = rows.withColumn("stratum", L.stratum_key(F.col("lang"), F.col("label")))
-    halves = sp.train_test_split(rows, "stratum", "id")
+    rows = rows.withColumn("stratum", L.stratum_key(T.language_label(F.col("lang")), F.col("label")))
+    halves = sp.train_test_split(materialize(rows, "training-rows"), "stratum", "id")
     train = sp.oversample(halves.filter("split = 'train'"), "label", "id", 0.3)
     both = train.unionByName(halves.filter("split = 'test'"))
     return both.groupBy("split", "label").agg(

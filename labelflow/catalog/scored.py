@@ -9,6 +9,7 @@ from labelflow.catalog.registry import query
 from labelflow.catalog.views import Tables, WS, r6, sql, sql_clean, sql_hash
 from labelflow.functions import probs as P
 from labelflow.functions import vocab
+from labelflow.functions.text import language_label, tokens
 from labelflow.operators import aspects as a
 from labelflow.operators import attribution as at
 from labelflow.operators import metrics as m
@@ -183,7 +184,8 @@ def evaluate_sample(t: Tables):
 def fit_classifier(t: Tables):
     """Weighted classifier on the labelled texts, evaluated on its held-out rows."""
     text = t.sentences.select(F.col("sentence_id").alias("id"), "text", "row_order")
-    rows = t.predictions.select("id", F.col("y_true").alias("label"), "lang").join(text, "id")
+    lang = language_label(F.col("lang")).alias("lang")
+    rows = t.predictions.select("id", F.col("y_true").alias("label"), lang).join(text, "id")
     fitted = tr.fit_classifier(rows, "sentiment", max_iter=5, features=1 << 12)
     names = F.array(*[F.lit(x) for x in fitted.task.label_names])
     out = fitted.predict(fitted.test).select(F.get(names, F.col("label")).alias("y_true"), "y_pred")
@@ -386,8 +388,6 @@ RANKED = f"""
 )
 def attribution_ranking(t: Tables):
     """All tokens ranked; per text the ranking is summed up in order-sensitive checks."""
-    from labelflow.functions.text import tokens
-
     rows = t.sentences.select("sentence_id", tokens(F.col("text")).alias("w"))
     values = F.transform("w", lambda x, i: ((i + 1) * 37 % 101 - 50) / F.lit(64.0))
     rows = rows.withColumn("v", values)

@@ -27,11 +27,15 @@ def attribute_linear(
     text_col: str = "text",
     id_col: str = "sentence_id",
 ) -> DataFrame:
-    """(id, sentiment, base_value, pos, token, value): each token's weight for the predicted class."""
+    """(id, sentiment, base_value, pos, token, value): each token's weight for the predicted class.
+
+    Texts meet their predicted class first and are cut into tokens after that, so tokens are never shuffled.
+    """
     predicted = from_logits(linear_logits(df, weights, classes, intercept, text_col, id_col), classes)
     predicted = predicted.select(id_col, "sentiment")
     small = F.broadcast(weights) if check_lexicon(weights) else weights
-    hits = token_rows(df, text_col, id_col).join(small, "token", "left").join(predicted, id_col)
+    rated = df.select(id_col, text_col).join(predicted, id_col)
+    hits = token_rows(rated, text_col, id_col, ["sentiment"]).join(small, "token", "left")
     return hits.select(
         id_col,
         "sentiment",

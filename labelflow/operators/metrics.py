@@ -1,7 +1,8 @@
-"""Classification metrics. Everything is derived from one counts table, so the predictions are read once.
+"""Classification metrics, planned as one chain: scan, grouped count, one wide row per slice, arithmetic.
 
-``confusion_counts`` is a plain grouped count (map-side combined, skew-safe); all other functions work on
-its few rows.
+``confusion_counts`` is a plain grouped count (map-side combined, skew-safe). ``score_rows`` folds its few
+rows into one row per slice with an array entry per label. Every metric is then row arithmetic on that row,
+so the predictions are read once however many metrics are asked for.
 """
 
 from __future__ import annotations
@@ -39,126 +40,108 @@ def sliced_counts(df: DataFrame, slice_col: str) -> DataFrame:
     )
 
 
-def _labels(labels: Sequence[str]) -> Column:
-    return F.array(*[F.lit(x) for x in labels])
-
-
-def confusion_matrix(
-    counts: DataFrame, labels: Sequence[str], by: Sequence[str] = ()
+def score_rows(
+    counts: DataFrame, labels: Sequence[str], by: Sequence[str] = (), extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """Long matrix (by..., true_pos, y_true, pred_pos, y_pred, n), zero cells included.
+    """One row per slice: n_samples, hits, covered, and per label tp, predicted, support, matrix.
 
-    Pairs with a label outside ``labels`` are dropped. Grouping over the exploded cells keeps this a single
-    aggregate without any join.
+    ``labels`` is a closed, small set. ``matrix`` keeps only pairs inside it; rows whose other side lies
+    outside still count in ``predicted`` and ``support``. ``covered``: no label outside the set occurs.
     """
-    known = counts.filter(F.col("y_true").isin(*labels) & F.col("y_pred").isin(*labels))
-    cells = (
-        counts.select(*by)
-        .distinct()
-        .select(
-            *by,
-            F.posexplode(_labels(labels)).alias("true_pos", "y_true"),
-        )
-        .select("*", F.posexplode(_labels(labels)).alias("pred_pos", "y_pred"))
-        .withColumn("n", F.lit(0).cast("long"))
-        if by
-        else _grid(counts, labels)
-    )
-    pos = {x: i for i, x in enumerate(labels)}
-    placed = known.select(
-        *by,
-        _position("y_true", pos).alias("true_pos"),
-        "y_true",
-        _position("y_pred", pos).alias("pred_pos"),
-        "y_pred",
-        F.col("n").cast("long"),
+    t, p, n = F.col("y_true"), F.col("y_pred"), F.col("n")
+
+    def total(where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, n)), F.lit(0)).cast("long")
+
+    inside = F.coalesce(t.isin(*labels) & p.isin(*labels), F.lit(False))
+    return counts.groupBy(*by).agg(
+        F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n_samples"),
+        total(t == p).alias("hits"),
+        F.coalesce(F.min(inside), F.lit(True)).alias("covered"),
+        F.array(*[total((t == x) & (p == x)) for x in labels]).alias("tp"),
+        F.array(*[total(p == x) for x in labels]).alias("predicted"),
+        F.array(*[total(t == x) for x in labels]).alias("support"),
+        F.array(*[F.array(*[total((t == x) & (p == y)) for y in labels]) for x in labels]).alias(
+            "matrix"
+        ),
+        *extra,
     )
-    return (
-        cells.unionByName(placed)
-        .groupBy(*by, "true_pos", "y_true", "pred_pos", "y_pred")
-        .agg(F.sum("n").alias("n"))
+
+
+def _per_label(of) -> Column:
+    """Array with ``of(tp, predicted, support)`` for each label of a score row."""
+    return F.transform(
+        F.arrays_zip("tp", "predicted", "support"), lambda r: of(r["tp"], r["predicted"], r["support"])
     )
 
 
-def _position(col: str, pos: dict[str, int]) -> Column:
-    out = None
-    for name, i in pos.items():
-        out = (F.when if out is None else out.when)(F.col(col) == name, F.lit(i))
-    return out
+def _precision() -> Column:
+    return _per_label(lambda tp, predicted, support: ratio(tp, predicted))
 
 
-def _grid(counts: DataFrame, labels: Sequence[str]) -> DataFrame:
-    rows = [
-        (i, t, j, p, 0) for i, t in enumerate(labels) for j, p in enumerate(labels)
-    ]
-    return counts.sparkSession.createDataFrame(
-        rows, "true_pos int, y_true string, pred_pos int, y_pred string, n long"
-    )
+def _recall() -> Column:
+    return _per_label(lambda tp, predicted, support: ratio(tp, support))
 
 
-def matrix_rows(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Nested form: one array of arrays per group, rows and columns in label order."""
-    rows = matrix.groupBy(*by, "true_pos").agg(
-        F.sort_array(F.collect_list(F.struct("pred_pos", "n"))).alias("cells")
-    )
-    return rows.groupBy(*by).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("true_pos", F.col("cells.n").alias("n")))), lambda r: r["n"]
-        ).alias("matrix")
+def _f1() -> Column:
+    return _per_label(lambda tp, predicted, support: ratio(2 * tp, predicted + support))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _mean(values: Column) -> Column:
+    return ratio(_sum(values), F.size(values))
+
+
+def _active_f1() -> Column:
+    """Mean F1 of the labels seen on either side."""
+    seen = F.filter(
+        F.arrays_zip("tp", "predicted", "support"), lambda r: (r["predicted"] + r["support"]) > 0
     )
+    return _mean(F.transform(seen, lambda r: ratio(2 * r["tp"], r["predicted"] + r["support"])))
 
 
-def label_scores(
+def confusion_matrix(
     counts: DataFrame, labels: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """(by..., label, tp, predicted, support, precision, recall, f1) for every label, absent ones as 0.
+    """Long matrix (by..., true_pos, y_true, pred_pos, y_pred, n), zero cells included.
 
-    Rows whose other side lies outside ``labels`` still count as false positives or negatives.
+    Pairs with a label outside ``labels`` are dropped.
     """
-    sides = counts.select(
-        *by,
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col("y_true").alias("label"),
-                    F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp"),
-                    F.lit(0).cast("long").alias("predicted"),
-                    F.col("n").alias("support"),
-                ),
-                F.struct(
-                    F.col("y_pred").alias("label"),
-                    F.lit(0).cast("long").alias("tp"),
-                    F.col("n").alias("predicted"),
-                    F.lit(0).cast("long").alias("support"),
-                ),
-            )
-        ),
-    ).filter(F.col("label").isin(*labels))
-    zero = F.lit(0).cast("long")
-    if by:
-        every = counts.select(*by).distinct().select(*by, F.explode(_labels(labels)).alias("label"))
-    else:
-        every = counts.sparkSession.createDataFrame([(x,) for x in labels], "label string")
-    every = every.select(
-        *by, "label", zero.alias("tp"), zero.alias("predicted"), zero.alias("support")
-    )
-    sums = (
-        sides.unionByName(every)
-        .groupBy(*by, "label")
-        .agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "predicted", "support")])
-    )
-    return (
-        sums.withColumn("precision", ratio(F.col("tp"), F.col("predicted")))
-        .withColumn("recall", ratio(F.col("tp"), F.col("support")))
-        .withColumn("f1", ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")))
-    )
+    cells = [
+        F.struct(
+            F.lit(i).alias("true_pos"),
+            F.lit(t).alias("y_true"),
+            F.lit(j).alias("pred_pos"),
+            F.lit(p).alias("y_pred"),
+            F.get(F.get("matrix", F.lit(i)), F.lit(j)).alias("n"),
+        )
+        for i, t in enumerate(labels)
+        for j, p in enumerate(labels)
+    ]
+    return score_rows(counts, labels, by).select(*by, F.inline(F.array(*cells)))
 
 
-def accuracy(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    hits = F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))
-    return counts.groupBy(*by).agg(
-        F.sum("n").alias("n_samples"), ratio(hits, F.sum("n")).alias("accuracy")
+def label_scores(
+    counts: DataFrame, labels: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """(by..., label, tp, predicted, support, precision, recall, f1) for every label, absent ones as 0."""
+    return _label_rows(score_rows(counts, labels, by), labels, by)
+
+
+def _label_rows(rows: DataFrame, labels: Sequence[str], by: Sequence[str]) -> DataFrame:
+    zipped = F.arrays_zip(
+        F.array(*[F.lit(x) for x in labels]).alias("label"),
+        F.col("tp"),
+        F.col("predicted"),
+        F.col("support"),
+        _precision().alias("precision"),
+        _recall().alias("recall"),
+        _f1().alias("f1"),
     )
+    return rows.select(*by, F.inline(zipped))
 
 
 def macro_scores(
@@ -182,54 +165,47 @@ def classification_report(
 
     The row ``accuracy`` becomes ``micro avg`` when some label in the data is not listed.
     """
-    scores = label_scores(counts, labels, by)
-    per_label = scores.select(*by, F.col("label").alias("row"), "precision", "recall", "f1", "support")
-    macro = scores.groupBy(*by).agg(
-        F.lit("macro avg").alias("row"),
-        *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")],
-        F.sum("support").alias("support"),
-    )
-    weighted = scores.groupBy(*by).agg(
-        F.lit("weighted avg").alias("row"),
-        *[
-            ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c)
-            for c in ("precision", "recall", "f1")
-        ],
-        F.sum("support").alias("support"),
-    )
-    covered = F.min(
-        F.coalesce(F.col("y_true").isin(*labels) & F.col("y_pred").isin(*labels), F.lit(False))
+    rows = score_rows(counts, labels, by).select(
+        "*", _precision().alias("precision"), _recall().alias("recall"), _f1().alias("f1")
     )
-    inside = counts.groupBy(*by).agg(
-        covered.alias("covered"),
-        F.sum(
-            F.when(
-                (F.col("y_true") == F.col("y_pred")) & F.col("y_true").isin(*labels), F.col("n")
-            ).otherwise(0)
-        ).alias("tp"),
-        F.sum(F.when(F.col("y_pred").isin(*labels), F.col("n")).otherwise(0)).alias("predicted"),
-        F.sum(F.when(F.col("y_true").isin(*labels), F.col("n")).otherwise(0)).alias("support"),
-    )
-    micro = inside.select(
-        *by,
-        F.when(F.col("covered"), "accuracy").otherwise("micro avg").alias("row"),
-        ratio(F.col("tp"), F.col("predicted")).alias("precision"),
-        ratio(F.col("tp"), F.col("support")).alias("recall"),
-        ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"),
-        "support",
+    whole = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    rows = rows.withColumns({"all_tp": whole("tp"), "all_p": whole("predicted"), "all_s": whole("support")})
+    scores = ("precision", "recall", "f1")
+
+    def line(name: Column, p: Column, r: Column, f: Column, support: Column) -> Column:
+        return F.struct(
+            name.alias("row"), p.alias("precision"), r.alias("recall"), f.alias("f1"), support.alias("support")
+        )
+
+    at = lambda c, i: F.get(c, F.lit(i))
+    lines = [
+        line(F.lit(x), *[at(c, i) for c in scores], at("support", i)) for i, x in enumerate(labels)
+    ]
+    tp, predicted, support = F.col("all_tp"), F.col("all_p"), F.col("all_s")
+    lines.append(
+        line(
+            F.when(F.col("covered"), "accuracy").otherwise("micro avg"),
+            ratio(tp, predicted),
+            ratio(tp, support),
+            ratio(2 * tp, predicted + support),
+            support,
+        )
     )
-    return per_label.unionByName(micro).unionByName(macro).unionByName(weighted)
+    lines.append(line(F.lit("macro avg"), *[_mean(F.col(c)) for c in scores], support))
+    weighted = [
+        ratio(_sum(F.zip_with(c, "support", lambda v, s: v * s)), support) for c in scores
+    ]
+    lines.append(line(F.lit("weighted avg"), *weighted, support))
+    return rows.select(*by, F.inline(F.array(*lines)))
 
 
 def slice_f1(counts: DataFrame, labels: Sequence[str], slice_col: str = "slice") -> DataFrame:
     """Macro F1 per slice over the labels active in that slice."""
-    return macro_scores(counts, labels, [slice_col], active_only=True).select(slice_col, "f1_macro")
+    return score_rows(counts, labels, [slice_col]).select(slice_col, _active_f1().alias("f1_macro"))
 
 
 def slice_gap(per_slice: DataFrame, value: str = "f1_macro") -> DataFrame:
-    return per_slice.agg(
-        F.coalesce(F.max(value) - F.min(value), F.lit(0.0)).alias("gap"),
-    )
+    return per_slice.agg(F.coalesce(F.max(value) - F.min(value), F.lit(0.0)).alias("gap"))
 
 
 def sliced_metrics(df: DataFrame, slice_col: str, labels: Sequence[str]) -> DataFrame:
@@ -237,26 +213,13 @@ def sliced_metrics(df: DataFrame, slice_col: str, labels: Sequence[str]) -> Data
 
     Slices average over their active labels, ``all`` over every label.
     """
-    counts = sliced_counts(df, slice_col)
-    active = macro_scores(counts, labels, ["slice"], active_only=True).withColumnRenamed(
-        "f1_macro", "f1_active"
-    )
-    full = macro_scores(counts, labels, ["slice"])
-    matrix = matrix_rows(confusion_matrix(counts, labels, ["slice"]), ["slice"])
-    return (
-        accuracy(counts, ["slice"])
-        .join(full.select("slice", "f1_macro"), "slice")
-        .join(active.select("slice", "f1_active"), "slice")
-        .join(matrix, "slice")
-        .select(
-            "slice",
-            "n_samples",
-            "accuracy",
-            F.when(F.col("slice") == ALL, F.col("f1_macro"))
-            .otherwise(F.col("f1_active"))
-            .alias("f1"),
-            "matrix",
-        )
+    rows = score_rows(sliced_counts(df, slice_col), labels, ["slice"])
+    return rows.select(
+        "slice",
+        "n_samples",
+        ratio(F.col("hits"), F.col("n_samples")).alias("accuracy"),
+        F.when(F.col("slice") == ALL, _mean(_f1())).otherwise(_active_f1()).alias("f1"),
+        "matrix",
     )
 
 
@@ -282,26 +245,23 @@ def fairness_payload(df: DataFrame, slice_col: str, labels: Sequence[str]) -> Da
 
 def evaluate(
     df: DataFrame, labels: Sequence[str], confidence: str | None = "confidence"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scalars, per label, matrix); scalars are one row. The counts and mean confidence share one pass."""
+) -> DataFrame:
+    """One row: n_samples, accuracy, macro precision, recall and F1, F1 per label, mean confidence, matrix."""
     conf = F.lit(None).cast("double") if confidence is None else F.col(confidence)
     counts = df.groupBy("y_true", "y_pred").agg(
         F.count(F.lit(1)).alias("n"), F.sum(conf).alias("conf")
     )
-    hits = F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))
-    base = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_samples"),
-        ratio(hits, F.sum("n")).alias("accuracy"),
-        (F.sum("conf") / F.nullif(F.sum("n"), F.lit(0))).alias("mean_confidence"),
+    rows = score_rows(counts, labels, extra=[F.sum("conf").alias("conf")])
+    return rows.select(
+        "n_samples",
+        ratio(F.col("hits"), F.col("n_samples")).alias("accuracy"),
+        (F.col("conf") / F.nullif(F.col("n_samples"), F.lit(0))).alias("mean_confidence"),
+        _mean(_precision()).alias("precision_macro"),
+        _mean(_recall()).alias("recall_macro"),
+        _mean(_f1()).alias("f1_macro"),
+        _f1().alias("f1_per_class"),
+        "matrix",
     )
-    # Both sides are one row: a keyed join on a constant, so no Cartesian product is planned.
-    one = F.lit(1).alias("__one")
-    scalars = (
-        base.select("*", one)
-        .join(macro_scores(counts, labels).select("*", one), "__one")
-        .drop("__one")
-    )
-    return scalars, label_scores(counts, labels), confusion_matrix(counts, labels)
 
 
 def weighted_log_loss(
@@ -330,22 +290,14 @@ def cohen_kappa(
         .agg(pick(rater_a).alias("y_true"), pick(rater_b).alias("y_pred"))
         .filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
     )
-    counts = confusion_counts(pairs)
-    sides = counts.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("y_true").alias("label"), F.col("n").alias("a"), F.lit(0).cast("long").alias("b")),
-                F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("a"), F.col("n").alias("b")),
-            )
-        ),
-        F.lit(0).cast("long").alias("hit"),
-    ).unionByName(
-        counts.filter(F.col("y_true") == F.col("y_pred")).select(
-            F.col("y_true").alias("label"),
-            F.lit(0).cast("long").alias("a"),
-            F.lit(0).cast("long").alias("b"),
-            F.col("n").alias("hit"),
-        )
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    same = F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(zero)
+
+    def side(label: str, a: Column, b: Column, hit: Column) -> Column:
+        return F.struct(F.col(label).alias("label"), a.alias("a"), b.alias("b"), hit.alias("hit"))
+
+    sides = confusion_counts(pairs).select(
+        F.inline(F.array(side("y_true", n, zero, same), side("y_pred", zero, n, zero)))
     )
     per_label = sides.groupBy("label").agg(
         F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("hit").alias("hit")

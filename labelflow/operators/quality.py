@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.functions import vocab
 from labelflow.operators.frames import Frames
-from labelflow.operators.quantiles import quantiles_from_counts
 from labelflow.session import materialize
 
 SENTENCE_COLUMNS = ("sentence_id", "text", "sentiment", "split")
@@ -91,21 +90,20 @@ def aspect_distribution(profile: DataFrame) -> DataFrame:
 def text_length_stats(profile: DataFrame) -> DataFrame:
     """One row: mean, min, max, median, p95; zeros for an empty table."""
     lengths = profile.groupBy("text_len").agg(F.sum("n").alias("n"))
-    mid = quantiles_from_counts(lengths, "text_len", "n", (0.5, 0.95)).select(
-        F.lit(1).alias("one"), "quantiles"
-    )
-    base = lengths.agg(
+    middle = F.percentile(F.col("text_len"), F.array(F.lit(0.5), F.lit(0.95)), F.col("n"))
+    row = lengths.agg(
         (F.sum(F.col("text_len").cast("double") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("text_len").alias("min"),
         F.max("text_len").alias("max"),
-    ).withColumn("one", F.lit(1))
+        middle.alias("q"),
+    )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return base.join(mid, "one").select(
+    return row.select(
         zero(F.col("mean")).alias("mean"),
         zero(F.col("min")).alias("min"),
         zero(F.col("max")).alias("max"),
-        zero(F.get("quantiles", F.lit(0))).alias("median"),
-        zero(F.get("quantiles", F.lit(1))).alias("p95"),
+        zero(F.get("q", F.lit(0))).alias("median"),
+        zero(F.get("q", F.lit(1))).alias("p95"),
     )
 
 
@@ -147,8 +145,11 @@ def orphan_ids(frames: Frames) -> DataFrame:
 
 
 def orphan_summary(frames: Frames, limit: int = 5) -> DataFrame:
-    """One row: orphan count and the first ``limit`` ids in text order."""
-    orphans = orphan_ids(frames)
+    """One row: orphan count and the first ``limit`` ids in text order.
+
+    The orphans (normally few) are written once, so the anti-join runs once for both.
+    """
+    orphans = materialize(orphan_ids(frames), "orphans")
     total = orphans.agg(F.count(F.lit(1)).alias("orphans")).withColumn("one", F.lit(1))
     first = (
         orphans.orderBy("sentence_id")

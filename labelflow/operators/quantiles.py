@@ -10,15 +10,6 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 
 
-def quantiles_from_counts(
-    counts: DataFrame, value: str, n: str, qs: Sequence[float], by: Sequence[str] = ()
-) -> DataFrame:
-    """For values with few distinct levels (text lengths): quantiles of (value, n) pairs."""
-    return counts.groupBy(*by).agg(
-        F.percentile(F.col(value), F.array(*[F.lit(q) for q in qs]), F.col(n)).alias("quantiles")
-    )
-
-
 def exact_quantiles(
     df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Row order is the md5 key of (seed, id), then the id. A quota never needs a per-stratum sort of the table:
 
-1. count rows per (stratum, first four hex digits of the key) - a small table after map-side combine;
+1. count rows per (stratum, first four hex digits of the key) - a small table after map-side combine,
+   written once; stratum sizes come from it too;
 2. find, per stratum, the one key range that holds the quota's last row, and rank only that range
    (1/65536 of the stratum);
 3. mark rows by comparing their key with that last row - a projection, no shuffle of the wide table.
@@ -13,14 +14,16 @@ So a stratum with a third of all rows costs no more than its share of a scan.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelflow.functions.hashing import hash_int, hash_key
+from labelflow.session import materialize
 
 MAX_STRATA = 10_000
+INLINE_STRATA = 32  # up to this many cuts are literals in the plan, more are a broadcast table
 PREFIX = 4
 
 
@@ -37,25 +40,23 @@ def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _key_ranges(keyed: DataFrame) -> DataFrame:
+    """(s, p, n): rows per stratum and key prefix, written once; counts and edges are read from it."""
+    prefix = F.substring("k", 1, PREFIX).alias("p")
+    return materialize(keyed.groupBy("s", prefix).agg(F.count(F.lit(1)).alias("n")), "key-ranges")
+
+
 def _last_rows(
-    keyed: DataFrame, quotas: Mapping[str | None, int], counts: Mapping[str | None, int]
+    keyed: DataFrame, ranges: DataFrame, quotas: Mapping[str | None, int]
 ) -> dict[str | None, tuple[str, str]]:
-    """Per stratum with 0 < quota < count: the (key, id) of the quota's last row."""
+    """Per stratum, for quotas above 0 and below its size: the (key, id) of the quota's last row."""
     spark = keyed.sparkSession
-    open_quotas = {s: q for s, q in quotas.items() if 0 < q < counts.get(s, 0)}
-    if not open_quotas:
-        return {}
     wanted = F.broadcast(
-        _small(spark, [(s, int(q)) for s, q in open_quotas.items()], "s string, quota long")
+        _small(spark, [(s, int(q)) for s, q in quotas.items()], "ws string, quota long")
     )
-    prefix = F.substring("k", 1, PREFIX)
     before = Window.partitionBy("s").orderBy("p")
     edges = (
-        keyed.groupBy("s", prefix.alias("p"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumnRenamed("s", "__s")
-        .join(wanted, F.col("__s").eqNullSafe(F.col("s")))
-        .select("s", "p", "n", "quota")
+        ranges.join(wanted, F.col("s").eqNullSafe(F.col("ws")))
         .withColumn("upto", F.sum("n").over(before))
         .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select("s", "p", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))
@@ -64,6 +65,7 @@ def _last_rows(
     edge = F.broadcast(
         _small(spark, [tuple(r) for r in edges], "es string, ep string, rest long")
     )
+    prefix = F.substring("k", 1, PREFIX)
     ranked = (
         keyed.join(edge, F.col("s").eqNullSafe(F.col("es")) & (prefix == F.col("ep")))
         .withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("k", "id")))
@@ -74,20 +76,26 @@ def _last_rows(
     return {r["s"]: (r["k"], r["id"]) for r in ranked}
 
 
+def _total(ranges: DataFrame) -> dict[str | None, int]:
+    rows = ranges.groupBy("s").agg(F.sum("n").alias("n")).limit(MAX_STRATA + 1).collect()
+    if len(rows) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    return {r["s"]: r["n"] for r in rows}
+
+
 def mark_quota(
     df: DataFrame,
     stratum: Column,
-    quotas: Mapping[str | None, int] | None,
+    quotas: Mapping[str | None, int] | Callable[[dict], Mapping[str | None, int]],
     id_col: str,
     seed: int,
     out: str = "taken",
     among: Column | None = None,
-    counts: Mapping[str | None, int] | None = None,
-    quota_of=None,
 ) -> DataFrame:
     """Add boolean ``out``: true for exactly ``quota`` rows of each stratum (all, if it has fewer).
 
-    ``among`` restricts which rows compete. Instead of ``quotas``, ``quota_of(counts)`` may compute them.
+    ``quotas`` maps strata to row numbers, or computes that mapping from the strata's sizes. ``among``
+    restricts which rows compete.
     """
     among = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
     keyed = df.filter(among).select(
@@ -95,38 +103,46 @@ def mark_quota(
         hash_key(seed, F.col(id_col)).alias("k"),
         F.col(id_col).cast("string").alias("id"),
     )
-    if counts is None:
-        counts = stratum_counts(keyed, "s")
-    if quotas is None:
-        quotas = quota_of(counts)
-    last = _last_rows(keyed, quotas, counts)
-    rows = []
-    for s, n in counts.items():
-        quota = quotas.get(s, 0)
-        if quota >= n:
-            rows.append((s, "g", ""))  # every hex key sorts before "g"
-        elif quota > 0:
-            rows.append((s, *last[s]))
-    if not rows:
+    ranges = _key_ranges(keyed)
+    counts = _total(ranges)
+    wanted = quotas(counts) if callable(quotas) else quotas
+    inner = {s: wanted[s] for s, n in counts.items() if 0 < wanted.get(s, 0) < n}
+    # Every hex key sorts before "g", so that cut takes a whole stratum.
+    cuts = {s: ("g", "") for s, n in counts.items() if wanted.get(s, 0) >= n}
+    if inner:
+        cuts.update(_last_rows(keyed, ranges, inner))
+    if not cuts:
         return df.withColumn(out, F.lit(False))
-    cuts = F.broadcast(
-        _small(df.sparkSession, rows, "__s string, __cut_key string, __cut_id string")
-    )
     key, ident = hash_key(seed, F.col(id_col)), F.col(id_col).cast("string")
-    hit = (key < F.col("__cut_key")) | (
-        (key == F.col("__cut_key")) & (ident <= F.col("__cut_id"))
+
+    def below(cut_key: Column, cut_id: Column) -> Column:
+        return (key < cut_key) | ((key == cut_key) & (ident <= cut_id))
+
+    if len(cuts) <= INLINE_STRATA:
+        hit = None
+        for s, (k, i) in cuts.items():
+            mine = stratum.cast("string").eqNullSafe(F.lit(s).cast("string"))
+            hit = (F.when if hit is None else hit.when)(mine, below(F.lit(k), F.lit(i)))
+        return df.withColumn(out, among & F.coalesce(hit, F.lit(False)))
+    table = F.broadcast(
+        _small(
+            df.sparkSession,
+            [(s, k, i) for s, (k, i) in cuts.items()],
+            "__s string, __cut_key string, __cut_id string",
+        )
     )
+    hit = below(F.col("__cut_key"), F.col("__cut_id"))
     return (
         df.withColumn("__stratum", stratum.cast("string"))
-        .join(cuts, F.col("__stratum").eqNullSafe(F.col("__s")), "left")
+        .join(table, F.col("__stratum").eqNullSafe(F.col("__s")), "left")
         .withColumn(out, among & F.coalesce(hit, F.lit(False)))
         .drop("__stratum", "__s", "__cut_key", "__cut_id")
     )
 
 
-def take_quota(df: DataFrame, stratum: Column, quotas, id_col: str, seed: int = 42, **how) -> DataFrame:
+def take_quota(df: DataFrame, stratum: Column, quotas, id_col: str, seed: int = 42) -> DataFrame:
     """Only the rows :func:`mark_quota` marks."""
-    marked = mark_quota(df, stratum, quotas, id_col, seed, out="__taken", **how)
+    marked = mark_quota(df, stratum, quotas, id_col, seed, out="__taken")
     return marked.filter("__taken").drop("__taken")
 
 
@@ -177,14 +193,15 @@ def stratified_split(
         raise ValueError("ratio must satisfy 0 < ratio < 1")
     among = F.col(split_col).eqNullSafe(from_value)
     stratum = F.lit("all") if strata is None else F.col(strata)
-    counts = stratum_counts(df.filter(among).select(stratum.cast("string").alias("s")), "s")
-    if sum(counts.values()) < 2:
-        return df
-    if strata is not None:
-        check_split(counts, ratio)
-    marked = mark_quota(
-        df, stratum, validation_counts(counts, ratio), id_col, seed, "__held", among, counts
-    )
+
+    def quotas(counts: dict) -> dict:
+        if sum(counts.values()) < 2:
+            return {}
+        if strata is not None:
+            check_split(counts, ratio)
+        return validation_counts(counts, ratio)
+
+    marked = mark_quota(df, stratum, quotas, id_col, seed, "__held", among)
     moved = F.when(F.col("__held"), F.lit(to_value)).otherwise(F.col(split_col))
     return marked.withColumn(split_col, moved).drop("__held")
 
@@ -203,14 +220,7 @@ def sample_per_group(
 ) -> DataFrame:
     """At most ``cap`` rows of each group; rows without a group are dropped."""
     present = df.filter(F.col(group).isNotNull())
-    return take_quota(
-        present,
-        F.col(group),
-        None,
-        id_col,
-        seed,
-        quota_of=lambda counts: {g: min(cap, n) for g, n in counts.items()},
-    )
+    return take_quota(present, F.col(group), lambda counts: dict.fromkeys(counts, cap), id_col, seed)
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:

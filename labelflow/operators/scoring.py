@@ -73,10 +73,12 @@ def check_lexicon(weights: DataFrame, limit: int = MAX_LEXICON) -> bool:
     return weights.select("token").limit(limit + 1).count() <= limit
 
 
-def token_rows(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, pos, token) over the cleaned text."""
+def token_rows(
+    df: DataFrame, text_col: str, id_col: str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(id, keep..., pos, token) over the lower-cased text."""
     return df.select(
-        F.col(id_col), F.posexplode(T.tokens(F.lower(text_col))).alias("pos", "token")
+        F.col(id_col), *keep, F.posexplode(T.tokens(F.lower(text_col))).alias("pos", "token")
     )
 
 

@@ -103,6 +103,14 @@ def test_boundary_range_is_exact(spark):
         assert got.count() == min(quota, 40)
 
 
+def test_many_strata_use_a_table(spark):
+    df = spark.range(400).select(
+        F.col("id").cast("string").alias("sentence_id"), (F.col("id") % 40).cast("string").alias("s")
+    )
+    got = split_counts(sp.sample_per_group(df, "s", 3), "s")
+    assert got == {(str(i),): 3 for i in range(40)}
+
+
 def test_too_many_strata(spark):
     df = spark.range(30).withColumn("s", F.col("id").cast("string"))
     with pytest.raises(ValueError, match="strata"):
