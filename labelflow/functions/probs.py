@@ -7,11 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelflow.functions.text import bind
+
 
 def softmax(logits: Column) -> Column:
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    def scaled(z: Column) -> Column:
+        return F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+
+    def shares(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+        return bind(total, lambda t: F.transform(e, lambda x: x / t))
+
+    return bind(logits, lambda z: bind(scaled(z), shares))
 
 
 def argmax_index(probs: Column) -> Column:

@@ -111,8 +111,14 @@ def attach_sentiment(
 def clean_rows(
     sentences: DataFrame, lowercase: bool = True, strip_whitespace: bool = True
 ) -> DataFrame:
-    cleaned = sentences.withColumn("text", T.clean(F.col("text"), lowercase, strip_whitespace))
-    return cleaned.filter(F.length("text") > 0)
+    """Cleaned texts, empty ones dropped.
+
+    A generator over a one-element list both computes and drops: a filter on the cleaned column would be
+    pushed below the projection with the regex copied into every condition and run several times per row.
+    """
+    cleaned = F.array(T.clean(F.col("text"), lowercase, strip_whitespace))
+    kept = F.explode(F.filter(cleaned, lambda t: F.length(t) > 0)).alias("text")
+    return sentences.select(*[kept if c == "text" else c for c in sentences.columns])
 
 
 def filter_length(

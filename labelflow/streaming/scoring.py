@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelflow.functions import probs as P
 from labelflow.functions import text as T
+from labelflow.operators.frames import clean_rows
 
 
 def inline_logits(
@@ -17,11 +18,11 @@ def inline_logits(
     """Linear logits from a small literal lexicon, computed inside the row (no state, no shuffle)."""
     words = F.filter(F.split(F.lower(text), T.WHITESPACE, -1), lambda t: t.isin(*weights))
 
-    def one(i: int, bias: float) -> Column:
+    def one(known: Column, i: int, bias: float) -> Column:
         values = {token: float(w[i]) for token, w in weights.items()}
-        return F.aggregate(words, F.lit(float(bias)), lambda acc, t: acc + T.map_lookup(t, values))
+        return F.aggregate(known, F.lit(float(bias)), lambda acc, t: acc + T.map_lookup(t, values))
 
-    return F.array(*[one(i, b) for i, b in enumerate(intercept)])
+    return T.bind(words, lambda known: F.array(*[one(known, i, b) for i, b in enumerate(intercept)]))
 
 
 def score_stream(
@@ -42,8 +43,7 @@ def score_stream(
         .withColumn("__key", F.md5(T.text_key(F.col("text"))))
         .dropDuplicatesWithinWatermark(["__key"])
     )
-    cleaned = keyed.withColumn("text", T.clean(F.col("text"))).filter(F.length("text") > 0)
-    scored = cleaned.withColumn("probs", P.softmax(inline_logits(F.col("text"), weights, intercept)))
+    scored = clean_rows(keyed).withColumn("probs", P.softmax(inline_logits(F.col("text"), weights, intercept)))
     return scored.withColumn("d", T.detect_language(F.col("text"))).select(
         id_col,
         ts,
