@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelflow.catalog.registry import query
 from labelflow.catalog.scans import EN
-from labelflow.catalog.views import Tables, WS, r6, sql, sql_clean, sql_collapse, sql_hash_int
+from labelflow.catalog.views import Tables, WS, r6, sql, sql_collapse, sql_hash_int
 from labelflow.functions import contracts as C
 from labelflow.functions import labels as L
 from labelflow.functions import probs as P

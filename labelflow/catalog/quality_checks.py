@@ -9,7 +9,6 @@ from labelflow.catalog.views import Tables, r6, sql
 from labelflow.functions import vocab
 from labelflow.operators import quality as q
 from labelflow.operators.balance import value_counts
-from labelflow.operators.frames import Frames
 from labelflow.operators.frames import label_rows
 from labelflow.plans.preprocess import build_dataset
 from labelflow.session import materialize

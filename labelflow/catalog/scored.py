@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from labelflow.catalog.expressions import BODY, SQL_UPLOAD, upload_text
 from labelflow.catalog.registry import query
 from labelflow.catalog.views import Tables, WS, r6, sql, sql_clean, sql_hash
-from labelflow.functions import probs as P
 from labelflow.functions import vocab
 from labelflow.functions.text import language_label, tokens
 from labelflow.operators import aspects as a

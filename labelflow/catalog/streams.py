@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelflow.catalog.expressions import MARKED, SHORT
 from labelflow.catalog.monitor import DAY, mean6, sql_alerts, sql_mean6, sql_stamp, sql_windows, stamp
 from labelflow.catalog.registry import query
 from labelflow.catalog.scored import CLASSES, INTERCEPT, LEXICON, sql_scored
@@ -84,16 +85,25 @@ def streaming_alerts(t: Tables):
     return alerts.select("endpoint", stamp("since"), stamp("fired_at"))
 
 
-@query("streaming_scores_r17")
+@query(
+    "streaming_scores_r17",
+    sql(
+        f"""SELECT CASE WHEN {SHORT} THEN 'en' WHEN {MARKED} THEN 'vi' ELSE 'en' END AS lang,
+                   CASE WHEN {SHORT} THEN 0.0 WHEN {MARKED} THEN 0.99 ELSE 0.75 END::DOUBLE AS lang_confidence,
+                   s.sentiment, s.confidence
+            FROM uniq u JOIN scored s ON u.id = s.id""",
+        "cleaned",
+        extra={"uniq": "SELECT DISTINCT md5(text) AS id, text FROM cleaned", **sql_scored("uniq", "id")},
+    ),
+)
 def streaming_scores(t: Tables):
-    """All sentences as one stream batch; which copy of a text comes first is up to the stream."""
+    """All sentences as one stream batch. Copies score alike, so it does not matter which one is kept."""
     path = scratch_path(t.spark, "texts")
-    rows = t.sentences.select(
-        "sentence_id", "text", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("row_order") * 0).alias("ts")
-    )
+    rows = t.sentences.select("sentence_id", "text", F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
     rows.write.parquet(path)
     stream = t.spark.readStream.schema(rows.schema).parquet(path)
     scored = ss.score_stream(stream, LEXICON, CLASSES, INTERCEPT)
     out = scratch_path(t.spark, "scores")
     sr.write_closed_windows(scored, out, out + "-checkpoint").awaitTermination()
-    return t.spark.read.schema(scored.schema).parquet(out).select("lang", "sentiment", "confidence")
+    done = t.spark.read.schema(scored.schema).parquet(out)
+    return done.select("lang", "lang_confidence", "sentiment", "confidence")

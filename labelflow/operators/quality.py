@@ -9,15 +9,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelflow.functions import vocab
 from labelflow.operators.frames import Frames
+from labelflow.operators.sampling import MAX_STRATA
 from labelflow.session import materialize
 
 SENTENCE_COLUMNS = ("sentence_id", "text", "sentiment", "split")
 ASPECT_COLUMNS = ("sentence_id", "aspect_category", "sentiment")
+# A nested report names this many labels per group; a dirty free-text column must not fill one row.
+REPORT_LABELS = 1000
+OTHER_LABELS = "<other>"
 FINDING = "severity string, rule string, scope string, detail string"
 
 
@@ -256,6 +260,8 @@ def quality_report(
     sp = materialize(sentence_profile(frames.sentences, order_col), "sentence-profile")
     ap = materialize(aspect_profile(frames.aspects, order_col), "aspect-profile")
     splits, labels, categories = split_stats(sp), label_distribution(sp), aspect_distribution(ap)
+    if splits.limit(MAX_STRATA + 1).count() > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} splits: 'split' is not a split column")
 
     parts = [row_count_rules(splits, ap, limits), null_ratio_rules(splits, ap, limits)]
     for rule, profile, col, allowed in (
@@ -315,6 +321,18 @@ def quality_report(
     )
 
 
+def _entries() -> Column:
+    return F.sort_array(F.collect_list(F.struct("label", "n")))
+
+
+def _with_rest(total: Column) -> Column:
+    """Map of the listed labels; rows of unlisted ones stay counted under ``<other>``."""
+    rest = F.array(F.struct(F.lit(OTHER_LABELS).alias("label"), (total - F.col("listed")).alias("n")))
+    return F.map_from_entries(
+        F.when(total > F.col("listed"), F.concat("entries", rest)).otherwise(F.col("entries"))
+    )
+
+
 def _report(findings, splits, labels, categories, lengths) -> DataFrame:
     """One row: total_samples, splits, aspect_distribution, text_length_stats, checks, messages."""
     one = F.lit(1).alias("one")
@@ -329,12 +347,14 @@ def _report(findings, splits, labels, categories, lengths) -> DataFrame:
         return checks.select(
             F.lit(0).cast("long").alias("total_samples"), "checks_passed", "errors", "warnings"
         )
-    maps = labels.groupBy("split").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias(
-            "label_distribution"
-        )
+    largest = Window.partitionBy("split").orderBy(F.desc("n"), "label")
+    listed = labels.withColumn("__rank", F.row_number().over(largest)).filter(
+        F.col("__rank") <= REPORT_LABELS
+    )
+    maps = listed.groupBy("split").agg(_entries().alias("entries"), F.sum("n").alias("listed"))
+    per_split = splits.join(maps, "split").withColumn(
+        "label_distribution", _with_rest(F.col("samples"))
     )
-    per_split = splits.join(maps, "split")
     split_map = per_split.agg(
         F.coalesce(F.sum("samples"), F.lit(0)).alias("total_samples"),
         F.map_from_entries(
@@ -355,11 +375,12 @@ def _report(findings, splits, labels, categories, lengths) -> DataFrame:
         ).alias("splits"),
         one,
     )
-    aspect_map = categories.agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias(
-            "aspect_distribution"
-        ),
-        one,
+    total = categories.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), one)
+    top = categories.orderBy(F.desc("n"), "label").limit(REPORT_LABELS)
+    aspect_map = (
+        top.agg(_entries().alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("listed"), one)
+        .join(total, "one")
+        .select(_with_rest(F.col("total")).alias("aspect_distribution"), "one")
     )
     stats = lengths.select(F.struct(*lengths.columns).alias("text_length_stats"), one)
     return (

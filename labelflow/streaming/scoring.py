@@ -33,14 +33,19 @@ def score_stream(
     ts: str = "ts",
     delay: str = "10 minutes",
     id_col: str = "sentence_id",
+    salts: int = 16,
 ) -> DataFrame:
     """(id, ts, lang, lang_confidence, sentiment, confidence) of the first copy of each text.
 
-    Copies are found on the normalised text within the watermark; state holds one key per recent text.
+    Copies are found on the normalised text within the watermark; state holds one key per recent text. A
+    stream's dedup has no map-side combine, so it runs twice: per (text, salt of the id), which spreads a
+    very frequent text over ``salts`` tasks, and then per text on the few rows that are left.
     """
     keyed = (
         texts.withWatermark(ts, delay)
         .withColumn("__key", F.md5(T.text_key(F.col("text"))))
+        .withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
+        .dropDuplicatesWithinWatermark(["__key", "__salt"])
         .dropDuplicatesWithinWatermark(["__key"])
     )
     scored = clean_rows(keyed).withColumn("probs", P.softmax(inline_logits(F.col("text"), weights, intercept)))

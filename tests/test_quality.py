@@ -134,6 +134,14 @@ def test_length_stats_of_empty_table(frame):
     assert q.text_length_stats(empty).first().asDict() == {"mean": 0.0, "min": 0, "max": 0, "median": 0.0, "p95": 0.0}
 
 
+def test_report_pools_rare_labels(frame, monkeypatch):
+    monkeypatch.setattr(q, "REPORT_LABELS", 2)
+    rows = sentences(50) + sentences(30, "negative", start=50) + sentences(5, "a", start=80) + sentences(4, "b", start=85)
+    _, found, row = report(frame, rows, aspects(10) + aspects(3, "price") + aspects(1, "zzz"), min_samples=1)
+    assert row["splits"]["train"]["label_distribution"] == {"positive": 50, "negative": 30, "<other>": 9}
+    assert row["aspect_distribution"] == {"food": 10, "price": 3, "<other>": 1}
+
+
 def test_retention(frame):
     before = frame(SL, *sentences(100))
     assert q.retention_check(before, 85, 80).first().asDict() == {
