@@ -2,10 +2,10 @@
 
 Row order is the md5 key of (seed, id), then the id. A quota never needs a per-stratum sort of the table:
 
-1. count rows per (stratum, first four hex digits of the key) - a small table after map-side combine,
+1. count rows per (stratum, first three hex digits of the key) - a small table after map-side combine,
    written once; stratum sizes come from it too;
 2. find, per stratum, the one key range that holds the quota's last row, and rank only that range
-   (1/65536 of the stratum);
+   (1/4096 of the stratum);
 3. mark rows by comparing their key with that last row - a projection, no shuffle of the wide table.
 
 So a stratum with a third of all rows costs no more than its share of a scan.
@@ -24,7 +24,7 @@ from labelflow.session import materialize
 
 MAX_STRATA = 10_000
 INLINE_STRATA = 32  # up to this many cuts are literals in the plan, more are a broadcast table
-PREFIX = 4
+PREFIX = 3
 
 
 def stratum_counts(df: DataFrame, stratum: str, limit: int = MAX_STRATA) -> dict[str | None, int]:
@@ -246,7 +246,7 @@ def class_rank(df: DataFrame, stratum: str, id_col: str, seed: int) -> DataFrame
     """Add ``rank`` 1..n of each row inside its stratum, in key order.
 
     Ranking runs per (stratum, key range), and range totals give the offsets, so a large stratum is
-    spread over 65536 small windows.
+    spread over 4096 small windows.
     """
     keyed = df.withColumn("__k", hash_key(seed, F.col(id_col))).withColumn(
         "__p", F.substring("__k", 1, PREFIX)
