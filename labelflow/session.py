@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,22 +37,18 @@ def get_spark(master: str = "local[8]", app: str = "labelflow", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="labelflow-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the session's warehouse folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/labelflow/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's own folder, which is removed when the application ends."""
+    context = spark.sparkContext
+    root = f"{shared_dir(spark)}/labelflow-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

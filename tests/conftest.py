@@ -9,8 +9,12 @@ from labelflow.session import get_spark  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_spark("local[4]", **{"spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    shared = {
+        "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
+        "spark.sql.warehouse.dir": f"file://{tmp_path_factory.mktemp('warehouse')}",
+    }
+    session = get_spark("local[4]", **{"spark.sql.shuffle.partitions": "4"} | shared)
     session.sparkContext.setLogLevel("ERROR")
     yield session
 
