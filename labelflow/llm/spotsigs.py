@@ -10,8 +10,8 @@ of their sizes bounds: pairs whose sizes lie apart are never intersected.
 bands can hold similar sets, and joins on the rarest signatures that any similar set must share.
 
 Null texts count as empty; an empty text has no signatures, is like another empty one (1) and unlike others (0).
-``with_edits`` walks the ids downwards; a missing id counts as the smallest. Rows of one id take the same
-next text, the smallest one where the next id is repeated.
+``with_edits`` walks the ids downwards; a missing id counts as -2**62. Rows of one id take the same next text, the
+largest one where the next id is repeated.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ ANCHORS = (
 CHAIN = 3
 REACH = 12
 THRESHOLD = 0.8
-FAR_BELOW = -(1 << 63)
+FAR_BELOW = -(1 << 62)
+RANGE = 7
 STEPS = (8, 20, 32, 44, 56)
 
 
@@ -103,31 +104,35 @@ def next_below(ids: DataFrame) -> DataFrame:
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
-    body = F.coalesce("text", F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(FAR_BELOW))
-    half = F.floor(F.length(body) / 2).cast("int")
-    rows = docs.select(key.alias("key"), "doc_id", body.alias("body"))
-    rows = signatures(rows, "body", "sigs")
-
-    asks = docs.select(key.alias("id"), half.alias("half")).groupBy("id").agg(F.max("half").alias("half"))
-    asks = asks.join(next_below(docs.select(key.alias("id"))), "id")
-    asks = materialize(asks, "asks")
-    given = asks.join(rows.select(F.col("key").alias("next_id"), "body", "sigs"), "next_id").select(
-        F.col("id").alias("key"), F.struct(F.left("body", F.col("half")).alias("head"), F.col("sigs").alias("next")).alias("given")
-    )
-    given = given.groupBy("key").agg(F.min("given").alias("given"))
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    both = rows.join(given, "key")
+    A row finds its next text in a window over its range of 2**RANGE ids, which is the one shuffle that
+    carries texts. Only the smallest id of a range needs the last text of another range; those are joined.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(FAR_BELOW))
+    rows = docs.select("doc_id", key.alias("key"), F.coalesce("text", F.lit("")).alias("body"))
+    rows = rows.withColumn("part", F.shiftright("key", RANGE))
+
+    pairs = next_below(docs.select(key.alias("id")))
+    crossing = (F.shiftright("id", RANGE) != F.shiftright("next_id", RANGE)) | (F.col("next_id") >= F.col("id"))
+    asks = pairs.where(crossing).select(F.shiftright("id", RANGE).alias("part"), F.col("next_id").alias("key"))
+    tops = rows.groupBy("part").agg(F.max(F.struct("key", "body")).alias("top")).select("top.key", F.col("top.body").alias("edge"))
+    edges = asks.join(tops, "key").select("part", "edge")
+
+    lower = Window.partitionBy("part").orderBy("key").rangeBetween(Window.unboundedPreceding, -1)
+    below = F.max(F.struct("key", "body")).over(lower)
+    both = rows.withColumn("below", below).join(edges, "part", "left")
+    both = both.select("doc_id", "body", F.coalesce("below.body", "edge").alias("next"))
     n = F.length("body")
-    own = F.floor(n / 2).cast("int")
-    edited = F.concat(F.left("body", n - own), F.left("given.head", own))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "sigs", F.col("given.next").alias("next"), edited.alias("edited"))
-    both = signatures(both, "edited", "edited_sigs")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.left("body", n - half), F.left("next", half))
+    both = both.select("doc_id", "body", "next", edited.alias("edited"))
+    for text in ("body", "next", "edited"):
+        both = signatures(both, text, f"{text}_sigs")
     return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("sigs").alias("fingerprint"),
-        digest("edited_sigs").alias("edited_fingerprint"), likeness("sigs", "edited_sigs").alias("near_edited"),
-        likeness("sigs", "next").alias("near_next"),
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        digest("body_sigs").alias("fingerprint"), digest("edited_sigs").alias("edited_fingerprint"),
+        likeness("body_sigs", "edited_sigs").alias("near_edited"), likeness("body_sigs", "next_sigs").alias("near_next"),
     )
 
 
