@@ -380,8 +380,11 @@ def fit(pages: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int =
 
     spark = pages.sparkSession
     eligible = pages.where(F.col("html").isNotNull() & (F.length("html") <= LONGEST))
-    order = [F.xxhash64(F.col("page_id").cast("string")), "page_id", F.md5("html")]
-    rows = eligible.orderBy(*order).limit(sample).select("html").collect()
+    keys = eligible.select(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("rank"), F.md5("html").alias("print"))
+    chosen = keys.orderBy("rank", "print").limit(sample).distinct()
+    found = eligible.join(F.broadcast(chosen), F.md5("html") == chosen["print"])  # at most ``sample`` short rows
+    found = found.groupBy("rank", "print").agg(F.min("html").alias("html"))
+    rows = found.orderBy("rank", "print").collect()
     made = [e for i, r in enumerate(rows) for e in examples(r["html"], i)]
     labels = [k for _, kept in made for k in kept]
     if len(set(labels)) < 2:
