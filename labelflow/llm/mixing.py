@@ -115,7 +115,7 @@ def draw(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs.select("doc_id", "source", "text", own), keep=("row_hash",), **options)
     times = taken.groupBy("row_hash").agg(F.sum("copies").alias("times"), F.count("*").alias("n"))
     times = materialize(times.where("times > 0"), "times")
-    found = docs.select(F.struct(*docs.columns).alias("row"), own).join(times, "row_hash")
+    found = docs.select(F.struct(*docs.columns).alias("row"), own).join(times.hint("merge"), "row_hash")
     rows = found.where("n = 1").unionByName(found.where("n > 1").dropDuplicates(["row_hash"]))
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 

@@ -260,7 +260,7 @@ def mask(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     becomes empty.
     """
     columns = docs.columns
-    aside = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    aside = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns) if c != "text"]
     spans = label_spans(docs.select(*aside, F.coalesce("text", F.lit("")).alias("body")), threshold)
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
     rows = _barrier(spans, "o", order)
@@ -282,7 +282,7 @@ def mask(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rest = F.substring("body", F.element_at("u", -1)["end"].cast("int") + 1, F.length("body"))
     text = F.when(F.size("u") == 0, F.col("body")).otherwise(F.concat(F.array_join(parts, ""), rest))
     rows = _barrier(rows, "new", text)
-    out = {c: F.col(f"c{i}") for i, c in enumerate(columns)} | {"text": F.col("new")}
+    out = {c: F.col(f"c{i}") for i, c in enumerate(columns) if c != "text"} | {"text": F.col("new")}
     if "n_chars" in out:
         out["n_chars"] = F.length("new").cast(dict(docs.dtypes)["n_chars"])
     return rows.select(*[out[c].alias(c) for c in columns])

@@ -192,6 +192,6 @@ def keep_first(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE,
     first = counted.groupBy("root").agg(F.min(order).alias("w"))
     first = materialize(first.select(F.col("w.row_hash").alias("row_hash"), F.col("w.n").alias("n")), "first")
     row = F.struct(*docs.columns)
-    kept = docs.select(row.alias("row"), own.alias("row_hash")).join(first, "row_hash")
+    kept = docs.select(row.alias("row"), own.alias("row_hash")).join(first.hint("merge"), "row_hash")
     once = kept.where("n = 1").select("row.*")
     return once.unionByName(kept.where("n > 1").dropDuplicates(["row_hash"]).select("row.*"))
