@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeat=REPEAT, seed: str
         "finish",
         F.transform(
             F.sequence(F.lit(0), F.lit(repeat - 1)),
-            lambda k: (F.col("served") + k * F.col("source_size")) / F.col("target"),
+            lambda k: F.try_divide(F.col("served") + k * F.col("source_size"), F.col("target")),
         ),
     )
     placed = materialize(placed.drop("served", "before", "cell"), "placed")
