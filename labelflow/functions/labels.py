@@ -37,7 +37,7 @@ def encode(df: DataFrame, col: str, names: Sequence[str], show: int = 100) -> Da
         .collect()
     )
     if bad:
-        raise ValueError("Unmapped sentiment labels: " + ", ".join(r["label"] for r in bad))
+        raise ValueError("labels outside the task: " + ", ".join(r["label"] for r in bad))
     return df.withColumn(col, encode_expr(F.col(col), names).cast("int"))
 
 

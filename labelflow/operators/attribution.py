@@ -67,7 +67,7 @@ def attribute_leave_one_out(
     task, one text at a time, so memory stays at one batch.
     """
     if batch_size <= 0:
-        raise ValueError(f"batch_size must be positive, got {batch_size}")
+        raise ValueError(f"a batch needs at least one row, not {batch_size}")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = scorer()

@@ -112,7 +112,7 @@ def class_weights(df: DataFrame, label_col: str, num_labels: int) -> DataFrame:
 
 def attach_weights(df: DataFrame, label_col: str, weights: DataFrame) -> DataFrame:
     """Add ``weight``; ``weights`` has one row per class id (see :func:`class_weights`)."""
-    w = F.broadcast(weights.withColumnRenamed("label_id", "__id"))
+    w = weights.withColumnRenamed("label_id", "__id")
     return df.join(w, F.col(label_col) == F.col("__id"), "left").drop("__id")
 
 

@@ -269,11 +269,15 @@ def weighted_log_loss(
 ) -> DataFrame:
     """Weighted cross-entropy: sum of w * -ln p[label], divided by the sum of w.
 
-    ``label_col`` is a class id; ``weights`` holds (label_id, weight), one row per class.
+    ``label_col`` is a class id; ``weights`` holds (label_id, weight), one row per class. A label without a weight
+    or beyond the probabilities is an error.
     """
-    p = F.get(F.col(probs_col), F.col(label_col))
-    joined = df.join(F.broadcast(weights), F.col(label_col) == F.col("label_id"))
-    return joined.agg((F.sum(F.col("weight") * -F.ln(p)) / F.sum("weight")).alias("log_loss"))
+    joined = df.join(weights, F.col(label_col) == F.col("label_id"), "left")
+    label = F.coalesce(F.col(label_col).cast("string"), F.lit("null"))
+    bad = F.raise_error(F.concat(F.lit("log loss: no weight or no probability for label "), label)).cast("double")
+    w = F.coalesce(F.col("weight").cast("double"), bad)
+    p = F.coalesce(F.get(F.col(probs_col), F.col(label_col)).cast("double"), bad)
+    return joined.agg((F.sum(w * -F.ln(p)) / F.sum(w)).alias("log_loss"))
 
 
 def cohen_kappa(

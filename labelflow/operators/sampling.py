@@ -1,6 +1,7 @@
 """Deterministic draws: quotas per stratum, stratified splits, capped samples, oversampling.
 
-Row order is the md5 key of (seed, id), then the id. A quota never needs a per-stratum sort of the table:
+Row order is the md5 key of (seed, id), then the id, then a hash of the row's content, so repeated and missing
+ids are drawn exactly; rows equal in all columns are told apart by a number. A quota never needs a per-stratum sort of the table:
 
 1. count rows per (stratum, first three hex digits of the key) - a small table after map-side combine,
    written once; stratum sizes come from it too;
@@ -23,9 +24,11 @@ from labelflow.functions.hashing import hash_int, hash_key
 from labelflow.session import materialize
 
 MAX_STRATA = 10_000
-INLINE_STRATA = 32  # up to this many cuts are literals in the plan, more are a broadcast table
 PREFIX = 3
 
+# key, id and content hash of the quota's last row, how many rows equal to it are taken, and how many there are
+Cut = tuple[str, str, int, int, int]
+
 
 def stratum_counts(df: DataFrame, stratum: str, limit: int = MAX_STRATA) -> dict[str | None, int]:
     """Rows per stratum on the driver; refuses columns that are not class-like."""
@@ -48,8 +51,8 @@ def _key_ranges(keyed: DataFrame) -> DataFrame:
 
 def _last_rows(
     keyed: DataFrame, ranges: DataFrame, quotas: Mapping[str | None, int]
-) -> dict[str | None, tuple[str, str]]:
-    """Per stratum, for quotas above 0 and below its size: the (key, id) of the quota's last row."""
+) -> dict[str | None, Cut]:
+    """Per stratum, for quotas above 0 and below its size: where the quota's last row stands."""
     spark = keyed.sparkSession
     wanted = F.broadcast(
         _small(spark, [(s, int(q)) for s, q in quotas.items()], "ws string, quota long")
@@ -66,14 +69,17 @@ def _last_rows(
         _small(spark, [tuple(r) for r in edges], "es string, ep string, rest long")
     )
     prefix = F.substring("k", 1, PREFIX)
-    ranked = (
-        keyed.join(edge, F.col("s").eqNullSafe(F.col("es")) & (prefix == F.col("ep")))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("k", "id")))
-        .filter(F.col("rank") == F.col("rest"))
-        .select("s", "k", "id")
+    alike = keyed.join(edge, F.col("s").eqNullSafe(F.col("es")) & (prefix == F.col("ep"))).groupBy(
+        "s", "k", "id", "t", "rest"
+    ).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("s").orderBy("k", "id", "t"))
+    last = (
+        alike.withColumn("upto", upto)
+        .filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
+        .select("s", "k", "id", "t", "n", (F.col("rest") - F.col("upto") + F.col("n")).alias("take"))
         .collect()
     )
-    return {r["s"]: (r["k"], r["id"]) for r in ranked}
+    return {r["s"]: (r["k"], r["id"], r["t"], r["take"], r["n"]) for r in last}
 
 
 def _total(ranges: DataFrame) -> dict[str | None, int]:
@@ -98,46 +104,41 @@ def mark_quota(
     restricts which rows compete.
     """
     among = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
-    keyed = df.filter(among).select(
-        stratum.cast("string").alias("s"),
-        hash_key(seed, F.col(id_col)).alias("k"),
-        F.col(id_col).cast("string").alias("id"),
-    )
+    key, ident = hash_key(seed, F.col(id_col)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    content = F.xxhash64(*df.columns)
+    name = stratum.cast("string")
+    keyed = df.filter(among).select(name.alias("s"), key.alias("k"), ident.alias("id"), content.alias("t"))
     ranges = _key_ranges(keyed)
     counts = _total(ranges)
     wanted = quotas(counts) if callable(quotas) else quotas
     inner = {s: wanted[s] for s, n in counts.items() if 0 < wanted.get(s, 0) < n}
     # Every hex key sorts before "g", so that cut takes a whole stratum.
-    cuts = {s: ("g", "") for s, n in counts.items() if wanted.get(s, 0) >= n}
+    cuts: dict[str | None, Cut] = {s: ("g", "", 0, 1, 1) for s, n in counts.items() if wanted.get(s, 0) >= n}
     if inner:
         cuts.update(_last_rows(keyed, ranges, inner))
     if not cuts:
         return df.withColumn(out, F.lit(False))
-    key, ident = hash_key(seed, F.col(id_col)), F.col(id_col).cast("string")
-
-    def below(cut_key: Column, cut_id: Column) -> Column:
-        return (key < cut_key) | ((key == cut_key) & (ident <= cut_id))
-
-    if len(cuts) <= INLINE_STRATA:
-        hit = None
-        for s, (k, i) in cuts.items():
-            mine = stratum.cast("string").eqNullSafe(F.lit(s).cast("string"))
-            hit = (F.when if hit is None else hit.when)(mine, below(F.lit(k), F.lit(i)))
-        return df.withColumn(out, among & F.coalesce(hit, F.lit(False)))
-    table = F.broadcast(
-        _small(
-            df.sparkSession,
-            [(s, k, i) for s, (k, i) in cuts.items()],
-            "__s string, __cut_key string, __cut_id string",
-        )
+    table = _small(
+        df.sparkSession,
+        list(cuts.items()),
+        "__s string, __cut struct<k: string, id: string, t: long, take: long, n: long>",
     )
-    hit = below(F.col("__cut_key"), F.col("__cut_id"))
-    return (
-        df.withColumn("__stratum", stratum.cast("string"))
-        .join(table, F.col("__stratum").eqNullSafe(F.col("__s")), "left")
-        .withColumn(out, among & F.coalesce(hit, F.lit(False)))
-        .drop("__stratum", "__s", "__cut_key", "__cut_id")
+    at, cut = F.struct(key.alias("k"), ident.alias("id"), content.alias("t")), F.col("__cut")
+    edge = F.struct(cut["k"].alias("k"), cut["id"].alias("id"), cut["t"].alias("t"))
+    placed = (
+        df.withColumn("__stratum", name).withColumn("__at", at).withColumn("__among", among)
+        .join(F.broadcast(table), F.col("__stratum").eqNullSafe(F.col("__s")), "left")
+        .withColumn("__hit", F.col("__among") & F.coalesce(F.col("__at") <= edge, F.lit(False)))
+        .withColumn("__tie", F.col("__hit") & (F.col("__at") == edge) & (cut["take"] < cut["n"]))
     )
+    columns = [*df.columns]
+    marked = placed.filter(~F.col("__tie")).select(*columns, F.col("__hit").alias(out))
+    if all(c[3] == c[4] for c in cuts.values()):
+        return placed.select(*columns, F.col("__hit").alias(out))
+    # only some of a set of identical rows are taken; which of them makes no difference
+    place = F.row_number().over(Window.partitionBy("__stratum").orderBy(F.lit(0)))
+    ties = placed.filter("__tie").withColumn("__place", place)
+    return marked.unionByName(ties.select(*columns, (F.col("__place") <= cut["take"]).alias(out)))
 
 
 def take_quota(df: DataFrame, stratum: Column, quotas, id_col: str, seed: int = 42) -> DataFrame:

@@ -35,7 +35,7 @@ def score(
     cannot drift apart. Arrow batches are re-cut to ``batch_size`` texts per scorer call.
     """
     if batch_size <= 0:
-        raise ValueError(f"batch_size must be positive, got {batch_size}")
+        raise ValueError(f"a batch needs at least one row, not {batch_size}")
     with_sarcasm = sarcasm_scorer is not None and not skip_sarcasm
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,19 +98,25 @@ def linear_logits(
     """
     # Empty tokens are kept: they match nothing, and a text without tokens still gets its row.
     words = F.split(F.lower(F.coalesce(text_col, F.lit(""))), T.WHITESPACE, -1)
-    tokens = df.select(F.col(id_col), F.explode(words).alias("token"))
+    # Rows of one id are told apart by their text; equal rows are summed together and dealt out again.
+    row = [id_col, "__text"]
+    tokens = df.select(
+        F.col(id_col), F.xxhash64(text_col).alias("__text"), F.posexplode(words).alias("__pos", "token")
+    )
+    counted = tokens.groupBy(*row, "token").agg(
+        F.count(F.lit(1)).alias("times"), F.count_if(F.col("__pos") == 0).alias("rows")
+    )
     if check_lexicon(weights):
-        hits = tokens.join(F.broadcast(weights), "token", "left")
-        times = F.lit(1)
+        hits = tokens.select(*row, "token", F.lit(1).alias("times"), (F.col("__pos") == 0).cast("long").alias("rows"))
+        hits = hits.join(F.broadcast(weights), "token", "left")
     else:
-        counted = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("times"))
         hits = counted.join(weights, "token", "left")
-        times = F.col("times")
-    sums = hits.groupBy(id_col).agg(
-        *[F.sum(F.coalesce(F.col(c), F.lit(0.0)) * times).alias(c) for c in classes]
+    sums = hits.groupBy(*row).agg(
+        *[F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("times")).alias(c) for c in classes],
+        F.sum("rows").alias("__rows"),
     )
-    logits = F.array(*[F.col(c) + F.lit(float(b)) for c, b in zip(classes, intercept)])
-    return sums.select(id_col, logits.alias("logits"))
+    logits = F.array(*[F.col(c) / F.col("__rows") + F.lit(float(b)) for c, b in zip(classes, intercept)])
+    return sums.select(id_col, logits.alias("logits"), F.explode(F.sequence(F.lit(1).cast("long"), "__rows")).alias("__n")).drop("__n")
 
 
 def from_logits(scored: DataFrame, classes: Sequence[str]) -> DataFrame:

@@ -140,7 +140,7 @@ def read_csv(
 def read_upload(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Uploaded CSV; must have a ``text`` column."""
     if "text" not in columns:
-        raise SchemaError("CSV must contain a 'text' column")
+        raise SchemaError("an upload needs a column named text")
     return read_csv(spark, path, columns)
 
 

@@ -114,16 +114,18 @@ def alert_stream(
     the same folders: results stay exact after a restart.
     """
     spark = windows.sparkSession
-    key = ", ".join(f"{c} string" for c in by)
+    state_schema = ", ".join([*(f"`{c}` {windows.schema[c].dataType.simpleString()}" for c in by), OPEN])
 
     def run(closed: DataFrame, batch: int) -> None:
+        closed = closed.persist()  # both outputs below read it
         if batch == 0:
-            state = spark.createDataFrame([], f"{key}, {OPEN}")
+            state = spark.createDataFrame([], state_schema)
         else:
-            state = spark.read.schema(f"{key}, {OPEN}").parquet(f"{folder}/state/batch={batch - 1}")
+            state = spark.read.schema(state_schema).parquet(f"{folder}/state/batch={batch - 1}")
         new, still_open = advance_alerts(closed, state, condition, hold, step, by)
         new.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch}")
         still_open.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
+        closed.unpersist()
 
     writer = (
         windows.writeStream.outputMode("append")

@@ -177,7 +177,7 @@ def test_class_rank(spark):
 
 def test_encode_lists_bad_labels(frame):
     df = frame("label string", ("positive",), ("mixed",), ("bad",), ("mixed",))
-    with pytest.raises(ValueError, match="Unmapped sentiment labels: bad, mixed"):
+    with pytest.raises(ValueError, match="labels outside the task: bad, mixed"):
         L.encode(df, "label", ("negative", "neutral", "positive"))
     ok = L.encode(df.limit(1), "label", ("negative", "neutral", "positive"))
     assert [r["label"] for r in ok.collect()] == [2]
@@ -185,3 +185,15 @@ def test_encode_lists_bad_labels(frame):
 
 def test_ceil_uses_double_arithmetic():
     assert sum(sp.validation_counts({"a": 30, "b": 70}, 0.07).values()) == math.ceil(0.07 * 100)
+
+
+@pytest.mark.parametrize("ids", [[None] * 100, ["None"] * 100, ["a"] * 60 + [None] * 40])
+def test_quotas_are_exact_for_repeated_and_missing_ids(spark, ids):
+    rows = [(i, f"text {n // 2}", "train") for n, i in enumerate(ids)]  # pairs of rows are equal in all columns
+    df = spark.createDataFrame(rows, "sentence_id string, text string, split string")
+    split = sp.stratified_split(df, None, 0.1)
+    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 90, "val": 10}
+    for n in (0, 1, 7, 99, 100, 200):
+        assert sp.sample_rows(df, n, "sentence_id").count() == min(n, 100)
+    assert sp.sample_per_group(df, "split", 20).count() == 20
+    assert sp.mix_tasks(df, df.limit(3), "sentence_id").count() == 12
