@@ -170,20 +170,17 @@ def request_events(t: Tables):
 @query(
     "upload_scan_s9_w4",
     sql(
-        """SELECT row_number() OVER (ORDER BY row_order) AS row, sentence_id, md5(text) AS text_md5
-           FROM (SELECT * FROM sentences ORDER BY row_order LIMIT 500)""",
+        "SELECT row_order, sentence_id, md5(text) AS text_md5 FROM sentences",
         "sentences",
     ),
 )
 def upload_scan(t: Tables):
-    """First 500 rows of an uploaded file, numbered from 1 (the cap is the upload's own rule)."""
+    """Every row of an uploaded file; the upload's own cap is ``first_rows_w4``."""
     path = scratch_path(t.spark, "upload-csv")
     columns = ["row_order", "sentence_id", "text"]
     sk.write_csv(t.sentences, path, columns)
-    rows = rd.read_upload(t.spark, path, columns).withColumn("row_order", F.col("row_order").cast("long"))
-    return sp.first_rows(rows, 500).select(
-        F.col("row").cast("long").alias("row"), "sentence_id", F.md5("text").alias("text_md5")
-    )
+    rows = rd.read_upload(t.spark, path, columns)
+    return rows.select(F.col("row_order").cast("long").alias("row_order"), "sentence_id", F.md5("text").alias("text_md5"))
 
 
 @query(

@@ -185,7 +185,7 @@ def fit_classifier(t: Tables):
     text = t.sentences.select(F.col("sentence_id").alias("id"), "text", "row_order")
     lang = language_label(F.col("lang")).alias("lang")
     rows = t.predictions.select("id", F.col("y_true").alias("label"), lang).join(text, "id")
-    fitted = tr.fit_classifier(rows, "sentiment", max_iter=5, features=1 << 12)
+    fitted = tr.fit_classifier(rows, "sentiment")
     names = F.array(*[F.lit(x) for x in fitted.task.label_names])
     out = fitted.predict(fitted.test).select(F.get(names, F.col("label")).alias("y_true"), "y_pred")
     return m.confusion_matrix(m.confusion_counts(out), fitted.task.label_names).select("y_true", "y_pred", "n")

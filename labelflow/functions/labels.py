@@ -25,19 +25,19 @@ def encode_expr(name: Column, names: Sequence[str]) -> Column:
     return lookup(name, {n: i for i, n in enumerate(names)})
 
 
-def encode(df: DataFrame, col: str, names: Sequence[str], show: int = 100) -> DataFrame:
-    """Label names to ids; fails with the sorted unmapped labels (at most ``show`` are listed)."""
+def unmapped(df: DataFrame, col: str, names: Sequence[str]) -> DataFrame:
+    """(label, n) of every label outside ``names``; a missing one reads ``nan``."""
     known = F.coalesce(F.col(col).isin(*names), F.lit(False))
-    bad = (
-        df.filter(~known)
-        .select(F.coalesce(F.col(col).cast("string"), F.lit("nan")).alias("label"))
-        .distinct()
-        .orderBy("label")
-        .limit(show)
-        .collect()
-    )
+    label = F.coalesce(F.col(col).cast("string"), F.lit("nan")).alias("label")
+    return df.filter(~known).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def encode(df: DataFrame, col: str, names: Sequence[str], show: int = 100) -> DataFrame:
+    """Label names to ids; fails if :func:`unmapped` has rows, whose first ``show`` the error names."""
+    bad = unmapped(df, col, names).orderBy("label").limit(show + 1).collect()
     if bad:
-        raise ValueError("labels outside the task: " + ", ".join(r["label"] for r in bad))
+        more = ", and others" if len(bad) > show else ""
+        raise ValueError("labels outside the task: " + ", ".join(r["label"] for r in bad[:show]) + more)
     return df.withColumn(col, encode_expr(F.col(col), names).cast("int"))
 
 

@@ -10,13 +10,8 @@ from pyspark.sql import functions as F
 
 from labelflow.functions import text as T
 from labelflow.functions import vocab
-from labelflow.operators.scoring import (
-    ScorerFactory,
-    check_lexicon,
-    from_logits,
-    linear_logits,
-    token_rows,
-)
+from labelflow.operators.scoring import ScorerFactory, from_logits
+from labelflow.session import materialize
 
 
 def attribute_linear(
@@ -29,23 +24,34 @@ def attribute_linear(
 ) -> DataFrame:
     """(id, sentiment, base_value, pos, token, value): each token's weight for the predicted class.
 
-    Texts meet their predicted class first and are cut into tokens after that, so tokens are never shuffled.
+    Every row is cut into tokens under a key of its own, so missing and repeated ids stay apart, and a text's
+    tokens meet once, with their weights, where they are summed and rated. Texts without tokens have no rows.
     """
-    predicted = from_logits(linear_logits(df, weights, classes, intercept, text_col, id_col), classes)
-    predicted = predicted.select(id_col, "sentiment")
-    small = F.broadcast(weights) if check_lexicon(weights) else weights
-    rated = df.select(id_col, text_col).join(predicted, id_col)
-    hits = token_rows(rated, text_col, id_col, ["sentiment"]).join(small, "token", "left")
-    return hits.select(
+    keyed = df.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), F.lower(text_col).alias("__text"))
+    keyed = materialize(keyed, "keyed")  # written, so that a task that runs again finds the same keys
+    words = keyed.select("__row", id_col, F.posexplode(T.tokens(F.col("__text"))).alias("pos", "token"))
+    hits = words.join(weights, "token", "left").select(
+        "__row", id_col, F.struct("pos", "token", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in classes]).alias("hit")
+    )
+    rows = hits.groupBy("__row", id_col).agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    sums = [_total(c, b) for c, b in zip(classes, intercept)]
+    rows = from_logits(rows.withColumn("logits", F.array(*sums)), classes).select(
+        id_col, "sentiment", F.explode("hits").alias("hit")
+    )
+    return rows.select(
         id_col,
         "sentiment",
         _by_class(classes, [F.lit(float(b)) for b in intercept]).alias("base_value"),
-        "pos",
-        "token",
-        F.coalesce(_by_class(classes, [F.col(c) for c in classes]), F.lit(0.0)).alias("value"),
+        "hit.pos",
+        "hit.token",
+        _by_class(classes, [F.col("hit")[c] for c in classes]).alias("value"),
     )
 
 
+def _total(name: str, start: float) -> Column:
+    return F.aggregate("hits", F.lit(float(start)), lambda total, hit: total + hit[name])
+
+
 def _by_class(classes: Sequence[str], values: Sequence[Column]) -> Column:
     out = None
     for c, v in zip(classes, values):

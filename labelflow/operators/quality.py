@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 
 from labelflow.functions import vocab
 from labelflow.operators.frames import Frames
-from labelflow.operators.sampling import MAX_STRATA
 from labelflow.session import materialize
 
 SENTENCE_COLUMNS = ("sentence_id", "text", "sentiment", "split")
 ASPECT_COLUMNS = ("sentence_id", "aspect_category", "sentiment")
-# A nested report names this many labels per group; a dirty free-text column must not fill one row.
-REPORT_LABELS = 1000
-OTHER_LABELS = "<other>"
+SPLITS_TYPE = "map<string, struct<samples: long, null_ratio: double, label_distribution: map<string, long>>>"
+LENGTHS_TYPE = "struct<mean: double, min: int, max: int, median: double, p95: double>"
 FINDING = "severity string, rule string, scope string, detail string"
 
 
@@ -38,6 +36,7 @@ class QualityResult:
     findings: DataFrame
     report: DataFrame
     splits: DataFrame | None = None
+    labels: DataFrame | None = None
     profiles: tuple[DataFrame, ...] = field(default=())
 
 
@@ -111,23 +110,26 @@ def text_length_stats(profile: DataFrame) -> DataFrame:
     )
 
 
+def invalid_label_counts(profile: DataFrame, col: str, allowed: Sequence[str]) -> DataFrame:
+    """(label, n, first_row) of every label that is not allowed, a missing one as null."""
+    bad = profile.filter(~F.coalesce(F.col(col).isin(*allowed), F.lit(False)))
+    return bad.groupBy(F.col(col).alias("label")).agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
+
+
 def invalid_labels(
     profile: DataFrame, col: str, allowed: Sequence[str], limit: int = 10
 ) -> DataFrame:
     """One row: invalid row count and at most ``limit`` distinct examples in first-seen order.
 
-    Missing labels are invalid; they are shown only when nothing else is.
+    Missing labels are invalid; they are shown only when nothing else is. All of them:
+    :func:`invalid_label_counts`.
     """
-    bad = (
-        profile.filter(~F.coalesce(F.col(col).isin(*allowed), F.lit(False)))
-        .groupBy(col)
-        .agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
-    )
+    bad = invalid_label_counts(profile, col, allowed)
     total = bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("invalid")).withColumn("one", F.lit(1))
-    named = bad.filter(F.col(col).isNotNull()).orderBy("first_row").limit(limit)
+    named = bad.filter(F.col("label").isNotNull()).orderBy("first_row").limit(limit)
     shown = named.agg(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("first_row", F.col(col).alias("v")))),
+            F.sort_array(F.collect_list(F.struct("first_row", F.col("label").alias("v")))),
             lambda r: r["v"],
         ).alias("seen")
     ).withColumn("one", F.lit(1))
@@ -255,13 +257,11 @@ def quality_report(
     broken = _missing_columns(frames)
     if broken:
         findings = spark.createDataFrame(broken, FINDING)
-        return QualityResult(findings, _report(findings, None, None, None, None))
+        return QualityResult(findings, _unread_report(findings, frames.sentences.count()))
 
     sp = materialize(sentence_profile(frames.sentences, order_col), "sentence-profile")
     ap = materialize(aspect_profile(frames.aspects, order_col), "aspect-profile")
     splits, labels, categories = split_stats(sp), label_distribution(sp), aspect_distribution(ap)
-    if splits.limit(MAX_STRATA + 1).count() > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} splits: 'split' is not a split column")
 
     parts = [row_count_rules(splits, ap, limits), null_ratio_rules(splits, ap, limits)]
     for rule, profile, col, allowed in (
@@ -317,44 +317,50 @@ def quality_report(
     for part in parts[1:]:
         findings = findings.unionByName(part)
     return QualityResult(
-        findings, _report(findings, splits, labels, categories, text_length_stats(sp)), splits, (sp, ap)
+        findings,
+        _report(findings, splits, labels, categories, text_length_stats(sp)),
+        splits,
+        labels.unionByName(categories.withColumn("split", F.lit(None).cast("string"))),
+        (sp, ap),
     )
 
 
-def _entries() -> Column:
-    return F.sort_array(F.collect_list(F.struct("label", "n")))
+def _checks(findings: DataFrame) -> DataFrame:
+    message = F.concat_ws(": ", "rule", "scope", "detail")
 
+    def messages(severity: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("severity") == severity, message)))
 
-def _with_rest(total: Column) -> Column:
-    """Map of the listed labels; rows of unlisted ones stay counted under ``<other>``."""
-    rest = F.array(F.struct(F.lit(OTHER_LABELS).alias("label"), (total - F.col("listed")).alias("n")))
-    return F.map_from_entries(
-        F.when(total > F.col("listed"), F.concat("entries", rest)).otherwise(F.col("entries"))
+    out = findings.agg(messages("error").alias("errors"), messages("warning").alias("warnings"))
+    return out.withColumn("checks_passed", F.size("errors") == 0)
+
+
+def _unread_report(findings: DataFrame, total: int) -> DataFrame:
+    """The report of frames that lack columns: the columns of :func:`_report`, nothing but the row count in it."""
+    return _checks(findings).select(
+        F.lit(total).cast("long").alias("total_samples"),
+        F.create_map().cast(SPLITS_TYPE).alias("splits"),
+        F.create_map().cast("map<string, long>").alias("aspect_distribution"),
+        F.lit(None).cast(LENGTHS_TYPE).alias("text_length_stats"),
+        "checks_passed",
+        "errors",
+        "warnings",
     )
 
 
-def _report(findings, splits, labels, categories, lengths) -> DataFrame:
-    """One row: total_samples, splits, aspect_distribution, text_length_stats, checks, messages."""
-    one = F.lit(1).alias("one")
-    message = F.concat_ws(": ", "rule", "scope", "detail")
+def _label_map() -> Column:
+    return F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n"))))
 
-    def messages(severity: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(F.col("severity") == severity, message)))
 
-    checks = findings.agg(messages("error").alias("errors"), messages("warning").alias("warnings"), one)
-    checks = checks.withColumn("checks_passed", F.size("errors") == 0)
-    if splits is None:
-        return checks.select(
-            F.lit(0).cast("long").alias("total_samples"), "checks_passed", "errors", "warnings"
-        )
-    largest = Window.partitionBy("split").orderBy(F.desc("n"), "label")
-    listed = labels.withColumn("__rank", F.row_number().over(largest)).filter(
-        F.col("__rank") <= REPORT_LABELS
-    )
-    maps = listed.groupBy("split").agg(_entries().alias("entries"), F.sum("n").alias("listed"))
-    per_split = splits.join(maps, "split").withColumn(
-        "label_distribution", _with_rest(F.col("samples"))
-    )
+def _report(findings, splits, labels, categories, lengths) -> DataFrame:
+    """One row: total_samples, splits, aspect_distribution, text_length_stats, checks, messages.
+
+    It names every split, label and message, so its size is theirs; ``QualityResult.labels`` holds the same
+    counts as rows, for columns that are not label-like.
+    """
+    one = F.lit(1).alias("one")
+    checks = _checks(findings).withColumn("one", one)
+    per_split = splits.join(labels.groupBy("split").agg(_label_map().alias("label_distribution")), "split")
     split_map = per_split.agg(
         F.coalesce(F.sum("samples"), F.lit(0)).alias("total_samples"),
         F.map_from_entries(
@@ -375,13 +381,7 @@ def _report(findings, splits, labels, categories, lengths) -> DataFrame:
         ).alias("splits"),
         one,
     )
-    total = categories.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), one)
-    top = categories.orderBy(F.desc("n"), "label").limit(REPORT_LABELS)
-    aspect_map = (
-        top.agg(_entries().alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("listed"), one)
-        .join(total, "one")
-        .select(_with_rest(F.col("total")).alias("aspect_distribution"), "one")
-    )
+    aspect_map = categories.agg(_label_map().alias("aspect_distribution"), one)
     stats = lengths.select(F.struct(*lengths.columns).alias("text_length_stats"), one)
     return (
         split_map.join(aspect_map, "one")

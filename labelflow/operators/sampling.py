@@ -3,11 +3,14 @@
 Row order is the md5 key of (seed, id), then the id, then a hash of the row's content, so repeated and missing
 ids are drawn exactly; rows equal in all columns are told apart by a number. A quota never needs a per-stratum sort of the table:
 
-1. count rows per (stratum, first three hex digits of the key) - a small table after map-side combine,
+1. count rows per (stratum, first ``digits`` hex digits of the key) - a small table after map-side combine,
    written once; stratum sizes come from it too;
 2. find, per stratum, the one key range that holds the quota's last row, and rank only that range
-   (1/4096 of the stratum);
-3. mark rows by comparing their key with that last row - a projection, no shuffle of the wide table.
+   (1/4096 of the stratum at three digits);
+3. mark rows by comparing their key with that last row, from a table of one row per stratum. It is joined by
+   its size, which for class-like strata means a broadcast: no shuffle of the wide table.
+
+Sizes, quotas and last rows stay tables, so there may be any number of strata.
 
 So a stratum with a third of all rows costs no more than its share of a scan.
 """
@@ -17,125 +20,95 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelflow.functions.hashing import hash_int, hash_key
 from labelflow.session import materialize
 
-MAX_STRATA = 10_000
-PREFIX = 3
-
-# key, id and content hash of the quota's last row, how many rows equal to it are taken, and how many there are
-Cut = tuple[str, str, int, int, int]
-
-
-def stratum_counts(df: DataFrame, stratum: str, limit: int = MAX_STRATA) -> dict[str | None, int]:
-    """Rows per stratum on the driver; refuses columns that are not class-like."""
-    rows = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} strata in '{stratum}'")
-    return {r[0]: r["n"] for r in rows}
-
-
-def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A driver-made relation of at most MAX_STRATA rows; its known size makes joins to it broadcast."""
-    return spark.createDataFrame(rows, schema)
+DIGITS = 3
+DRAWS = 4096
 
 
-def _key_ranges(keyed: DataFrame) -> DataFrame:
-    """(s, p, n): rows per stratum and key prefix, written once; counts and edges are read from it."""
-    prefix = F.substring("k", 1, PREFIX).alias("p")
+def key_ranges(keyed: DataFrame, digits: int) -> DataFrame:
+    """(s, p, n): rows per stratum and key prefix, written once; sizes and edges are read from it."""
+    prefix = F.substring("k", 1, digits).alias("p")
     return materialize(keyed.groupBy("s", prefix).agg(F.count(F.lit(1)).alias("n")), "key-ranges")
 
 
-def _last_rows(
-    keyed: DataFrame, ranges: DataFrame, quotas: Mapping[str | None, int]
-) -> dict[str | None, Cut]:
-    """Per stratum, for quotas above 0 and below its size: where the quota's last row stands."""
-    spark = keyed.sparkSession
-    wanted = F.broadcast(
-        _small(spark, [(s, int(q)) for s, q in quotas.items()], "ws string, quota long")
+def _last_rows(keyed: DataFrame, ranges: DataFrame, wanted: DataFrame, digits: int) -> DataFrame:
+    """(s, cut) of strata with a quota above 0: where the quota's last row stands, how many rows equal to it
+    are taken, and how many there are. Every hex key sorts before "g", so that cut takes a whole stratum."""
+    sized = ranges.groupBy("s").agg(F.sum("n").alias("size"))
+    asked = sized.join(wanted.select(F.col("s").alias("ws"), "quota"), F.col("s").eqNullSafe(F.col("ws")))
+    asked = materialize(asked.where("quota > 0").select(F.col("s").alias("ws"), "quota", "size"), "quotas")
+    whole = asked.where("quota >= size").select(
+        F.col("ws").alias("s"),
+        F.struct(F.lit("g").alias("k"), F.lit("").alias("id"), F.lit(0).cast("long").alias("t"),
+                 F.lit(1).cast("long").alias("take"), F.lit(1).cast("long").alias("n")).alias("cut"),
     )
-    before = Window.partitionBy("s").orderBy("p")
+    reached = F.col("upto") >= F.col("rest")
+    started = F.col("upto") - F.col("n") < F.col("rest")
     edges = (
-        ranges.join(wanted, F.col("s").eqNullSafe(F.col("ws")))
-        .withColumn("upto", F.sum("n").over(before))
-        .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select("s", "p", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))
-        .collect()
+        ranges.join(asked.where("quota < size"), F.col("s").eqNullSafe(F.col("ws")))
+        .withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("p")))
+        .withColumnRenamed("quota", "rest")
+        .where(reached & started)
+        .select(F.col("s").alias("es"), F.col("p").alias("ep"), (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))
     )
-    edge = F.broadcast(
-        _small(spark, [tuple(r) for r in edges], "es string, ep string, rest long")
-    )
-    prefix = F.substring("k", 1, PREFIX)
-    alike = keyed.join(edge, F.col("s").eqNullSafe(F.col("es")) & (prefix == F.col("ep"))).groupBy(
-        "s", "k", "id", "t", "rest"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("s").orderBy("k", "id", "t"))
+    edges = materialize(edges, "edges")
+    in_range = F.col("s").eqNullSafe(F.col("es")) & (F.substring("k", 1, digits) == F.col("ep"))
+    alike = keyed.join(edges, in_range).groupBy("s", "k", "id", "t", "rest").agg(F.count(F.lit(1)).alias("n"))
     last = (
-        alike.withColumn("upto", upto)
-        .filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
-        .select("s", "k", "id", "t", "n", (F.col("rest") - F.col("upto") + F.col("n")).alias("take"))
-        .collect()
+        alike.withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("k", "id", "t")))
+        .where(reached & started)
+        .select("s", F.struct("k", "id", "t", (F.col("rest") - F.col("upto") + F.col("n")).alias("take"), "n").alias("cut"))
     )
-    return {r["s"]: (r["k"], r["id"], r["t"], r["take"], r["n"]) for r in last}
-
-
-def _total(ranges: DataFrame) -> dict[str | None, int]:
-    rows = ranges.groupBy("s").agg(F.sum("n").alias("n")).limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    return {r["s"]: r["n"] for r in rows}
+    return whole.unionByName(last)
 
 
 def mark_quota(
     df: DataFrame,
     stratum: Column,
-    quotas: Mapping[str | None, int] | Callable[[dict], Mapping[str | None, int]],
+    quotas: Mapping[str | None, int] | Callable[[DataFrame], DataFrame],
     id_col: str,
     seed: int,
     out: str = "taken",
     among: Column | None = None,
+    digits: int = DIGITS,
 ) -> DataFrame:
     """Add boolean ``out``: true for exactly ``quota`` rows of each stratum (all, if it has fewer).
 
-    ``quotas`` maps strata to row numbers, or computes that mapping from the strata's sizes. ``among``
-    restricts which rows compete.
+    ``quotas`` makes (s, quota) from (s, n), the strata and their sizes, or maps strata to numbers; there may
+    be any number of strata.
+    ``among`` restricts which rows compete. ``digits`` sets the number of key ranges, 16 to its power: one
+    more divides what is ranked per stratum by 16.
     """
     among = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
     key, ident = hash_key(seed, F.col(id_col)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     content = F.xxhash64(*df.columns)
     name = stratum.cast("string")
     keyed = df.filter(among).select(name.alias("s"), key.alias("k"), ident.alias("id"), content.alias("t"))
-    ranges = _key_ranges(keyed)
-    counts = _total(ranges)
-    wanted = quotas(counts) if callable(quotas) else quotas
-    inner = {s: wanted[s] for s, n in counts.items() if 0 < wanted.get(s, 0) < n}
-    # Every hex key sorts before "g", so that cut takes a whole stratum.
-    cuts: dict[str | None, Cut] = {s: ("g", "", 0, 1, 1) for s, n in counts.items() if wanted.get(s, 0) >= n}
-    if inner:
-        cuts.update(_last_rows(keyed, ranges, inner))
-    if not cuts:
-        return df.withColumn(out, F.lit(False))
-    table = _small(
-        df.sparkSession,
-        list(cuts.items()),
-        "__s string, __cut struct<k: string, id: string, t: long, take: long, n: long>",
-    )
+    ranges = key_ranges(keyed, digits)
+    if isinstance(quotas, Mapping):
+        wanted = df.sparkSession.createDataFrame(list(quotas.items()), "s string, quota long")
+    else:
+        wanted = quotas(ranges.groupBy("s").agg(F.sum("n").alias("n")))
+    cuts = _last_rows(keyed, ranges, wanted, digits).withColumnsRenamed({"s": "__s", "cut": "__cut"})
+    cuts = materialize(cuts, "cuts")  # one row per stratum; read back, its size decides how it is joined
     at, cut = F.struct(key.alias("k"), ident.alias("id"), content.alias("t")), F.col("__cut")
     edge = F.struct(cut["k"].alias("k"), cut["id"].alias("id"), cut["t"].alias("t"))
     placed = (
         df.withColumn("__stratum", name).withColumn("__at", at).withColumn("__among", among)
-        .join(F.broadcast(table), F.col("__stratum").eqNullSafe(F.col("__s")), "left")
+        .join(cuts, F.col("__stratum").eqNullSafe(F.col("__s")), "left")
         .withColumn("__hit", F.col("__among") & F.coalesce(F.col("__at") <= edge, F.lit(False)))
-        .withColumn("__tie", F.col("__hit") & (F.col("__at") == edge) & (cut["take"] < cut["n"]))
+        .withColumn("__tie", F.col("__hit") & F.coalesce((F.col("__at") == edge) & (cut["take"] < cut["n"]), F.lit(False)))
     )
     columns = [*df.columns]
-    marked = placed.filter(~F.col("__tie")).select(*columns, F.col("__hit").alias(out))
-    if all(c[3] == c[4] for c in cuts.values()):
+    if cuts.where(cut["take"] < cut["n"]).isEmpty():
         return placed.select(*columns, F.col("__hit").alias(out))
     # only some of a set of identical rows are taken; which of them makes no difference
+    marked = placed.filter(~F.col("__tie")).select(*columns, F.col("__hit").alias(out))
     place = F.row_number().over(Window.partitionBy("__stratum").orderBy(F.lit(0)))
     ties = placed.filter("__tie").withColumn("__place", place)
     return marked.unionByName(ties.select(*columns, (F.col("__place") <= cut["take"]).alias(out)))
@@ -147,33 +120,48 @@ def take_quota(df: DataFrame, stratum: Column, quotas, id_col: str, seed: int =
     return marked.filter("__taken").drop("__taken")
 
 
-def validation_counts(counts: Mapping[str | None, int], ratio: float) -> dict[str | None, int]:
-    """Rows per class to move out: ceil(ratio * n) in all, the kept rows shared by largest remainder.
+def fixed_quota(n: int | Column) -> Callable[[DataFrame], DataFrame]:
+    """The same quota for every stratum."""
+    return lambda counts: counts.select("s", F.lit(n).cast("long").alias("quota"))
 
-    Equal remainders go to the smaller label first.
-    """
+
+def validation_counts(counts: Mapping[str | None, int], ratio: float) -> dict[str | None, int]:
+    """:func:`held_counts` of a plain mapping."""
     n = sum(counts.values())
     keep = n - math.ceil(ratio * n)
     shares = {c: k / n * keep for c, k in counts.items()}
     kept = {c: math.floor(v) for c, v in shares.items()}
-    spare = keep - sum(kept.values())
-    by_remainder = sorted(
-        shares, key=lambda c: (-(shares[c] - kept[c]), c is None, str(c))
-    )
-    for c in by_remainder[:spare]:
+    by_remainder = sorted(shares, key=lambda c: (kept[c] - shares[c], c is None, str(c)))
+    for c in by_remainder[: keep - sum(kept.values())]:
         kept[c] += 1
     return {c: k - kept[c] for c, k in counts.items()}
 
 
-def check_split(counts: Mapping[str | None, int], ratio: float) -> None:
-    n = sum(counts.values())
-    held = math.ceil(ratio * n)
-    if any(c < 2 for c in counts.values()):
+def held_counts(counts: DataFrame, ratio: float) -> DataFrame:
+    """(s, quota) from (s, n): ceil(ratio * n) rows in all, the kept rows shared by largest remainder.
+
+    Equal remainders go to the smaller label first. Only strata are ranked, never rows.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keep = total - math.ceil(ratio * total)
+    share = F.col("n") / F.lit(float(max(total, 1))) * F.lit(float(keep))
+    shared = counts.withColumn("share", share).withColumn("kept", F.floor("share"))
+    shared = materialize(shared, "shares")
+    spare = keep - (shared.agg(F.sum("kept")).first()[0] or 0)
+    order = Window.orderBy((F.col("share") - F.col("kept")).desc(), F.col("s").asc_nulls_last())
+    extra = (F.row_number().over(order) <= F.lit(spare)).cast("long")
+    return shared.withColumn("extra", extra).select("s", (F.col("n") - F.col("kept") - F.col("extra")).alias("quota"))
+
+
+def check_split(counts: DataFrame, ratio: float) -> None:
+    row = counts.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
+    held = math.ceil(ratio * row["n"])
+    if row["least"] < 2:
         raise ValueError("cannot stratify: every class needs at least 2 rows")
-    if held < len(counts):
-        raise ValueError(f"cannot stratify: {held} held-out rows for {len(counts)} classes")
-    if n - held < len(counts):
-        raise ValueError(f"cannot stratify: {n - held} remaining rows for {len(counts)} classes")
+    if held < row["classes"]:
+        raise ValueError(f"cannot stratify: {held} held-out rows for {row['classes']} classes")
+    if row["n"] - held < row["classes"]:
+        raise ValueError(f"cannot stratify: {row['n'] - held} remaining rows for {row['classes']} classes")
 
 
 def stratified_split(
@@ -195,12 +183,13 @@ def stratified_split(
     among = F.col(split_col).eqNullSafe(from_value)
     stratum = F.lit("all") if strata is None else F.col(strata)
 
-    def quotas(counts: dict) -> dict:
-        if sum(counts.values()) < 2:
-            return {}
+    def quotas(counts: DataFrame) -> DataFrame:
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if total < 2:
+            return fixed_quota(0)(counts)
         if strata is not None:
             check_split(counts, ratio)
-        return validation_counts(counts, ratio)
+        return held_counts(counts, ratio)
 
     marked = mark_quota(df, stratum, quotas, id_col, seed, "__held", among)
     moved = F.when(F.col("__held"), F.lit(to_value)).otherwise(F.col(split_col))
@@ -221,12 +210,12 @@ def sample_per_group(
 ) -> DataFrame:
     """At most ``cap`` rows of each group; rows without a group are dropped."""
     present = df.filter(F.col(group).isNotNull())
-    return take_quota(present, F.col(group), lambda counts: dict.fromkeys(counts, cap), id_col, seed)
+    return take_quota(present, F.col(group), fixed_quota(cap), id_col, seed)
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """``n`` rows of the table, all of them if it has fewer."""
-    return take_quota(df, F.lit("all"), {"all": n}, id_col, seed)
+    return take_quota(df, F.lit("all"), fixed_quota(n), id_col, seed)
 
 
 def mix_tasks(
@@ -234,7 +223,7 @@ def mix_tasks(
 ) -> DataFrame:
     """All of ``other`` and at most ``ratio`` times as many rows of ``main``."""
     quota = ratio * other.count()
-    return take_quota(main, F.lit("all"), {"all": quota}, id_col, seed).unionByName(other)
+    return take_quota(main, F.lit("all"), fixed_quota(quota), id_col, seed).unionByName(other)
 
 
 def first_rows(df: DataFrame, n: int, order_col: str = "row_order") -> DataFrame:
@@ -243,14 +232,14 @@ def first_rows(df: DataFrame, n: int, order_col: str = "row_order") -> DataFrame
     return top.withColumn("row", F.row_number().over(Window.orderBy(order_col)))
 
 
-def class_rank(df: DataFrame, stratum: str, id_col: str, seed: int) -> DataFrame:
+def class_rank(df: DataFrame, stratum: str, id_col: str, seed: int, digits: int = DIGITS) -> DataFrame:
     """Add ``rank`` 1..n of each row inside its stratum, in key order.
 
     Ranking runs per (stratum, key range), and range totals give the offsets, so a large stratum is
-    spread over 4096 small windows.
+    spread over 16 ** ``digits`` small windows.
     """
     keyed = df.withColumn("__k", hash_key(seed, F.col(id_col))).withColumn(
-        "__p", F.substring("__k", 1, PREFIX)
+        "__p", F.substring("__k", 1, digits)
     )
     sizes = keyed.groupBy(stratum, "__p").agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(stratum).orderBy("__p")
@@ -271,15 +260,12 @@ def class_rank(df: DataFrame, stratum: str, id_col: str, seed: int) -> DataFrame
     )
 
 
-def extra_rows(counts: Mapping[str, int], target: float, total: int) -> dict[str, int]:
-    """New rows per class below the target share, against the original table size."""
-    out = {}
-    for c, n in counts.items():
-        if n / total < target:
-            new = int((target * total - n) / (1.0 - target))
-            if new > 0:
-                out[c] = new
-    return out
+def extra_rows(counts: DataFrame, target: float) -> DataFrame:
+    """(s, n, extra): new rows of each class below the target share of all rows, also the unlabelled ones."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = F.col("n") / F.lit(float(max(total, 1)))
+    extra = ((F.lit(target * total) - F.col("n")) / F.lit(1.0 - target)).cast("long")
+    return counts.where(F.col("s").isNotNull() & (share < target)).select("s", "n", extra.alias("extra")).where("extra > 0")
 
 
 def oversample(
@@ -292,47 +278,32 @@ def oversample(
 ) -> DataFrame:
     """Draw rows of small classes again, with replacement, until each has the target share.
 
-    Draw k of class c takes the row whose rank is hash(seed, c, k) mod n_c + 1. Draws come from a
-    distributed range, so neither a huge number of draws nor a one-row class lands in one task (the
-    join's draw side is the big one and may be split).
+    Draw k of class c takes the row whose rank is hash(seed, c, k) mod n_c + 1. Draws are made in blocks
+    that are spread before they unfold, so neither a huge number of draws nor a one-row class lands in one
+    task (the join's draw side is the big one and may be split).
     """
     if label_col not in df.columns:
         return df
     labelled = df.filter(F.col(label_col).isNotNull())
-    counts = stratum_counts(df.select(F.col(label_col).cast("string").alias("s")), "s")
-    total = sum(counts.values())  # unlabelled rows count here, but are not kept
-    counts.pop(None, None)
-    if len(counts) < 2:
+    name = F.col(label_col).cast("string")
+    counts = materialize(df.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n")), "classes")
+    if counts.where("s is not null").count() < 2:
         return df
-    new = extra_rows(counts, target_ratio, total)
-    if not new:
+    new = materialize(extra_rows(counts, target_ratio), "extra")
+    if new.isEmpty():
         return labelled
-    spark = df.sparkSession
-    start, offset, klass, first, size = 0, {}, None, None, None
-    for c in sorted(new):
-        offset[c] = start
-        start += new[c]
-        inside = F.col("id") < start
-        klass = F.when(inside, F.lit(c)) if klass is None else klass.when(inside, F.lit(c))
-        first = F.when(inside, F.lit(offset[c])) if first is None else first.when(inside, F.lit(offset[c]))
-        size = F.when(inside, F.lit(counts[c])) if size is None else size.when(inside, F.lit(counts[c]))
-    draws = spark.range(start).select(
-        klass.alias("__class"),
-        (F.col("id") - first + 1).alias("__draw"),
-        size.cast("long").alias("__size"),
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("extra") - 1) / DRAWS)))
+    blocks = new.select("s", "n", "extra", block.alias("block")).repartition("s", "block")
+    first, last = F.col("block") * DRAWS + 1, F.least((F.col("block") + 1) * DRAWS, F.col("extra"))
+    draws = blocks.select(
+        F.col("s").alias("__class"), F.explode(F.sequence(first, last)).alias("__draw"), F.col("n").alias("__size")
     )
     draws = draws.withColumn(
         "__rank",
         F.pmod(hash_int(hash_key(seed, F.col("__class"), F.col("__draw"))), F.col("__size")) + 1,
     )
-    small = class_rank(
-        labelled.withColumn("__label", F.col(label_col).cast("string")).filter(
-            F.col("__label").isin(*new)
-        ),
-        "__label",
-        id_col,
-        seed,
-    )
+    drawn = new.select(F.col("s").alias("__label"))
+    small = class_rank(labelled.withColumn("__label", name).join(drawn, "__label", "left_semi"), "__label", id_col, seed)
     copies = draws.join(
         small, (F.col("__class") == F.col("__label")) & (F.col("__rank") == F.col("rank"))
     ).select(*df.columns, F.col("__draw").alias("draw"))

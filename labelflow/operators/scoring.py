@@ -16,9 +16,6 @@ from labelflow.functions import vocab
 # module needs that module on the workers; a nested function is shipped by value.
 ScorerFactory = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
 
-MAX_LEXICON = 100_000
-
-
 def score(
     df: DataFrame,
     scorer: ScorerFactory,
@@ -68,20 +65,6 @@ def score(
     )
 
 
-def check_lexicon(weights: DataFrame, limit: int = MAX_LEXICON) -> bool:
-    """Whether ``weights`` is small enough to broadcast; reads at most ``limit`` + 1 keys."""
-    return weights.select("token").limit(limit + 1).count() <= limit
-
-
-def token_rows(
-    df: DataFrame, text_col: str, id_col: str, keep: Sequence[str] = ()
-) -> DataFrame:
-    """(id, keep..., pos, token) over the lower-cased text."""
-    return df.select(
-        F.col(id_col), *keep, F.posexplode(T.tokens(F.lower(text_col))).alias("pos", "token")
-    )
-
-
 def linear_logits(
     df: DataFrame,
     weights: DataFrame,
@@ -93,8 +76,8 @@ def linear_logits(
     """(id, logits): per class the intercept plus the weights of the text's tokens.
 
     ``weights`` is (token, one double column per class). Tokens of one text sit in one task, so the grouped
-    sum collapses to one narrow row per text before the shuffle. A lexicon over MAX_LEXICON tokens is
-    joined by a shuffle instead of a broadcast, on per-text token counts.
+    sum collapses to one narrow row per text before the shuffle. The lexicon is joined by its size: a small one
+    is sent to all tasks, a large one is shuffled by token, where adaptive execution splits frequent tokens.
     """
     # Empty tokens are kept: they match nothing, and a text without tokens still gets its row.
     words = F.split(F.lower(F.coalesce(text_col, F.lit(""))), T.WHITESPACE, -1)
@@ -103,17 +86,9 @@ def linear_logits(
     tokens = df.select(
         F.col(id_col), F.xxhash64(text_col).alias("__text"), F.posexplode(words).alias("__pos", "token")
     )
-    counted = tokens.groupBy(*row, "token").agg(
-        F.count(F.lit(1)).alias("times"), F.count_if(F.col("__pos") == 0).alias("rows")
-    )
-    if check_lexicon(weights):
-        hits = tokens.select(*row, "token", F.lit(1).alias("times"), (F.col("__pos") == 0).cast("long").alias("rows"))
-        hits = hits.join(F.broadcast(weights), "token", "left")
-    else:
-        hits = counted.join(weights, "token", "left")
-    sums = hits.groupBy(*row).agg(
-        *[F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("times")).alias(c) for c in classes],
-        F.sum("rows").alias("__rows"),
+    sums = tokens.join(weights, "token", "left").groupBy(*row).agg(
+        *[F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in classes],
+        F.count_if(F.col("__pos") == 0).alias("__rows"),
     )
     logits = F.array(*[F.col(c) / F.col("__rows") + F.lit(float(b)) for c, b in zip(classes, intercept)])
     return sums.select(id_col, logits.alias("logits"), F.explode(F.sequence(F.lit(1).cast("long"), "__rows")).alias("__n")).drop("__n")

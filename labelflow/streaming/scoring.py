@@ -33,14 +33,17 @@ def score_stream(
     ts: str = "ts",
     delay: str = "10 minutes",
     id_col: str = "sentence_id",
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """(id, ts, lang, lang_confidence, sentiment, confidence) of the first copy of each text.
 
     Copies are found on the normalised text within the watermark; state holds one key per recent text. A
     stream's dedup has no map-side combine, so it runs twice: per (text, salt of the id), which spreads a
-    very frequent text over ``salts`` tasks, and then per text on the few rows that are left.
+    very frequent text over ``salts`` tasks (by default the session's shuffle partitions), and then per text on
+    the few rows that are left.
     """
+    if salts is None:
+        salts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = (
         texts.withWatermark(ts, delay)
         .withColumn("__key", F.md5(T.text_key(F.col("text"))))

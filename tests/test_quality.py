@@ -134,12 +134,24 @@ def test_length_stats_of_empty_table(frame):
     assert q.text_length_stats(empty).first().asDict() == {"mean": 0.0, "min": 0, "max": 0, "median": 0.0, "p95": 0.0}
 
 
-def test_report_pools_rare_labels(frame, monkeypatch):
-    monkeypatch.setattr(q, "REPORT_LABELS", 2)
-    rows = sentences(50) + sentences(30, "negative", start=50) + sentences(5, "a", start=80) + sentences(4, "b", start=85)
-    _, found, row = report(frame, rows, aspects(10) + aspects(3, "price") + aspects(1, "zzz"), min_samples=1)
-    assert row["splits"]["train"]["label_distribution"] == {"positive": 50, "negative": 30, "<other>": 9}
-    assert row["aspect_distribution"] == {"food": 10, "price": 3, "<other>": 1}
+def test_report_lists_every_label(frame):
+    """No label is folded away, however many there are."""
+    rows = [(str(i), "x", f"label {i}", "train") for i in range(1500)]
+    result, _, row = report(frame, rows, aspects(10) + aspects(1, "zzz"), min_samples=1, max_null_ratio=1.0)
+    assert row["splits"]["train"]["label_distribution"] == {f"label {i}": 1 for i in range(1500)}
+    assert row["aspect_distribution"] == {"food": 10, "zzz": 1}
+    assert result.labels.where("split = 'train'").count() == 1500
+    bad = q.invalid_label_counts(result.profiles[0], "sentiment", ("label 0",))
+    assert bad.count() == 1499 and bad.where("n <> 1").isEmpty()
+
+
+def test_missing_columns_report_has_every_part(frame):
+    s, a = frame(SL, *sentences(3)), frame(A, *aspects(3))
+    broken = q.quality_report(Frames(s.drop("split"), a)).report
+    whole = q.quality_report(Frames(s, a)).report
+    assert [(f.name, f.dataType.simpleString()) for f in broken.schema] == [(f.name, f.dataType.simpleString()) for f in whole.schema]
+    row = broken.first()
+    assert (row["total_samples"], row["splits"], row["aspect_distribution"], row["checks_passed"]) == (3, {}, {}, False)
 
 
 def test_retention(frame):

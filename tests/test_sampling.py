@@ -111,10 +111,28 @@ def test_many_strata_use_a_table(spark):
     assert got == {(str(i),): 3 for i in range(40)}
 
 
-def test_too_many_strata(spark):
-    df = spark.range(30).withColumn("s", F.col("id").cast("string"))
-    with pytest.raises(ValueError, match="strata"):
-        sp.stratum_counts(df, "s", limit=20)
+def test_any_number_of_strata(spark):
+    """One stratum per row or per three rows, more than a driver-made list would be sensible for."""
+    df = spark.range(36_000).select(F.col("id").cast("string").alias("sentence_id"), (F.col("id") % 12_000).alias("s"))
+    got = sp.sample_per_group(df, "s", 2).groupBy("s").count()
+    assert got.count() == 12_000 and got.where("count <> 2").isEmpty()
+
+
+def test_allotment_as_a_table(spark):
+    counts = {"a": 33, "b": 33, "c": 33, None: 17, "d": 2}
+    table = spark.createDataFrame(list(counts.items()), "s string, n long")
+    for ratio in (0.1, 0.25, 0.5, 0.9):
+        got = {r["s"]: r["quota"] for r in sp.held_counts(table, ratio).collect()}
+        assert got == sp.validation_counts(counts, ratio)
+
+
+def test_width_of_ranges_makes_no_difference(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("sentence_id"))
+    runs = [
+        {r[0] for r in sp.mark_quota(df, F.lit("all"), {"all": 77}, "sentence_id", 1, digits=d).where("taken").collect()}
+        for d in (1, 3, 5)
+    ]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 77
 
 
 def test_first_rows(frame):

@@ -73,18 +73,21 @@ def test_sarcasm_branch(frame):
     assert off.filter("sarcasm_flag").count() == 0
 
 
-def test_linear_equals_python(frame, spark, monkeypatch):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])  # -1: the lexicon is joined by a shuffle
+def test_linear_equals_python(frame, spark, threshold):
     df = frame(T, ("1", "Good good bad"), ("2", ""), ("3", None), ("4", "nothing known"), ("5", " meh\tMEH "))
     py = {r["sentence_id"]: r for r in s.score(df, scorer, batch_size=16).collect()}
-    for limit in (100, 1):  # 1: over the broadcast limit, the shuffle form
-        monkeypatch.setattr(s, "MAX_LEXICON", limit)
-        monkeypatch.setattr(s.check_lexicon, "__defaults__", (limit,))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
         native = s.from_logits(s.linear_logits(df, lexicon(spark), CLASSES, BIAS), CLASSES)
         rows = {r["sentence_id"]: r for r in native.collect()}
-        assert set(rows) == set(py)
-        for k, r in rows.items():
-            assert r["probs"] == pytest.approx(py[k]["probs"])
-            assert (r["sentiment"], r["confidence"]) == (py[k]["sentiment"], py[k]["confidence"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(rows) == set(py)
+    for k, r in rows.items():
+        assert r["probs"] == pytest.approx(py[k]["probs"])
+        assert (r["sentiment"], r["confidence"]) == (py[k]["sentiment"], py[k]["confidence"])
 
 
 def test_upload_rows(frame, spark):
@@ -167,6 +170,16 @@ def test_linear_attribution(frame, spark):
     assert {r["sentiment"] for r in rows if r["sentence_id"] == "2"} == {"negative"}
 
 
+def test_linear_attribution_of_missing_and_repeated_ids(frame, spark):
+    df = frame(T, (None, "good"), (None, "bad bad"), ("1", "good"), ("1", "good"), ("2", None), ("3", ""))
+    rows = at.attribute_linear(df, lexicon(spark), CLASSES, BIAS).collect()
+    got = sorted((str(r["sentence_id"]), r["pos"], r["token"], r["sentiment"], r["value"]) for r in rows)
+    assert got == [
+        ("1", 0, "good", "positive", 2.0), ("1", 0, "good", "positive", 2.0), ("None", 0, "bad", "negative", 2.0),
+        ("None", 0, "good", "positive", 2.0), ("None", 1, "bad", "negative", 2.0),
+    ]
+
+
 def test_leave_one_out_brute_force(frame):
     texts = {"1": "good bad food", "2": "", "3": " ".join(["meh", "x"] * 12)}
     df = frame(T, *texts.items())
