@@ -30,7 +30,8 @@ def attribute_linear(
     keyed = df.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), F.lower(text_col).alias("__text"))
     keyed = materialize(keyed, "keyed")  # written, so that a task that runs again finds the same keys
     words = keyed.select("__row", id_col, F.posexplode(T.tokens(F.col("__text"))).alias("pos", "token"))
-    hits = words.join(weights, "token", "left").select(
+    lexicon = materialize(weights.select("token", *classes), "lexicon")  # read back, its size is known
+    hits = words.join(lexicon, "token", "left").select(
         "__row", id_col, F.struct("pos", "token", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in classes]).alias("hit")
     )
     rows = hits.groupBy("__row", id_col).agg(F.array_sort(F.collect_list("hit")).alias("hits"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from labelflow.functions.hashing import hash_int, hash_key
@@ -41,7 +41,7 @@ def _last_rows(keyed: DataFrame, ranges: DataFrame, wanted: DataFrame, digits: i
     are taken, and how many there are. Every hex key sorts before "g", so that cut takes a whole stratum."""
     sized = ranges.groupBy("s").agg(F.sum("n").alias("size"))
     asked = sized.join(wanted.select(F.col("s").alias("ws"), "quota"), F.col("s").eqNullSafe(F.col("ws")))
-    asked = materialize(asked.where("quota > 0").select(F.col("s").alias("ws"), "quota", "size"), "quotas")
+    asked = asked.where("quota > 0").select(F.col("s").alias("ws"), "quota", "size")
     whole = asked.where("quota >= size").select(
         F.col("ws").alias("s"),
         F.struct(F.lit("g").alias("k"), F.lit("").alias("id"), F.lit(0).cast("long").alias("t"),
@@ -56,7 +56,6 @@ def _last_rows(keyed: DataFrame, ranges: DataFrame, wanted: DataFrame, digits: i
         .where(reached & started)
         .select(F.col("s").alias("es"), F.col("p").alias("ep"), (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))
     )
-    edges = materialize(edges, "edges")
     in_range = F.col("s").eqNullSafe(F.col("es")) & (F.substring("k", 1, digits) == F.col("ep"))
     alike = keyed.join(edges, in_range).groupBy("s", "k", "id", "t", "rest").agg(F.count(F.lit(1)).alias("n"))
     last = (
@@ -142,19 +141,18 @@ def held_counts(counts: DataFrame, ratio: float) -> DataFrame:
 
     Equal remainders go to the smaller label first. Only strata are ranked, never rows.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    keep = total - math.ceil(ratio * total)
-    share = F.col("n") / F.lit(float(max(total, 1))) * F.lit(float(keep))
-    shared = counts.withColumn("share", share).withColumn("kept", F.floor("share"))
-    shared = materialize(shared, "shares")
-    spare = keep - (shared.agg(F.sum("kept")).first()[0] or 0)
+    whole = Window.partitionBy()
+    total = F.sum("n").over(whole)
+    shared = counts.withColumn("keep", total - F.ceil(F.lit(ratio) * total)).withColumn("share", F.col("n") / total * F.col("keep"))
+    shared = shared.withColumn("kept", F.floor("share"))
+    spare = F.col("keep") - F.sum("kept").over(whole)
     order = Window.orderBy((F.col("share") - F.col("kept")).desc(), F.col("s").asc_nulls_last())
-    extra = (F.row_number().over(order) <= F.lit(spare)).cast("long")
+    extra = (F.row_number().over(order) <= spare).cast("long")
     return shared.withColumn("extra", extra).select("s", (F.col("n") - F.col("kept") - F.col("extra")).alias("quota"))
 
 
-def check_split(counts: DataFrame, ratio: float) -> None:
-    row = counts.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
+def check_split(row: Row, ratio: float) -> None:
+    """Whether classes (n rows in ``classes`` classes, the smallest of ``least``) can be split at all."""
     held = math.ceil(ratio * row["n"])
     if row["least"] < 2:
         raise ValueError("cannot stratify: every class needs at least 2 rows")
@@ -184,11 +182,11 @@ def stratified_split(
     stratum = F.lit("all") if strata is None else F.col(strata)
 
     def quotas(counts: DataFrame) -> DataFrame:
-        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if total < 2:
+        row = counts.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
+        if (row["n"] or 0) < 2:
             return fixed_quota(0)(counts)
         if strata is not None:
-            check_split(counts, ratio)
+            check_split(row, ratio)
         return held_counts(counts, ratio)
 
     marked = mark_quota(df, stratum, quotas, id_col, seed, "__held", among)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labelflow.functions import probs as P
 from labelflow.functions import text as T
 from labelflow.functions import vocab
+from labelflow.session import materialize
 
 # Builds a scorer once per task; the scorer maps a list of texts to rows of probabilities. A factory from a
 # module needs that module on the workers; a nested function is shipped by value.
@@ -86,7 +87,8 @@ def linear_logits(
     tokens = df.select(
         F.col(id_col), F.xxhash64(text_col).alias("__text"), F.posexplode(words).alias("__pos", "token")
     )
-    sums = tokens.join(weights, "token", "left").groupBy(*row).agg(
+    lexicon = materialize(weights.select("token", *classes), "lexicon")  # read back, its size is known
+    sums = tokens.join(lexicon, "token", "left").groupBy(*row).agg(
         *[F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in classes],
         F.count_if(F.col("__pos") == 0).alias("__rows"),
     )
