@@ -30,7 +30,9 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = os.environ.get("BENCH_QUERIES", HEADLINE).split(",")
-    spark = get_spark(f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus})
+    # each test table is one row group, which a scan gives to one task
+    conf = {"spark.sql.shuffle.partitions": cpus, "spark.labelflow.inputPartitions": cpus}
+    spark = get_spark(f"local[{cpus}]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name, fn in QUERIES.items():

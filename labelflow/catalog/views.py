@@ -9,6 +9,7 @@ from labelflow.functions import vocab
 from labelflow.functions.hashing import hash_int, hash_key
 from labelflow.operators.aspects import expand_candidates
 from labelflow.operators.frames import Frames
+from labelflow.session import spread
 
 
 def r6(c):
@@ -30,7 +31,7 @@ class Tables:
     @property
     def sentences(self) -> DataFrame:
         d = F.col("doc_id")
-        return self.table("documents").select(
+        return spread(self.table("documents")).select(
             d.cast("string").alias("sentence_id"),
             "text",
             F.when(d % 5 == 0, "test").otherwise("train").alias("split"),

@@ -61,3 +61,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out over ``spark.labelflow.inputPartitions`` tasks, if the caller sets it.
+
+    For a single file of one row group on a machine with several cores. Unset, as on a cluster, the scan's
+    own splits stay and nothing is shuffled.
+    """
+    n = df.sparkSession.conf.get("spark.labelflow.inputPartitions", None)
+    return df.repartition(int(n)) if n else df
