@@ -153,27 +153,38 @@ def language_matrices(t: Tables):
 @query(
     "fairness_payload_a25_a23",
     sql(
-        """SELECT (SELECT round(avg(f1), 6) FROM sc WHERE slice = 'all') AS overall_f1,
-                  (SELECT round(max(f) - min(f), 6) FROM (SELECT avg(f1) AS f FROM act WHERE slice <> 'all' GROUP BY slice)) AS gap,
-                  (SELECT round(avg(f1), 6) FROM act WHERE slice = 'en') AS en_f1,
-                  (SELECT sum(n)::BIGINT FROM c WHERE slice = 'en') AS en_samples,
-                  (SELECT sum(n)::BIGINT FROM c WHERE slice = 'en' AND y_true = 'negative' AND y_pred = 'negative') AS en_neg_neg,
-                  (SELECT sum(n)::BIGINT FROM c WHERE slice = 'all' AND y_true = 'positive' AND y_pred = 'positive') AS all_pos_pos""",
+        f"""SELECT s.slice, t.label AS y_true, p.label AS y_pred, s.samples,
+                   coalesce((SELECT sum(n) FROM c WHERE c.slice = s.slice AND c.y_true = t.label
+                             AND c.y_pred = p.label), 0)::BIGINT AS n,
+                   round(CASE WHEN s.slice = 'all' THEN (SELECT avg(f1) FROM sc WHERE sc.slice = 'all')
+                              ELSE (SELECT avg(f1) FROM act WHERE act.slice = s.slice) END, 6) AS f1,
+                   (SELECT round(max(f) - min(f), 6)
+                    FROM (SELECT avg(f1) AS f FROM act WHERE slice <> 'all' GROUP BY slice)) AS gap
+            FROM (SELECT slice, CASE WHEN slice <> 'all' THEN sum(n)::BIGINT END AS samples FROM c GROUP BY 1) s,
+                 (SELECT unnest({NAMES}) AS label) t, (SELECT unnest({NAMES}) AS label) p""",
         "predictions",
         extra=_sliced(BY_LANG),
     ),
 )
 def fairness_payload(t: Tables):
+    """Every cell of the payload, one row per cell of its matrices."""
     out = m.fairness_payload(t.predictions, "lang", LABELS)
-    at = lambda c: F.element_at(c, "en")
-    cell = lambda mtx, i, j: F.get(F.get(mtx, F.lit(i)), F.lit(j))
-    return out.select(
-        r6(F.col("overall_f1")).alias("overall_f1"),
-        r6(F.col("gap")).alias("gap"),
-        r6(at("per_slice_f1")).alias("en_f1"),
-        at("sample_counts").alias("en_samples"),
-        cell(at("slice_confusion_matrices"), 1, 1).alias("en_neg_neg"),
-        cell(F.col("confusion_matrix"), 0, 0).alias("all_pos_pos"),
+
+    def part(name, f1, samples, matrix):
+        return F.struct(
+            name.alias("slice"), f1.alias("f1"), samples.cast("long").alias("samples"), matrix.alias("matrix")
+        )
+
+    whole = part(F.lit("all"), F.col("overall_f1"), F.lit(None), F.col("confusion_matrix"))
+    maps = ("per_slice_f1", "sample_counts", "slice_confusion_matrices")
+    each = F.transform(F.map_keys("per_slice_f1"), lambda k: part(k, *[F.element_at(c, k) for c in maps]))
+    rows = out.select("gap", F.explode(F.concat(F.array(whole), each)).alias("s")).select("gap", "s.*")
+    lines = rows.select("gap", "slice", "f1", "samples", F.posexplode("matrix").alias("i", "line"))
+    cells = lines.select("gap", "slice", "f1", "samples", "i", F.posexplode("line").alias("j", "n"))
+    names = F.array(*[F.lit(x) for x in LABELS])
+    return cells.select(
+        "slice", F.get(names, F.col("i")).alias("y_true"), F.get(names, F.col("j")).alias("y_pred"), "samples", "n",
+        r6(F.col("f1")).alias("f1"), r6(F.col("gap")).alias("gap"),
     )
 
 

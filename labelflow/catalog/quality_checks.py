@@ -245,7 +245,12 @@ def quality_findings(t: Tables):
                   (SELECT count(*) FROM findings WHERE severity = 'error') AS n_errors,
                   (SELECT count(*) FROM findings WHERE severity = 'warning') AS n_warnings,
                   (SELECT count(*) FROM findings WHERE severity = 'error') = 0 AS checks_passed,
-                  (SELECT count(*) FROM dirty_aspects WHERE aspect_category = 'food') AS n_food,
+                  (SELECT string_agg(aspect_category || '=' || n, ';' ORDER BY aspect_category) FROM
+                   (SELECT aspect_category, count(*) AS n FROM dirty_aspects GROUP BY 1)) AS aspects,
+                  (SELECT string_agg(split || '=' || samples, ';' ORDER BY split) FROM st) AS split_samples,
+                  (SELECT string_agg(split || '/' || label || '=' || n, ';' ORDER BY split, label) FROM
+                   (SELECT coalesce(split, '<missing_split>') AS split, coalesce(sentiment, '<null_or_na>') AS label,
+                           count(*) AS n FROM dirty_sentences GROUP BY 1, 2)) AS split_labels,
                   max(length(coalesce(text, '')))::BIGINT AS longest
            FROM dirty_sentences""",
         "dirty_sentences",
@@ -259,15 +264,30 @@ def quality_summary(t: Tables):
 
     text = report_json(q.quality_report(t.dirty, LIMITS).report)
     schema = (
-        "total_samples long, aspect_distribution map<string,long>, checks_passed boolean, "
+        "total_samples long, splits map<string,struct<samples:long,label_distribution:map<string,long>>>, "
+        "aspect_distribution map<string,long>, checks_passed boolean, "
         "errors array<string>, warnings array<string>, text_length_stats struct<max:long>"
     )
+
+    def listed(entries, shown):
+        return F.array_join(F.transform(F.array_sort(entries), shown), ";")
+
+    def labels(split):
+        counts = F.array_sort(F.map_entries(split["value"]["label_distribution"]))
+        return F.transform(counts, lambda n: F.concat(split["key"], F.lit("/"), n["key"], F.lit("="), n["value"]))
+
+    splits = F.transform_values("r.splits", lambda _, v: v["samples"])
+    names = F.transform(F.array_sort(F.map_keys("r.splits")), lambda k: F.struct(
+        k.alias("key"), F.element_at("r.splits", k).alias("value")))
+    pair = lambda e: F.concat(e["key"], F.lit("="), e["value"])
     return text.select(F.from_json("report", schema).alias("r")).select(
         "r.total_samples",
         F.size("r.errors").cast("long").alias("n_errors"),
         F.size("r.warnings").cast("long").alias("n_warnings"),
         "r.checks_passed",
-        F.element_at("r.aspect_distribution", "food").alias("n_food"),
+        listed(F.map_entries("r.aspect_distribution"), pair).alias("aspects"),
+        listed(F.map_entries(splits), pair).alias("split_samples"),
+        F.array_join(F.flatten(F.transform(names, labels)), ";").alias("split_labels"),
         F.col("r.text_length_stats.max").alias("longest"),
     )
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from labelflow.catalog.expressions import BODY, SQL_UPLOAD, upload_text
 from labelflow.catalog.registry import query
-from labelflow.catalog.views import Tables, WS, r6, sql, sql_clean, sql_hash
+from labelflow.catalog.views import OPINION_WORDS, Tables, WS, r6, sentiment_rates, sql, sql_clean, sql_hash
 from labelflow.functions import vocab
-from labelflow.functions.text import language_label, tokens
+from labelflow.functions.text import detect_language, language_label, tokens
 from labelflow.operators import aspects as a
 from labelflow.operators import attribution as at
 from labelflow.operators import metrics as m
@@ -117,6 +117,66 @@ def batch_scorer(t: Tables):
     return score_columns(s.score(t.sentences, make_python_scorer(), batch_size=32))
 
 
+DETECTED = "SELECT sentence_id, aspect, score FROM aspect_scores WHERE score > 0.45"
+BEST = """
+    SELECT sentence_id, aspect, sentiment, round_even(score, 4) AS confidence FROM sentiment_scores
+    QUALIFY row_number() OVER (PARTITION BY sentence_id, aspect ORDER BY score DESC,
+        list_position(['positive', 'negative', 'neutral'], sentiment)) = 1"""
+
+
+ASPECT_LISTS = """
+    SELECT s.sentence_id, coalesce(string_agg(aspect || ':' || sentiment, ';' ORDER BY d.score DESC, aspect), '')
+           AS aspects, count(d.aspect) AS n
+    FROM sentences s LEFT JOIN (SELECT * FROM detected JOIN best USING (sentence_id, aspect)) d
+         ON s.sentence_id = d.sentence_id GROUP BY 1"""
+
+
+def make_aspect_scorer():
+    """The aspect scores of the catalog's native form as plain Python, standing in for a model."""
+    lists = {aspect: [v.split() for v in words] for aspect, words in OPINION_WORDS.items()}
+
+    def factory():
+        def counts(text: str, aspect: str) -> list[int]:
+            words = text.lower().split()
+            return [sum(w in of for w in words) for of in lists[aspect]]
+
+        def detect(texts: list[str]) -> list[list[float]]:
+            out = []
+            for text in texts:
+                n = len(text.split())
+                hits = [16 * sum(counts(text, aspect)) for aspect in lists]
+                out.append([h / (h + n + 1) for h in hits])
+            return out
+
+        def rate(pairs: list[tuple[str, str]]) -> list[list[float]]:
+            found = [counts(text, aspect) for text, aspect in pairs]
+            return [[(x + 1) / (sum(row) + 3) for x in row] for row in found]
+
+        return detect, rate
+
+    return factory
+
+
+@query(
+    "batch_aspects_m1_m3_p11",
+    sql(
+        """SELECT c.id AS sentence_id, c.sentiment, c.confidence, l.aspects, l.n
+           FROM scored c JOIN lists l ON l.sentence_id = c.id""",
+        "sentences",
+        "aspect_scores",
+        "sentiment_scores",
+        extra={**sql_scored("sentences"), "detected": DETECTED, "best": BEST, "lists": ASPECT_LISTS},
+    ),
+)
+def batch_aspects(t: Tables):
+    """Batch scoring with the aspect branch, behind the language gate."""
+    rows = t.sentences.withColumn("spoken", detect_language(F.col("text"))["lang"])
+    out = s.score(rows, make_python_scorer(), batch_size=32, aspect_scorer=make_aspect_scorer(), lang_col="spoken")
+    return out.select(
+        "sentence_id", "sentiment", "confidence", _pairs().alias("aspects"), F.size("aspects").cast("long").alias("n")
+    )
+
+
 @query(
     "prediction_pairs_j4",
     sql(
@@ -191,13 +251,6 @@ def fit_classifier(t: Tables):
     return m.confusion_matrix(m.confusion_counts(out), fitted.task.label_names).select("y_true", "y_pred", "n")
 
 
-DETECTED = "SELECT sentence_id, aspect, score FROM aspect_scores WHERE score > 0.45"
-BEST = """
-    SELECT sentence_id, aspect, sentiment, round_even(score, 4) AS confidence FROM sentiment_scores
-    QUALIFY row_number() OVER (PARTITION BY sentence_id, aspect ORDER BY score DESC,
-        list_position(['positive', 'negative', 'neutral'], sentiment)) = 1"""
-
-
 @query(
     "aspect_candidates_j5",
     sql(
@@ -209,20 +262,22 @@ BEST = """
     ),
 )
 def aspect_candidates(t: Tables):
-    found = a.detected_aspects(t.aspect_scores)
-    best = a.best_sentiment(t.sentiment_scores, ["sentence_id", "aspect"])
-    return found.join(best, ["sentence_id", "aspect"]).withColumn("score", r6(F.col("score")))
-
-
-ASPECT_LISTS = """
-    SELECT s.sentence_id, coalesce(string_agg(aspect || ':' || sentiment, ';' ORDER BY d.score DESC, aspect), '')
-           AS aspects, count(d.aspect) AS n
-    FROM sentences s LEFT JOIN (SELECT * FROM detected JOIN best USING (sentence_id, aspect)) d
-         ON s.sentence_id = d.sentence_id GROUP BY 1"""
+    """The same scores as tables; only detected aspects are rated."""
+    names = F.array(*[F.lit(x) for x in vocab.ASPECTS])
+    long = t.opinions.select("sentence_id", "words", F.posexplode("scores").alias("i", "score"))
+    found = a.detected_aspects(long).withColumn("aspect", F.get(names, F.col("i")))
+    rates = found.select(
+        "sentence_id", "aspect", F.posexplode(sentiment_rates(F.col("words"), F.col("aspect"))).alias("k", "score")
+    ).withColumn("sentiment", F.get(F.array(*[F.lit(x) for x in vocab.SENTIMENTS]), F.col("k")))
+    best = a.best_sentiment(rates, ["sentence_id", "aspect"])
+    scores = found.select("sentence_id", "aspect", r6(F.col("score")).alias("score"))
+    return scores.join(best, ["sentence_id", "aspect"])
 
 
 def extracted(t: Tables):
-    return a.extract_aspects(t.sentences, t.aspect_scores, t.sentiment_scores)
+    words = F.col("words")
+    listed = a.rated_aspects(F.col("scores"), lambda aspect: sentiment_rates(words, aspect))
+    return t.opinions.select("sentence_id", F.explode(F.array(listed)).alias("aspects"))  # computed once
 
 
 def _pairs(c="aspects", sep=";"):
@@ -471,10 +526,15 @@ def result_export(t: Tables):
 @query(
     "aspect_export_k4_k5",
     sql(
-        """SELECT sentence_id, '"' || replace(aspects, ';', '; ') || '"' AS aspects, n AS n_json FROM lists""",
+        """SELECT s.sentence_id, '"' || coalesce(string_agg(aspect || ':' || sentiment, '; ' ORDER BY d.score DESC, aspect), '')
+                  || '"' AS aspects,
+                  coalesce(string_agg(aspect || '|' || sentiment || '|' || printf('%.4f', confidence), ';'
+                           ORDER BY d.score DESC, aspect), '') AS json_items
+           FROM sentences s LEFT JOIN (SELECT * FROM detected JOIN best USING (sentence_id, aspect)) d
+                ON s.sentence_id = d.sentence_id GROUP BY 1""",
         "aspect_scores",
         "sentiment_scores",
-        extra={"detected": DETECTED, "best": BEST, "lists": ASPECT_LISTS},
+        extra={"detected": DETECTED, "best": BEST},
     ),
 )
 def aspect_export(t: Tables):
@@ -488,7 +548,8 @@ def aspect_export(t: Tables):
         F.lit(None).cast("string").alias("error"),
     )
     shown = sk.export_results(rows).select(F.col("row").alias("sentence_id"), "aspects")
-    json = sk.export_with_json(rows).select(
-        F.col("row").alias("sentence_id"), F.json_array_length("aspects_json").cast("long").alias("n_json")
-    )
+    items = F.from_json("aspects_json", a.ASPECT_LIST)
+    texts = F.transform(items, lambda x: F.concat_ws(
+        "|", x["aspect"], x["sentiment"], F.format_string("%.4f", x["confidence"])))
+    json = sk.export_with_json(rows).select(F.col("row").alias("sentence_id"), F.array_join(texts, ";").alias("json_items"))
     return shown.join(json, "sentence_id")

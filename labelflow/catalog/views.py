@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.functions import vocab
-from labelflow.functions.hashing import hash_int, hash_key
-from labelflow.operators.aspects import expand_candidates
+from labelflow.functions.text import tokens
 from labelflow.operators.frames import Frames
 from labelflow.session import spread
 
@@ -16,6 +14,40 @@ def r6(c):
     return F.round(c, 6)
 
 
+# Words of the test texts that a demonstration scorer takes for (aspect, sentiment) evidence.
+OPINION_WORDS = {
+    "food": ("the der good", "of bad", "and terrible"),
+    "service": ("de love", "to hate", "la"),
+    "ambiance": ("die great", "is", "that"),
+    "price": ("en", "for worthless", "it"),
+    "location": ("on", "was with", "le"),
+    "general": ("be que", "as", "und des by"),
+}
+
+
+def _among(words, listed: str):
+    return F.size(F.filter(words, lambda w: w.isin(listed.split())))
+
+
+def _found(words, listed):
+    return F.size(F.filter(words, lambda w: F.array_contains(listed, w)))
+
+
+def aspect_scores(words):
+    """Score per aspect: its words' density among all words."""
+    hits = F.array(*[_among(words, " ".join(lists)) * 16 for lists in OPINION_WORDS.values()])
+    return F.transform(hits, lambda h: h / (h + F.size(words) + 1))
+
+
+def sentiment_rates(words, aspect):
+    """Score per sentiment of vocab.SENTIMENTS for one aspect of a text."""
+    lists = [F.array(*[F.array(*[F.lit(w) for w in v[k].split()]) for v in OPINION_WORDS.values()]) for k in range(3)]
+    place = F.array_position(F.array(*[F.lit(x) for x in OPINION_WORDS]), aspect).cast("int") - 1
+    counts = F.array(*[_found(words, F.get(of, place)) for of in lists])
+    total = F.aggregate(counts, F.lit(3), lambda t, n: t + n)
+    return F.transform(counts, lambda n: (n + 1) / total)
+
+
 class Tables:
     """Lazily built views over one scale factor's folder."""
 
@@ -140,20 +172,11 @@ class Tables:
         return self.table("conversations")
 
     @property
-    def aspect_scores(self) -> DataFrame:
-        """Stand-in model scores in [0, 1) from the md5 of (id, aspect)."""
-        key = hash_key(F.col("sentence_id"), F.col("aspect"))
-        return expand_candidates(self.sentences.select("sentence_id")).withColumn(
-            "score", hash_int(key) / F.lit(4294967296.0)
-        )
-
-    @property
-    def sentiment_scores(self) -> DataFrame:
-        key = hash_key(F.col("sentence_id"), F.col("aspect"), F.col("sentiment"))
-        pairs = expand_candidates(
-            expand_candidates(self.sentences.select("sentence_id")), vocab.SENTIMENTS, "sentiment"
-        )
-        return pairs.withColumn("score", hash_int(key) / F.lit(4294967296.0))
+    def opinions(self) -> DataFrame:
+        """(sentence_id, words, scores): lower-case words and a stand-in score per aspect, from the text."""
+        # one-element generators, so that words and scores are computed once
+        rows = self.sentences.select("sentence_id", F.explode(F.array(tokens(F.lower("text")))).alias("words"))
+        return rows.select("*", F.explode(F.array(aspect_scores(F.col("words")))).alias("scores"))
 
     @property
     def annotations(self) -> DataFrame:
@@ -258,13 +281,29 @@ SQL_VIEWS = {
         FROM events""",
     "aspect_names": "SELECT unnest(['food','service','ambiance','price','location','general']) AS aspect",
     "sentiment_names": "SELECT unnest(['positive','negative','neutral']) AS sentiment",
-    "aspect_scores": f"""
-        SELECT sentence_id, aspect, {sql_hash_int('sentence_id', 'aspect')} / 4294967296.0::DOUBLE AS score
-        FROM sentences, aspect_names""",
-    "sentiment_scores": f"""
+    "opinion_words": "SELECT * FROM (VALUES " + ", ".join(
+        f"('{w}', '{aspect}', '{sentiment}')"
+        for aspect, lists in OPINION_WORDS.items()
+        for sentiment, words in zip(("positive", "negative", "neutral"), lists)
+        for w in words.split()
+    ) + ") x(token, aspect, sentiment)",
+    "opinion_counts": f"""
+        SELECT s.sentence_id, s.n_words, a.aspect, x.sentiment, count(h.token) AS n
+        FROM (SELECT sentence_id, list_filter(string_split({sql_clean()}, ' '), lambda x: x <> '') AS w, len(w) AS n_words
+              FROM sentences) s
+        CROSS JOIN aspect_names a CROSS JOIN sentiment_names x
+        LEFT JOIN (SELECT t.sentence_id, o.* FROM (
+                SELECT sentence_id, unnest(list_filter(string_split({sql_clean()}, ' '), lambda x: x <> '')) AS token
+                FROM sentences) t JOIN opinion_words o USING (token)) h
+            ON h.sentence_id = s.sentence_id AND h.aspect = a.aspect AND h.sentiment = x.sentiment
+        GROUP BY 1, 2, 3, 4""",
+    "aspect_scores": """
+        SELECT sentence_id, aspect, sum(n) * 16 / (sum(n) * 16 + any_value(n_words) + 1)::DOUBLE AS score
+        FROM opinion_counts GROUP BY 1, 2""",
+    "sentiment_scores": """
         SELECT sentence_id, aspect, sentiment,
-               {sql_hash_int('sentence_id', 'aspect', 'sentiment')} / 4294967296.0::DOUBLE AS score
-        FROM sentences, aspect_names, sentiment_names""",
+               (n + 1) / (sum(n) OVER (PARTITION BY sentence_id, aspect) + 3)::DOUBLE AS score
+        FROM opinion_counts""",
     "annotations": """
         SELECT CAST(doc_id AS VARCHAR) AS id, 'ann_a' AS labeler_id, CAST(quality AS VARCHAR) AS label
         FROM labels
@@ -302,8 +341,9 @@ SQL_VIEWS = {
 NEEDS = {
     "dirty_sentences": ("sentences",),
     "dirty_aspects": ("aspects",),
-    "aspect_scores": ("sentences", "aspect_names"),
-    "sentiment_scores": ("sentences", "aspect_names", "sentiment_names"),
+    "opinion_counts": ("sentences", "aspect_names", "sentiment_names", "opinion_words"),
+    "aspect_scores": ("opinion_counts",),
+    "sentiment_scores": ("opinion_counts",),
     "coded_en": ("sentences",),
     "coded_vi": ("sentences",),
     "mapped_aspects": ("aspects",),

@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.functions import text as T
 from labelflow.functions import vocab
 
 
+ASPECT_LIST = "array<struct<aspect:string,sentiment:string,confidence:double>>"
+
+
+def rated_aspects(
+    scores: Column,
+    rate: Callable[[Column], Column],
+    candidates: Sequence[str] = vocab.ASPECTS,
+    threshold: float = vocab.ASPECT_THRESHOLD,
+    order: Sequence[str] = vocab.SENTIMENTS,
+) -> Column:
+    """Aspects of a text as (aspect, sentiment, confidence), by score descending, then by name.
+
+    ``scores`` is an array of one score per candidate; ``rate(aspect)`` gives an array of one score per
+    sentiment of ``order`` and is evaluated for detected aspects only. Everything happens in the row, without
+    a shuffle. Missing scores detect nothing; the earlier sentiment wins ties.
+    """
+    names, sentiments = F.array(*[F.lit(c) for c in candidates]), F.array(*[F.lit(x) for x in order])
+    scored = F.transform(scores, lambda s, i: F.struct((-s).alias("o"), F.get(names, i).alias("aspect")))
+    found = F.array_sort(F.filter(scored, lambda r: -r["o"] > threshold))
+
+    def rated(r: Column) -> Column:
+        def best(values: Column) -> Column:
+            top = F.array_max(values)
+            return F.struct(
+                r["aspect"].alias("aspect"),
+                F.get(sentiments, F.array_position(values, top).cast("int") - 1).alias("sentiment"),
+                F.bround(top, 4).alias("confidence"),
+            )
+
+        return T.bind(rate(r["aspect"]), best)
+
+    return F.coalesce(F.transform(found, rated), F.array().cast(ASPECT_LIST))
+
+
 def expand_candidates(
     df: DataFrame, candidates: Sequence[str] = vocab.ASPECTS, out: str = "aspect"
 ) -> DataFrame:
@@ -45,7 +79,7 @@ def extract_aspects(
 ) -> DataFrame:
     """(id, aspects): detected aspects with their sentiment, by aspect score descending.
 
-    Texts without detected aspects, or whose scores are missing, get an empty list.
+    For scores that come as tables; :func:`rated_aspects` does the same for scores within the row. Texts without detected aspects, or whose scores are missing, get an empty list.
     """
     found = detected_aspects(aspect_scores, threshold)
     rated = best_sentiment(sentiment_scores, [id_col, "aspect"])
@@ -62,7 +96,7 @@ def extract_aspects(
             ),
         ).alias("aspects")
     )
-    nothing = F.array().cast("array<struct<aspect:string,sentiment:string,confidence:double>>")
+    nothing = F.array().cast(ASPECT_LIST)
     return texts.select(id_col).join(lists, id_col, "left").withColumn(
         "aspects", F.coalesce("aspects", nothing)
     )

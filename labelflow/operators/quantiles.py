@@ -4,84 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+GRID = 1000
+CELLS = 4096
+
+
+def _brackets(keyed: DataFrame, qs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """(by..., n, brackets): per quantile two values between which it lies, from a mergeable sketch.
+
+    The sketch is asked at GRID even ranks; its first and last are the smallest and largest value. The margin
+    covers the sketch's error and the one row that a rank may be off in a small group.
+    """
+    ranks = [i / GRID for i in range(GRID + 1)]
+    sketch = keyed.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ranks, ACCURACY).alias("grid")
+    )
+
+    def bracket(q: float) -> Column:
+        margin = F.lit(3.0 / ACCURACY) + F.lit(2.0) / F.col("n")
+        low = F.floor(F.greatest(F.lit(0.0), F.lit(q) - margin) * GRID).cast("int")
+        high = F.ceil(F.least(F.lit(1.0), F.lit(q) + margin) * GRID).cast("int")
+        return F.struct(F.lit(q).alias("q"), F.get("grid", low).alias("lo"), F.get("grid", high).alias("hi"))
+
+    return sketch.select(*by, "n", F.array(*[bracket(float(q)) for q in qs]).alias("brackets"))
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for a, b in zip(left, right):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
 
 
 def exact_quantiles(
     df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """(by..., q, quantile) for any numeric column.
+    """(by..., q, quantile) for any numeric column; missing values and NaN do not count.
 
-    A mergeable sketch brackets each quantile within a rank error of 1/ACCURACY; only values inside the
-    bracket are then counted and ranked exactly. Groups up to ACCURACY rows are ranked whole.
+    A sketch brackets each quantile. The bracket is cut into CELLS ranges of equal width, whose rows are counted
+    (all rows below it count as one range), and only the ranges with the quantile's two neighbouring ranks are
+    counted by value and ranked. Groups of every size take this way.
     """
+    by = list(by)
     v = F.col(value).cast("double")
     keyed = df.filter(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("v"))
-    pad = 3.0 / ACCURACY
-    lows = [max(0.0, q - pad) for q in qs]
-    highs = [min(1.0, q + pad) for q in qs]
-    sketch = keyed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", lows, ACCURACY).alias("lo"),
-        F.percentile_approx("v", highs, ACCURACY).alias("hi"),
-    )
-    exact = F.col("n") <= ACCURACY
-    bounds = sketch.select(
-        *by,
-        "n",
-        F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("i", "q"),
-        "lo",
-        "hi",
-    ).select(
-        *[F.col(c).alias(f"__{c}") for c in by],
-        "n",
-        "q",
-        F.when(exact, F.lit(float("-inf"))).otherwise(F.col("lo")[F.col("i")]).alias("lo"),
-        F.when(exact, F.lit(float("inf"))).otherwise(F.col("hi")[F.col("i")]).alias("hi"),
-    )
-    bounds = bounds.groupBy(*[f"__{c}" for c in by], "n").agg(
-        F.collect_list(F.struct("q", "lo", "hi")).alias("brackets")
-    )
-    on = F.lit(True)
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    bounds = _brackets(keyed, qs, by)
     if by:
-        joined = keyed.join(bounds, on)
+        theirs = [f"__{c}" for c in by]
+        bounds = bounds.select(*[F.col(c).alias(t) for c, t in zip(by, theirs)], "n", "brackets")
+        joined = keyed.join(bounds, _same(by, theirs))
     else:
-        joined = (
-            keyed.withColumn("__one", F.lit(1))
-            .join(F.broadcast(bounds.withColumn("__one", F.lit(1))), "__one")  # one row
-            .drop("__one")
-        )
-    # One row per value and quantile it matters for: below the bracket (pooled) or inside it.
-    placed = (
-        joined.select(
-            *by, "v", "n", F.explode("brackets").alias("b")
-        )
-        .filter(F.col("v") <= F.col("b.hi"))
-        .select(
-            *by,
-            "n",
-            F.col("b.q").alias("q"),
-            F.when(F.col("v") < F.col("b.lo"), F.lit(None)).otherwise(F.col("v")).alias("v"),
-        )
-        .groupBy(*by, "n", "q", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    order = Window.partitionBy(*by, "n", "q").orderBy(F.col("v").asc_nulls_first())
-    ranked = placed.withColumn("upto", F.sum("c").over(order)).filter(F.col("v").isNotNull())
+        one = F.lit(1).alias("__one")
+        joined = keyed.select("v", one).join(F.broadcast(bounds.select("n", "brackets", one)), "__one")  # one row
+    rows = joined.select(*by, "n", "v", F.explode("brackets").alias("b")).filter(F.col("v") <= F.col("b.hi"))
+    width = F.col("b.hi") - F.col("b.lo")
+    share = F.when((width > 0) & (width < float("inf")), (F.col("v") - F.col("b.lo")) / width).otherwise(0.0)
+    cell = F.when(F.col("v") < F.col("b.lo"), -1).otherwise(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
+    rows = rows.select(*by, "n", F.col("b.q").alias("q"), cell.cast("int").alias("cell"), "v")
+
     position = F.col("q") * (F.col("n") - 1)
     floor, ceil = F.floor(position), F.ceil(position)
-    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    counted = rows.groupBy(*by, "n", "q", "cell").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "n", "q").orderBy("cell"))
+    counted = counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
+    holds = (F.col("upto") > floor) & (F.col("before") <= ceil)
+    mine = [*by, "q", "cell"]
+    picked = counted.filter(holds).select(*[F.col(c).alias(f"p_{c}") for c in mine], "before")
+
+    near = rows.join(picked, _same(mine, [f"p_{c}" for c in mine])).groupBy(*by, "n", "q", "cell", "before", "v").agg(
+        F.count(F.lit(1)).alias("c")
+    )
+    order = Window.partitionBy(*by, "n", "q", "cell", "before").orderBy("v")
+    ranked = near.withColumn("reached", F.col("before") + F.sum("c").over(order))
+    at = lambda rank: F.min(F.when(F.col("reached") > rank, F.col("v")))
+    between = F.col("a") + (F.col("b") - F.col("a")) * (position - floor)
     return (
         ranked.groupBy(*by, "n", "q")
         .agg(at(floor).alias("a"), at(ceil).alias("b"))
-        .select(
-            *by,
-            "q",
-            (F.col("a") + (F.col("b") - F.col("a")) * (position - F.floor(position))).alias("quantile"),
-        )
+        .select(*by, "q", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("quantile"))
     )

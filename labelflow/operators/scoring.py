@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from labelflow.functions import probs as P
 from labelflow.functions import text as T
 from labelflow.functions import vocab
+from labelflow.operators.aspects import ASPECT_LIST
 from labelflow.session import materialize
 
 # Builds a scorer once per task; the scorer maps a list of texts to rows of probabilities. A factory from a
 # module needs that module on the workers; a nested function is shipped by value.
 ScorerFactory = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
+# Builds two functions: texts to rows of one score per candidate aspect, and (text, aspect) pairs to rows of one
+# score per sentiment.
+AspectScorerFactory = Callable[[], tuple[Callable, Callable]]
+
 
 def score(
     df: DataFrame,
@@ -26,19 +31,53 @@ def score(
     sarcasm_scorer: ScorerFactory | None = None,
     skip_sarcasm: bool = False,
     label_names: Sequence[str] = vocab.MODEL_SENTIMENTS,
+    aspect_scorer: AspectScorerFactory | None = None,
+    skip_aspects: bool = False,
+    lang_col: str | None = None,
+    candidates: Sequence[str] = vocab.ASPECTS,
+    threshold: float = vocab.ASPECT_THRESHOLD,
 ) -> DataFrame:
-    """(id, probs, sentiment, confidence, sarcasm_flag) per row.
+    """(id, probs, sentiment, confidence, aspects, sarcasm_flag) per row.
 
     Rows stay in their partitions: no shuffle, and the id travels with the text, so input and output
-    cannot drift apart. Arrow batches are re-cut to ``batch_size`` texts per scorer call.
+    cannot drift apart. Arrow batches are re-cut to ``batch_size`` texts per scorer call. Aspects are rated for
+    sentiment only where they score above ``threshold``; a text the aspect scorer fails on has none. With
+    ``lang_col``, a row in an unsupported language fails the job (a missing language is the default one).
     """
     if batch_size <= 0:
         raise ValueError(f"a batch needs at least one row, not {batch_size}")
     with_sarcasm = sarcasm_scorer is not None and not skip_sarcasm
+    with_aspects = aspect_scorer is not None and not skip_aspects
+    n_candidates = len(candidates)
+
+    def detected(texts, detect, rate):
+        """Per text the (candidate, score, sentiment scores) of its detected aspects."""
+        found = []
+        for text, scores in zip(texts, detect(texts), strict=True):
+            if len(scores) != n_candidates:
+                raise ValueError("aspect scorer returned a different number of scores")
+            found += [(text, i, float(x)) for i, x in enumerate(scores) if x > threshold]
+        pairs = [(text, candidates[i]) for text, i, _ in found]
+        cut = [pairs[i : i + batch_size] for i in range(0, len(pairs), batch_size)]
+        rates = [[float(x) for x in row] for chunk in cut for row in rate(chunk)]
+        by_text: dict[str, list] = {}
+        for (text, i, x), rated in zip(found, rates, strict=True):
+            by_text.setdefault(text, []).append({"i": i, "score": x, "rates": rated})
+        return [by_text.get(text, []) for text in texts]
+
+    def aspects_of(texts, detect, rate):
+        """As ``detected`` for texts that differ; if a batch fails, text by text."""
+        try:
+            return detected(texts, detect, rate)
+        except Exception:  # noqa: BLE001 - a text the scorer cannot read has no aspects
+            if len(texts) == 1:
+                return [[]]
+            return [found for text in texts for found in aspects_of([text], detect, rate)]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         main = scorer()
         irony = sarcasm_scorer() if with_sarcasm else None
+        about = aspect_scorer() if with_aspects else None
         for batch in batches:
             texts = batch["text"].tolist()
             chunks = [texts[i : i + batch_size] for i in range(0, len(texts), batch_size)]
@@ -50,18 +89,41 @@ def score(
             if len(out["probs"]) != len(texts):
                 raise ValueError("scorer returned a different number of rows")
             out["irony"] = call(irony) if irony else None
+            out["aspects"] = None
+            if about:
+                known: dict[str, list] = {}
+                for chunk in chunks:
+                    distinct = [t for t in dict.fromkeys(chunk) if t not in known]
+                    known.update(zip(distinct, aspects_of(distinct, *about) if distinct else []))
+                out["aspects"] = [known[t] for t in texts]
             yield out
 
-    source = df.select(
-        F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")
+    text = F.coalesce(text_col, F.lit(""))
+    if lang_col is not None:
+        lang = T.language_or_default(F.col(lang_col))
+        refusal = F.raise_error(F.concat(F.lit("no scorer for language "), lang)).cast("string")
+        text = F.when(T.is_supported_language(lang), text).otherwise(refusal)
+    source = df.select(F.col(id_col).cast("string").alias("id"), text.alias("text"))
+    scored = source.mapInPandas(
+        run,
+        "id string, probs array<double>, irony array<double>, "
+        "aspects array<struct<i:int,score:double,rates:array<double>>>",
     )
-    scored = source.mapInPandas(run, "id string, probs array<double>, irony array<double>")
+    names = F.array(*[F.lit(c) for c in candidates])
+    sentiments = F.array(*[F.lit(x) for x in vocab.SENTIMENTS])
+    ordered = F.array_sort(F.transform("aspects", lambda r: F.struct(
+        (-r["score"]).alias("o"), F.get(names, r["i"]).alias("aspect"), r["rates"].alias("rates"))))
+    aspects = F.transform(ordered, lambda r: F.struct(
+        r["aspect"].alias("aspect"),
+        F.get(sentiments, F.array_position(r["rates"], F.array_max(r["rates"])).cast("int") - 1).alias("sentiment"),
+        F.bround(F.array_max(r["rates"]), 4).alias("confidence")))
     flag = P.sarcasm_flag(F.col("irony")) if with_sarcasm else F.lit(False)
     return scored.select(
         F.col("id").alias(id_col),
         "probs",
         P.argmax_label(F.col("probs"), label_names).alias("sentiment"),
         P.confidence(F.col("probs")).alias("confidence"),
+        F.coalesce(aspects, F.array().cast(ASPECT_LIST)).alias("aspects"),
         F.coalesce(flag, F.lit(False)).alias("sarcasm_flag"),
     )
 
@@ -119,19 +181,22 @@ def batch_results(
 ) -> DataFrame:
     """(row, text, sentiment, confidence, aspects, error): blank rows become neutral error rows.
 
-    ``scores`` holds (row, sentiment, confidence) for the other rows; a missing score is an error.
+    ``scores`` holds (row, sentiment, confidence) and maybe aspects for the other rows; a missing score is an
+    error.
     """
     text, error = clean_upload(F.col("text"), null_as_text)
     cleaned = uploads.select(F.col(row_col).alias("row"), text.alias("text"), error.alias("error"))
-    aspects = F.array().cast("array<struct<aspect:string,sentiment:string,confidence:double>>")
-    scored = scores.select(F.col(row_col).alias("row"), "sentiment", "confidence")
+    listed = "aspects" in scores.columns
+    nothing = F.array().cast(ASPECT_LIST)
+    scored = scores.select(F.col(row_col).alias("row"), "sentiment", "confidence", *(["aspects"] if listed else []))
+    aspects = F.when(~F.col("error").isNotNull(), F.col("aspects")) if listed else nothing
     failed = F.col("error").isNotNull()
     return cleaned.join(scored, "row", "left").select(
         "row",
         "text",
         F.when(failed, "neutral").otherwise(F.col("sentiment")).alias("sentiment"),
         F.when(failed, F.lit(0.0)).otherwise(F.bround("confidence", 4)).alias("confidence"),
-        aspects.alias("aspects"),
+        F.coalesce(aspects, nothing).alias("aspects"),
         F.when(~failed & F.col("sentiment").isNull(), F.lit("Not scored"))
         .otherwise(F.col("error"))
         .alias("error"),
