@@ -33,10 +33,10 @@ def _found(words, listed):
     return F.size(F.filter(words, lambda w: F.array_contains(listed, w)))
 
 
-def aspect_scores(words):
-    """Score per aspect: its words' density among all words."""
+def aspect_scores(words, n):
+    """Score per aspect: its words' density among all ``n`` words."""
     hits = F.array(*[_among(words, " ".join(lists)) * 16 for lists in OPINION_WORDS.values()])
-    return F.transform(hits, lambda h: h / (h + F.size(words) + 1))
+    return F.transform(hits, lambda h: h / (h + n + 1))
 
 
 def sentiment_rates(words, aspect):
@@ -173,10 +173,14 @@ class Tables:
 
     @property
     def opinions(self) -> DataFrame:
-        """(sentence_id, words, scores): lower-case words and a stand-in score per aspect, from the text."""
+        """(sentence_id, words, scores): the text's opinion words and a stand-in score per aspect."""
+        listed = sorted({w for lists in OPINION_WORDS.values() for v in lists for w in v.split()})
         # one-element generators, so that words and scores are computed once
-        rows = self.sentences.select("sentence_id", F.explode(F.array(tokens(F.lower("text")))).alias("words"))
-        return rows.select("*", F.explode(F.array(aspect_scores(F.col("words")))).alias("scores"))
+        rows = self.sentences.select("sentence_id", F.explode(F.array(tokens(F.lower("text")))).alias("all"))
+        words = F.filter("all", lambda w: w.isin(listed))
+        rows = rows.select("sentence_id", F.size("all").alias("n"), F.explode(F.array(words)).alias("words"))
+        scores = aspect_scores(F.col("words"), F.col("n"))
+        return rows.select("sentence_id", "words", F.explode(F.array(scores)).alias("scores"))
 
     @property
     def annotations(self) -> DataFrame:
