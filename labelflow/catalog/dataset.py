@@ -144,3 +144,83 @@ def orphan_aspects(t: Tables):
 )
 def orphan_examples(t: Tables):
     return ql.orphan_summary(t.dirty).select("orphans", F.array_join("examples", ",").alias("examples"))
+
+
+# Missing labels and ids in the aspects: a missing label is no conflict, and neither enters the derived sentiment.
+GAPS = """
+    SELECT CASE WHEN row_order % 11 <> 0 THEN sentence_id END AS sentence_id, aspect_category,
+           CASE WHEN row_order % 7 <> 0 THEN sentiment END AS sentiment
+    FROM aspects"""
+
+
+@query(
+    "missing_labels_n1_n3",
+    sql(
+        """SELECT k.sentence_id, k.n, k.unlabelled, d.derived FROM (
+               SELECT sentence_id, count(*) AS n, count(*) FILTER (sentiment IS NULL) AS unlabelled
+               FROM gaps WHERE sentiment IS DISTINCT FROM 'conflict' GROUP BY 1) k
+           LEFT JOIN (SELECT sentence_id, CASE WHEN count(DISTINCT sentiment) = 1 THEN min(sentiment)
+                             WHEN bool_or(sentiment = 'negative') THEN 'negative' ELSE 'positive' END AS derived
+                      FROM gaps WHERE sentiment <> 'conflict' AND sentence_id IS NOT NULL GROUP BY 1) d
+           ON k.sentence_id = d.sentence_id""",
+        "aspects",
+        extra={"gaps": GAPS},
+    ),
+)
+def missing_labels(t: Tables):
+    d = F.col("row_order")
+    gaps = t.aspects.select(
+        F.when(d % 11 != 0, F.col("sentence_id")).alias("sentence_id"),
+        "aspect_category",
+        F.when(d % 7 != 0, F.col("sentiment")).alias("sentiment"),
+    )
+    kept = fr.label_rows(gaps)
+    counts = kept.groupBy("sentence_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("sentiment").isNull()).alias("unlabelled")
+    )
+    return counts.join(fr.sentence_sentiment(kept), "sentence_id", "left")
+
+
+def _outcome(run) -> str:
+    try:
+        run()
+    except fr.SchemaError as error:
+        return str(error)
+    return "ok"
+
+
+@query(
+    "step_conditions_p16_p17",
+    sql(
+        """SELECT v.outcome, v.what, p.split, CASE WHEN v.outcome = 'ok' THEN p.n ELSE 0 END AS n
+           FROM (VALUES ('whole', 'ok'),
+                        ('no text, no split', 'sentences frame lacks columns: [''split'', ''text'']'),
+                        ('empty aspects', 'sentence and aspect frames must not be empty'),
+                        ('step loses text', 'lose dropped required sentence columns: [''text'']'),
+                        ('step loses ids', 'cannot cascade after drop: aspects frame lacks ''sentence_id'''),
+                        ('nothing left', 'limit_length produced no sentences')) v(what, outcome)
+           CROSS JOIN (SELECT split, count(*) AS n FROM sentences GROUP BY 1) p""",
+        "sentences",
+    ),
+)
+def step_conditions(t: Tables):
+    """What the checks say of the raw frames and of steps that break them; rows per split where they pass."""
+    raw = t.raw
+    sentences, aspects = raw.sentences, raw.aspects
+    lose = fr.Step("lose", lambda f: fr.Frames(f.sentences.drop("text"), f.aspects), ("text",))
+    drop = fr.Step("drop", lambda f: fr.Frames(f.sentences, f.aspects.drop("sentence_id")))
+    tries = {
+        "whole": lambda: fr.check_schema(raw),
+        "no text, no split": lambda: fr.check_schema(fr.Frames(sentences.drop("text", "split"), aspects)),
+        "empty aspects": lambda: fr.check_schema(fr.Frames(sentences, aspects.filter("false"))),
+        "step loses text": lambda: fr.run_steps(raw, [lose]),
+        "step loses ids": lambda: fr.run_steps(raw, [drop]),
+        "nothing left": lambda: fr.run_steps(raw, [fr.limit_length(0, -1)], strict=True),
+    }
+    found = F.array(
+        *[F.struct(F.lit(what).alias("what"), F.lit(_outcome(run)).alias("outcome")) for what, run in tries.items()]
+    )
+    counts = sentences.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    rows = counts.select("split", "rows", F.inline(found))
+    n = F.when(F.col("outcome") == "ok", F.col("rows")).otherwise(F.lit(0).cast("long"))
+    return rows.select("outcome", "what", "split", n.alias("n"))

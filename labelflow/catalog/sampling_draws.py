@@ -163,6 +163,15 @@ def task_mix(t: Tables):
     return out.select("sentence_id", "source")
 
 
+# The labelled texts without copies, split 90/10 by language and label.
+TRAINING_HALVES = {
+    "firsts": f"""SELECT p.id, p.y_true AS label, 'train' AS split, {LANG.replace("lang", "p.lang")} || '__' || p.y_true AS stratum
+        FROM predictions p JOIN documents d ON p.id = CAST(d.doc_id AS VARCHAR)
+        QUALIFY row_number() OVER (PARTITION BY {sql_clean('d.text')} ORDER BY d.doc_id) = 1""",
+    "halves": sql_split("firsts", "stratum", 0.1, "id", "test", "split = 'train'"),
+}
+
+
 @query(
     "training_rows_m4_w2_w7_a9",
     sql(
@@ -171,10 +180,7 @@ def task_mix(t: Tables):
              UNION ALL SELECT split, label, 1 FROM halves WHERE split = 'test') GROUP BY 1, 2""",
         "predictions",
         extra={
-            "firsts": f"""SELECT p.id, p.y_true AS label, 'train' AS split, {LANG.replace("lang", "p.lang")} || '__' || p.y_true AS stratum
-                FROM predictions p JOIN documents d ON p.id = CAST(d.doc_id AS VARCHAR)
-                QUALIFY row_number() OVER (PARTITION BY {sql_clean('d.text')} ORDER BY d.doc_id) = 1""",
-            "halves": sql_split("firsts", "stratum", 0.1, "id", "test", "split = 'train'"),
+            **TRAINING_HALVES,
             "train": "SELECT * FROM halves WHERE split = 'train'",
             "copies": sql_oversample("train", "label", "id", 0.3),
         },

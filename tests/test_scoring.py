@@ -252,3 +252,40 @@ def test_eval_set(frame, spark):
     with pytest.raises(ValueError):
         build_eval_set({}, "id")
     assert irony_probes(spark).groupBy("label").count().count() == 2
+
+
+def aspect_scorer():
+    def detect(texts):
+        if any("broken" in t for t in texts):
+            raise RuntimeError("cannot read this")
+        return [[0.9 if "food" in t else 0.0, 0.95 if "staff" in t else 0.45, 0.0, 0.0, 0.0, 0.0] for t in texts]
+
+    def rate(pairs):
+        assert all(aspect in ("food", "service") for _, aspect in pairs)
+        return [[0.2, 0.55555, 0.1] if aspect == "service" else [0.4, 0.4, 0.2] for _, aspect in pairs]
+
+    return detect, rate
+
+
+def test_aspect_branch(frame):
+    df = frame(T, ("1", "good food and staff"), ("2", "nothing"), ("3", None), ("4", "broken food"), ("5", "food"), ("5", "food"))
+    got = sorted((r["sentence_id"], [tuple(x) for x in r["aspects"]]) for r in s.score(df, scorer, aspect_scorer=aspect_scorer, batch_size=16).collect())
+    food, service = ("food", "positive", 0.4), ("service", "negative", 0.5556)
+    # one text the scorer fails on loses its own aspects only
+    assert got == [("1", [service, food]), ("2", []), ("3", []), ("4", []), ("5", [food]), ("5", [food])]
+    off = s.score(df, scorer, aspect_scorer=aspect_scorer, skip_aspects=True, batch_size=16)
+    assert off.filter("size(aspects) > 0").count() == 0
+
+
+def test_language_gate(frame):
+    df = frame("sentence_id string, text string, lang string", ("1", "good", "en"), ("2", "tốt", "vi"), ("3", "x", None))
+    assert s.score(df, scorer, lang_col="lang", batch_size=16).count() == 3
+    with pytest.raises(Exception, match="no scorer for language de"):
+        s.score(df.withColumn("lang", F.lit("de")), scorer, lang_col="lang", batch_size=16).collect()
+
+
+def test_rated_aspects_in_the_row(spark):
+    df = spark.createDataFrame([("a", [0.9, 0.45, 0.46, 0.9, None, 0.1]), ("b", [0.0] * 6), ("c", None)], "id string, x array<double>")
+    rate = lambda aspect: F.when(aspect == "food", F.array(F.lit(0.3), F.lit(0.3), F.lit(0.4))).otherwise(F.array(F.lit(0.5), F.lit(0.5), F.lit(0.0)))
+    got = {r["id"]: [tuple(x) for x in r["aspects"]] for r in df.select("id", a.rated_aspects(F.col("x"), rate).alias("aspects")).collect()}
+    assert got == {"a": [("food", "neutral", 0.4), ("price", "positive", 0.5), ("ambiance", "positive", 0.5)], "b": [], "c": []}
