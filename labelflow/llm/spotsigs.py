@@ -2,9 +2,11 @@
 
 A text is lower-cased and cut into words of letters and digits. At every anchor (a very common word), and at the
 beginning, the next ``chain`` words that are no anchors, found within ``reach`` words, form a signature,
-hashed to 64 bits. A text whose beginning has no such words is one signature as a whole. The fingerprint is
-the set of signatures; its digest is what is shown. Two sets are compared by Jaccard similarity, which the ratio
-of their sizes bounds: pairs whose sizes lie apart are never intersected.
+hashed to 64 bits. Where no anchor with a complete chain stands among the last ``reach`` words, every word, anchor or
+not, gives a signature of itself and the words after it, ``chain`` in all: tables, lists and other languages enter
+whole. A text without any complete chain has only these signatures. The fingerprint is the set of signatures; its
+digest is what is shown. Two sets are compared by Jaccard similarity, which the ratio of their sizes bounds: pairs
+whose sizes lie apart are never intersected.
 
 ``near_pairs`` partitions the sets by size into bands one threshold wide, so that only equal and neighbouring
 bands can hold similar sets, and joins on the rarest signatures that any similar set must share.
@@ -54,15 +56,27 @@ def signatures(rows: DataFrame, text: str, name: str, chain: int = CHAIN, reach:
         return F.slice(F.filter(F.slice("_w", start, F.lit(reach)), lambda w: ~w.isin(anchors)), 1, chain)
 
     places = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: F.get("_w", i - 1).isin(anchors))
-    spots = F.transform(places, lambda i: F.struct(F.get("_w", i - 1).alias("anchor"), content(i + 1).alias("words")))
-    full = F.filter(spots, lambda s: F.size(s["words"]) == chain)
-    hashed = F.transform(full, lambda s: F.xxhash64(s["anchor"], F.array_join(s["words"], " ")))
+    spots = F.transform(places, lambda i: F.struct(i.alias("at"), F.get("_w", i - 1).alias("anchor"), content(i + 1).alias("words")))
+    rows = _barrier(rows, "_s", F.filter(spots, lambda s: F.size(s["words"]) == chain))
+    hashed = F.transform("_s", lambda s: F.xxhash64(s["anchor"], F.array_join(s["words"], " ")))
     first = F.when(F.size(content(F.lit(1))) > 0, F.array_join(content(F.lit(1)), " ")).otherwise(F.array_join("_w", " "))
-    opening = F.array(F.xxhash64(F.lit("^"), first))
-    found = F.when(F.size("_w") == 0, F.array().cast("array<bigint>")).otherwise(
-        F.array_sort(F.array_distinct(F.concat(opening, hashed)))
+    none = F.array().cast("array<bigint>")
+    opening = F.when(F.size("_s") > 0, F.array(F.xxhash64(F.lit("^"), first))).otherwise(none)
+
+    # stretches of words that no complete chain reaches
+    n, at = F.size("_w"), F.transform("_s", lambda s: s["at"])
+    gaps = F.zip_with(
+        F.concat(F.array(F.lit(-reach)), at), F.concat(at, F.array(n + 1)),
+        lambda a, b: F.struct((a + reach + 1).alias("lo"), (b - 1).alias("hi")),
     )
-    return _barrier(rows, name, found).drop("_w")
+    gaps = F.filter(gaps, lambda g: g["lo"] <= g["hi"])
+    last = lambda g: F.least(g["hi"], F.greatest(g["lo"], n - chain + 1))
+    runs = F.transform(gaps, lambda g: F.transform(
+        F.sequence(g["lo"], last(g)), lambda i: F.xxhash64(F.lit(""), F.array_join(F.slice("_w", i, chain), " "))))
+    found = F.when(F.size("_w") == 0, none).otherwise(
+        F.array_sort(F.array_distinct(F.concat(opening, hashed, F.flatten(runs))))
+    )
+    return _barrier(rows, name, found).drop("_w", "_s")
 
 
 def digest(sigs: str):

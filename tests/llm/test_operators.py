@@ -345,6 +345,18 @@ def test_spots(spark):
     assert got[0] == got[1] and len(got[0]) == 4 and len(got[2]) == 1
 
 
+def test_texts_without_chains_enter_whole(spark):
+    table = [f"cell{i} | wert{i * 7 % 90}" for i in range(400)]
+    other = table[:20] + [f"zelle{i} | wort{i}" for i in range(380)]
+    texts = [table, other, ["another", "beginning", "here"] + table[5:], table + ["of x y z"], ["of cats dogs birds"] + table, ["of cats dogs birds"] + other]
+    texts = [" ".join(t) for t in texts] + ["the cat", "a cat", "cat", "x " * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    sets = {r["i"]: set(r["s"]) for r in spotsigs.signatures(rows, "t", "s").collect()}
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert like(0, 1) < 0.2 and like(0, 2) > 0.9 and like(0, 3) > 0.9 and like(4, 5) < 0.2 and like(0, 4) > 0.9
+    assert len(sets[0]) == 798 and len({frozenset(sets[i]) for i in (6, 7, 8)}) == 3 and len(sets[9]) == 1
+
+
 def test_near_pairs_against_brute_force(spark):
     base = [sentence(i, 80) for i in range(6)]
     texts = [b + " " + " ".join(f"new{j}{k}" for k in range(j)) for b in base for j in (0, 0, 1, 2, 30)] + [None, ""]
