@@ -4,7 +4,9 @@ Channel. A disguised word is a lattice over its characters: a digit or sign may
 resembles, ``*`` for any vowel, a mark between letters for nothing, a run of one letter for one or two of it,
 a space between single letters for nothing. Source. A character trigram model over all texts of the corpus,
 counted in Spark. Viterbi takes the likeliest letters. Only words that look disguised are decoded; all
-others are their own restoration.
+others are their own restoration. A digit or sign that touches a letter at either end of a word may be a letter or
+a mark, so such a word counts as written without it and as decoded: with every sign read one for one, and by Viterbi,
+which may also drop signs that are common punctuation. Two or more exclamation marks at the end are left to Viterbi.
 
 Scorer. Words and word beginnings of the restored texts are counted per label over a bounded, documented sample
 of the labelled rows (``sample`` per class, by hash of the id). The evidence of a feature is its smoothed log odds; a
@@ -47,6 +49,11 @@ SWAP, ERASE, SPLIT, KEEP = -1.0, -0.7, -0.7, -4.0
 INNER = re.compile(r"[^\W\d_][^\w\s]{0,3}[0-9@$!|+(€£¡*._'`~^,:;/\\#=·​‌‍­-]+[^\W\d_]|([^\W\d_])\1\1|^[@$!|+(€£¡0-9][^\W\d_]{2}")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+*])(?:[ .\-_*]{1,3}(?:[^\W_]|[@$!|+*])){3,}(?!\S)")
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…«»“”„‘’¿¡·"
+PLAIN = "".join(c for c in EDGES if c not in LOOKS)
+DOUBTFUL = set("!|+(¡")  # may be punctuation where they touch a word's end
+_SIGNS = "[" + re.escape("".join(LOOKS)) + "]"
+EDGED = re.compile(rf"^{_SIGNS}+[^\W\d_]|[^\W\d_]{_SIGNS}+$")
+SHOUT = re.compile(r"!{2,}$")
 
 
 def letter_table() -> np.ndarray:
@@ -101,11 +108,12 @@ class Decoder:
     def __init__(self, model: np.ndarray, memory: int = 50_000):
         self.model = model.tolist()
         self.table = letter_table()
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple, str] = {}
         self.memory = memory
 
-    def _choices(self, word: str) -> list[list[tuple[str, float]]]:
-        """Per run of equal characters: what it may stand for and at what cost."""
+    def _choices(self, word: str, each: bool = False, loose: bool = False) -> list[list[tuple[str, float]]]:
+        """Per run of equal characters: what it may stand for and at what cost. ``each``: one letter a sign, up to two;
+        ``loose``: doubtful signs at either end may stand for nothing."""
         steps = []
         at = 0
         while at < len(word):
@@ -117,9 +125,9 @@ class Decoder:
                 steps.append([("", SPLIT), (" ", KEEP)])
             elif c in LOOKS or c in MARKS:
                 options = [(x * min(n, 2), SWAP) for x in LOOKS.get(c, "")]
-                if c in LOOKS and n > 1:
+                if c in LOOKS and n > 1 and not each:
                     options += [(x, SWAP) for x in LOOKS[c]]
-                if c in MARKS or not options:
+                if c in MARKS or not options or loose and c in DOUBTFUL and (at == 0 or end == len(word)):
                     options.append(("", ERASE))
                 steps.append(options)
             elif n >= 3:
@@ -133,18 +141,18 @@ class Decoder:
         code = ord(c)
         return int(self.table[code]) if code < len(self.table) else 0
 
-    def restore(self, word: str) -> str:
-        got = self.known.get(word)
+    def restore(self, word: str, each: bool = False, loose: bool = False) -> str:
+        got = self.known.get((word, each, loose))
         if got is None:
             if len(self.known) >= self.memory:
                 self.known.clear()
-            got = self.known[word] = self._viterbi(word)
+            got = self.known[word, each, loose] = self._viterbi(word, each, loose)
         return got
 
-    def _viterbi(self, word: str) -> str:
+    def _viterbi(self, word: str, each: bool, loose: bool) -> str:
         model = self.model
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for options in self._choices(word):
+        for options in self._choices(word, each, loose):
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, path) in best.items():
                 for text, cost in options:
@@ -174,16 +182,16 @@ class Decoder:
             found.update(self.restore(run).split())
         for word in set(low.split()):
             bare = word.strip(EDGES)
-            if bare and bare.isalpha() and not _runs(bare):
-                found.add(bare)
-            elif word and INNER.search(word):
-                if bare:
-                    found.add(bare)
-                    found.add(self.restore(bare))
-                if word[0] in LOOKS or word[-1] in LOOKS:
-                    found.add(self.restore(word.strip('.,;:"?')))
-            elif bare:
-                found.add(bare)
+            found.add(bare)
+            if not (bare.isalpha() and not _runs(bare)) and INNER.search(word):
+                found.add(self.restore(bare))
+            core = word.strip(PLAIN)
+            if EDGED.search(core):
+                found.add(self.restore(core, loose=True))
+                shown = SHOUT.sub("", core)
+                if EDGED.search(shown):
+                    found.add(self.restore(shown))
+                    found.add(self.restore(shown, each=True))
         found.discard("")
         return found
 
@@ -345,7 +353,10 @@ def restore_rows(docs: DataFrame) -> DataFrame:
         decoder = Decoder(sent.value)
 
         def one(word: str) -> str:
-            bare = word.strip(EDGES)
+            bare, core = word.strip(EDGES), word.strip(PLAIN)
+            if EDGED.search(core):
+                got = decoder.restore(core, loose=True)
+                return word if got == bare else got
             return decoder.restore(bare) if bare and INNER.search(bare) else word
 
         for batch in batches:

@@ -388,6 +388,24 @@ def test_restoration(spark):
     assert got.keys() == {0, 1}
 
 
+def test_disguise_at_the_edges(spark):
+    words = ["idiot", "shit", "asshole", "ass", "people", "the", "house", "as", "hit", "is", "you"]
+    rng = np.random.default_rng(0)
+    clean = [" ".join(rng.choice(words[4:], size=30)) for _ in range(200)]
+    toxic = [" ".join(rng.choice(words[4:], size=30)) + f" {rng.choice(words[:4])}" for _ in range(100)]
+    seen = {"$hit": "shit", "@sshole": "asshole", "a55": "ass", "a$$": "ass", "idi07": "idiot", "5h17": "shit", "(@sshole),": "asshole", "'$hit!!'": "shit"}
+    docs = docs_of(spark, clean + toxic + [f"the people {w} you" for w in seen] + ["the house! you (people)"])
+    decoder = toxicity.Decoder(toxicity.language_model(docs))
+    for word, meant in seen.items():
+        assert meant in decoder.words(f"you {word} the"), word
+    assert "house" in decoder.words("the house! you") and "people" in decoder.words("(people) you")
+    labels = spark.createDataFrame([(i, 0, int(i >= 200)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.judge(docs, labels).collect()}
+    assert [got[300 + i] for i in range(len(seen))] == [1] * len(seen) and got[300 + len(seen)] == 0
+    texts = {r["text"]: r["restored"] for r in toxicity.restore_rows(docs).where("doc_id >= 300").collect()}
+    assert texts["the people idi07 you"] == "the people idiot you" and texts["the house! you (people)"] == "the house! you (people)"
+
+
 def test_held_out_accuracy(spark):
     rng = np.random.default_rng(4)
     bad = ["idiot", "1d10t", "stupid", "stup1d", "w o r t h l e s s", "vequmo", "vequance"]
