@@ -3,10 +3,11 @@
 A rule (host, path) fits its host and all subdomains if the url's path starts with the rule's; the longest
 fitting rule decides. Pages without a rule take the verdict of their host. Edges between hosts are the
 absolute links of their pages, and a site's own structure: a host and its parent domain link to each other.
-Trust is a personalised PageRank from the hosts' shares of allowed pages along the edges; distrust is one from
-their shares of blocked pages against the edges, since who links to blocked hosts is suspect. A host is blocked
-if its distrust reaches ``threshold`` and exceeds its trust; both are 1 for a host without edges whose pages
-are all judged alike.
+Distrust and trust are personalised PageRank, with the restart at the host itself: of the pages that a walk along
+the links (distrust) or against them (trust) comes upon, the share that is blocked or allowed. Pages without a rule
+count as neither, and the walk goes on from a host as far as no rule decides its pages, so a host that links to many
+and to one blocked host has little distrust; a linked host without pages counts as one page, judged by its root. A
+host's own shares of blocked and allowed pages are the least that its distrust and trust can be. A host is blocked if its distrust reaches ``threshold`` and exceeds its trust.
 
 A null url, or one without ``://``, has empty host and path, no edges, and the verdict ``allow``. Null html
 has no links. Repeated pages count as often as they stand. Hosts keep their user part and port, if any.
@@ -50,7 +51,8 @@ def rule_of(host, path, block=BLOCK, allow=ALLOW):
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): how often pages of src link to dst, and the links of hosts with their parent domains."""
+    """(src, dst, n, linked): how often pages of src link to dst, and the links of hosts with their parent domains;
+    linked is false for those that no page has."""
     linked = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), 1)))
     links = pages.where(F.contains("html", F.lit("://"))).select(F.col("host").alias("src"), linked.alias("dst"))
     links = links.select("src", F.translate("dst", UPPER, SMALL).alias("dst")).where("src <> '' and dst <> src")
@@ -66,14 +68,20 @@ def host_edges(pages: DataFrame) -> DataFrame:
     hosts = pages.select("host").distinct().where("host like '%_._%'")
     pairs = hosts.select(F.explode(chain).alias("e")).select("e.x", "e.y").distinct()
     site = pairs.select(F.col("x").alias("src"), F.col("y").alias("dst")).union(pairs.select("y", "x"))
-    return links.union(site.withColumn("n", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    site = site.select("src", "dst", F.lit(1).cast("long").alias("n"), F.lit(False).alias("linked"))
+    both = links.withColumn("linked", F.lit(True)).union(site)
+    return both.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.max("linked").alias("linked"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=ROUNDS) -> DataFrame:
-    """(kind, host, score): PageRank with restart at seeds (kind, host, mass) along edges (kind, src, dst, n)."""
-    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
+def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=ROUNDS, by: str = "src") -> DataFrame:
+    """(kind, host, score): PageRank with restart at seeds (kind, host, mass) along edges (kind, src, dst, n).
+
+    The shares of the edges of one ``by`` make 1: with "src" a host deals out its score, with "dst" a host's
+    score is the mean of what it gets, which is what a walk from it against the edges finds.
+    """
+    out = edges.groupBy("kind", by).agg(F.sum("n").alias("all"))
     steps = materialize(
-        edges.join(materialize(out, "out"), ["kind", "src"]).select(
+        edges.join(materialize(out, "out"), ["kind", by]).select(
             "kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")
         ),
         "steps",
@@ -98,26 +106,43 @@ def judge(pages: DataFrame, block=BLOCK, allow=ALLOW, damping=DAMPING, rounds=RO
     read = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     ruled = read.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), block, allow).alias("found"))
     rows = materialize(ruled.select("page_id", "host", "path", "found.rule", "found.verdict"), "pages")
-    shares = rows.where("host <> ''").groupBy("host").agg(
+    shares = materialize(rows.where("host <> ''").groupBy("host").agg(
         F.avg((F.coalesce("verdict", F.lit("")) == "allow").cast("double")).alias("good"),
         F.avg((F.coalesce("verdict", F.lit("")) == "block").cast("double")).alias("bad"),
-    )
-    seeds = shares.select("host", F.explode(F.create_map(F.lit("trust"), "good", F.lit("distrust"), "bad"))).select(
-        F.col("key").alias("kind"), "host", F.col("value").alias("mass")
-    )
+    ), "shares")
     links = materialize(host_edges(read), "links")
-    both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(
-        links.select(F.lit("distrust"), "dst", "src", "n")
-    )
-    linked = both.groupBy("kind", "src").agg(F.lit(True).alias("linked"))
-    scores = propagate(both, seeds.where("mass > 0"), damping, rounds).join(
-        linked.withColumnRenamed("src", "host"), ["kind", "host"], "left"
+    unseen = links.where("linked").select(F.col("dst").alias("host")).distinct().join(shares, "host", "left_anti")
+    root = F.coalesce(rule_of(F.col("host"), F.lit("/"), block, allow)["verdict"], F.lit(""))
+    known = materialize(
+        shares.union(unseen.select("host", (root == "allow").cast("double"), (root == "block").cast("double"))), "known"
     )
-    # a host that passes nothing on keeps only the restart share, so its score is scaled to its seed
-    scaled = F.when(F.col("linked"), F.col("score")).otherwise(F.col("score") / (1 - damping))
-    verdicts = scores.groupBy("host").agg(
-        F.coalesce(F.sum(F.when(F.col("kind") == "trust", scaled)), F.lit(0.0)).alias("trust"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "distrust", scaled)), F.lit(0.0)).alias("distrust"),
+    kinds = (("trust", "good", "in"), ("trust_all", None, "in"), ("distrust", "bad", "out"), ("distrust_all", None, "out"))
+    mass = F.array(*[
+        F.struct(F.lit(k).alias("kind"), (F.col(c) if c else F.lit(1.0)).alias("mass")) for k, c, _ in kinds
+    ])
+    seeds = known.select("host", F.explode(mass).alias("m")).select("m.kind", "host", "m.mass").where("mass > 0")
+    along = {"in": links.select("src", "dst", "n"), "out": links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")}
+    both = None
+    for way, flow in along.items():
+        # a walk stays in a host as far as rules decide its pages, and where it leads nowhere
+        all_ = flow.groupBy(F.col("dst").alias("host")).agg(F.sum("n").alias("all"))
+        ruled = F.col("good") + F.col("bad")
+        ends = known.join(all_, "host", "left").select(
+            F.col("host").alias("src"), F.col("host").alias("dst"),
+            F.when(F.col("all").isNull() | (ruled > 1 - 1e-9), 1.0).otherwise(ruled / (1 - ruled) * F.col("all")).alias("n"),
+        ).where("n > 0")
+        decided = known.where(ruled > 1 - 1e-9).select(F.col("host").alias("dst"))
+        flow = flow.join(decided, "dst", "left_anti").select("src", "dst", F.col("n").cast("double").alias("n")).union(ends)
+        names = F.explode(F.array(*[F.lit(k) for k, _, w in kinds if w == way])).alias("kind")
+        flow = flow.select(names, "src", "dst", "n")
+        both = flow if both is None else both.union(flow)
+    scores = propagate(materialize(both, "edges"), seeds, damping, rounds, by="dst")
+    sums = scores.groupBy("host").agg(*[
+        F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k, _, _ in kinds
+    ])
+    verdicts = shares.join(sums, "host").select(
+        "host", F.greatest("good", F.col("trust") / F.col("trust_all")).alias("trust"),
+        F.greatest("bad", F.col("distrust") / F.col("distrust_all")).alias("distrust"),
     )
     verdicts = materialize(verdicts, "verdicts")
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))

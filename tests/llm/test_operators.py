@@ -201,6 +201,22 @@ def test_distrust_flows_against_links_and_trust_along(spark):
     assert got["friend.test"]["trust"] > 0 and got["friend.test"]["verdict"] == "allow"
 
 
+def test_distrust_at_the_production_threshold(spark):
+    link = '<a href="http://{}/">x</a>'
+    block, allow = (("bad.test", "/"), ("mostly.test", "/b")), (("good.test", "/"),)
+    rows = [("farm.test", "/", link.format("bad.test"))] * 3 + [("bad.test", "/", None), ("good.test", "/", link.format("friend.test"))]
+    rows += [("mostly.test", "/b", "")] * 19 + [("mostly.test", "/a", ""), ("quarter.test", "/", "")] + [("friend.test", "/", "")]
+    rows += [("directory.test", "/", "".join(link.format(f"clean{i}.test") for i in range(100)) + link.format("bad.test"))]
+    rows += [("two.test", "/", link.format("bad.test") + link.format("clean1.test") + link.format("clean2.test"))]
+    rows += [(f"clean{i}.test", "/", "") for i in range(60)]
+    rows = [(i, f"http://{h}{p}", html) for i, (h, p, html) in enumerate(rows)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["host"]: r for r in urls.judge(pages, block, allow).where("rule is null").collect()}
+    assert {h for h, r in got.items() if r["verdict"] == "block"} == {"farm.test", "mostly.test"}
+    assert got["mostly.test"]["distrust"] >= 0.95 and got["directory.test"]["distrust"] < 0.1
+    assert all(0 <= r["trust"] <= 1 and 0 <= r["distrust"] <= 1 for r in got.values())
+
+
 def test_propagate_against_plain_loop(spark):
     edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("a", "c", 1), ("d", "a", 3)]
     frame = spark.createDataFrame([("t", *e) for e in edges], "kind string, src string, dst string, n long")
