@@ -1,6 +1,9 @@
 """Main text of web pages by boosted trees over DOM nodes and hierarchical decoding.
 
-Every page is parsed into a tree; comments, scripts, styles and other raw text never enter it. Boosted trees
+Every page is parsed into a tree; comments, scripts, styles and other raw text never enter it. Controls (buttons,
+options, drawings, objects) are nodes that are never content, with all below them if their end tag stands; if it
+does not, only with the text and inline markup directly in them, so a missing end tag costs no blocks. Formulas
+follow what they stand in. Boosted trees
 (Spark ML) give each element the probability that it is main content, from its tag, the words in its
 class and id, text and link density of its subtree, depth, position, and statistics of its siblings. Labels of
 whole subtrees then come from a dynamic program over the tree: a node is content with all below it, boilerplate
@@ -38,7 +41,8 @@ GROUP = 256
 
 # Tag names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option button object canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
+CONTROLS = frozenset("svg select option button object canvas".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 "
     "h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -46,7 +50,7 @@ BLOCKS = frozenset(
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
 CLOSES = {  # an open element of the second set ends when the first opens
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"},
+    "option": {"option"}, "button": {"button"},
 }
 SCOPE = frozenset("ul ol dl table div article section main aside nav header footer form body html blockquote td th li dd".split())
 
@@ -76,11 +80,12 @@ HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "parts", "depth", "hidden", "mark")
+    __slots__ = ("tag", "words", "parent", "parts", "depth", "hidden", "mark", "ended")
 
     def __init__(self, tag: str, words: frozenset, parent: Node | None, hidden: bool = False, mark: str = ""):
         self.tag, self.words, self.parent, self.hidden, self.mark = tag, words, parent, hidden, mark
         self.parts: list = []  # child nodes and strings, in page order
+        self.ended = False  # by its own end tag
         self.depth = 0 if parent is None else parent.depth + 1
 
 
@@ -109,8 +114,11 @@ def parse(page: str) -> Node:
             while up is not root and up.tag != tag and not (tag in INLINE and up.tag in BLOCKS):
                 up = up.parent
             if up is not root and up.tag == tag:
+                up.ended = True
                 here = up.parent
             continue
+        if tag in RAW and found[3].rstrip().endswith("/") and _foreign(here):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -140,6 +148,30 @@ def parse(page: str) -> Node:
     return root
 
 
+def _foreign(node: Node | None) -> bool:
+    """Whether a node lies in a drawing or formula, where any tag may close itself."""
+    while node is not None and node.tag not in ("svg", "math"):
+        node = node.parent
+    return node is not None
+
+
+def bound(nodes: list[Node]) -> tuple[set[int], set[int]]:
+    """Ids of the nodes that controls keep out of the content, and of those in formulas, which follow their parent."""
+    out: set[int] = set()
+    whole: set[int] = set()
+    follow: set[int] = set()
+    for x in nodes:
+        above = id(x.parent)
+        if x.tag in CONTROLS and x.ended or above in whole:
+            whole.add(id(x))
+            out.add(id(x))
+        elif x.tag in CONTROLS or above in out and x.tag not in BLOCKS:
+            out.add(id(x))
+        elif x.tag == "math" or above in follow and x.tag not in BLOCKS:
+            follow.add(id(x))
+    return out, follow
+
+
 def nodes_of(root: Node) -> list[Node]:
     """All nodes, each before those below it."""
     out, todo = [], [root]
@@ -261,8 +293,14 @@ def decode(nodes: list[Node], probability: np.ndarray, own: np.ndarray, up: np.n
     p = np.clip(probability, 1e-3, 1 - 1e-3)
     weight = 0.2 + np.log1p(own)
     yes, no, above = (weight * np.log(p)).tolist(), (weight * np.log(1 - p)).tolist(), up.tolist()
+    out, follow = bound(nodes)
+    for i, x in enumerate(nodes):
+        if id(x) in out or id(x) in follow:
+            yes[i] = no[i] = 0.0
     all_yes, all_no = yes[:], no[:]
     free = [max(a, b) + mixed for a, b in zip(yes, no)]
+    loose = out | follow
+    free = [0.0 if id(x) in loose else f for x, f in zip(nodes, free)] if loose else free
     for i in range(len(nodes) - 1, 0, -1):
         u = above[i]
         free[u] += max(all_yes[i], all_no[i], free[i])
@@ -275,7 +313,13 @@ def decode(nodes: list[Node], probability: np.ndarray, own: np.ndarray, up: np.n
         if state[i] == "free":
             best = max(all_yes[i], all_no[i], free[i])
             state[i] = "no" if best == all_no[i] else "yes" if best == all_yes[i] else "free"
-        if state[i] == "yes" or state[i] == "free" and yes[i] > no[i]:
+        if id(x) in out:
+            # blocks in a control without an end tag are judged on their own
+            state[i] = "no" if x.ended or state[i] == "no" else "free"
+        elif id(x) in follow:
+            if id(x.parent) in content:
+                content.add(id(x))
+        elif state[i] == "yes" or state[i] == "free" and yes[i] > no[i]:
             content.add(id(x))
     return content
 
@@ -349,8 +393,10 @@ def examples(page: str, number: int) -> list[tuple[list[Node], list[bool]]]:
             for y in nodes_of(x):
                 if y is not x and (y.tag in BAD_TAGS or y.words & BAD):
                     inside -= {id(z) for z in nodes_of(y)}
+        inside -= bound(nodes)[0]
         out.append((nodes, [id(x) in inside for x in nodes]))
-    texts = [b for x in (marked or [y for y in nodes if y.tag == "p"]) for b in blocks_of(x)]
+    chosen = {id(x) for x in nodes} - bound(nodes)[0]
+    texts = [b for x in (marked or [y for y in nodes if y.tag == "p"]) for b in blocks_of(x, chosen)]
     words = " ".join(texts).split()
     if not words:
         return out

@@ -475,6 +475,21 @@ def test_broken_pages(trees):
     assert html._texts(pages, None) == [""] * len(pages)
 
 
+@pytest.mark.parametrize("control", [
+    "<datalist><option value=a><option value=b></datalist>", "<svg class=x />", "<svg><title/><path d='m'/></svg>", "<button>Menu", "<object data=x>",
+    "<select><option>One<option>Two</select>", "<canvas>", "<button>Menu</button>", "<svg><text>Label</text></svg>", "<math/>", "<button>Menu <div>Go</div></button>",
+])
+def test_controls_cost_no_text(trees, control):
+    page = f"<nav>{control}<a href=a>x</a> <a href=b>y</a></nav>{{}}<article>{ARTICLE}</article><footer>End <svg></svg><button>OK</button></footer>"
+    for at in ("", control):
+        assert html._texts([page.format(at)], trees) == [TEXT]
+
+
+def test_formulas_stay(trees):
+    page = f"<article>{ARTICLE.replace('bold', 'bold <math><mi>x</mi><mo>=</mo><mn>2</mn></math>')}</article>"
+    assert html._texts([page], trees) == [TEXT.replace("bold", "bold x=2")]
+
+
 def test_decoding_is_consistent():
     root = html.parse("<div><p>one two three</p><div><p>four five six</p></div></div>")
     nodes = html.nodes_of(root)
