@@ -6,7 +6,7 @@ absolute links of their pages, and a site's own structure: a host and its parent
 Distrust and trust are personalised PageRank, with the restart at the host itself: of the pages that a walk along
 the links (distrust) or against them (trust) comes upon, the share that is blocked or allowed. Pages without a rule
 count as neither, and the walk goes on from a host as far as no rule decides its pages, so a host that links to many
-and to one blocked host has little distrust; a linked host without pages counts as one page, judged by its root. A
+and to one blocked host has little distrust; a host or parent domain without pages counts as one, judged by its root. A
 host's own shares of blocked and allowed pages are the least that its distrust and trust can be. A host is blocked if its distrust reaches ``threshold`` and exceeds its trust.
 
 A null url, or one without ``://``, has empty host and path, no edges, and the verdict ``allow``. Null html
@@ -111,7 +111,7 @@ def judge(pages: DataFrame, block=BLOCK, allow=ALLOW, damping=DAMPING, rounds=RO
         F.avg((F.coalesce("verdict", F.lit("")) == "block").cast("double")).alias("bad"),
     ), "shares")
     links = materialize(host_edges(read), "links")
-    unseen = links.where("linked").select(F.col("dst").alias("host")).distinct().join(shares, "host", "left_anti")
+    unseen = links.select(F.col("dst").alias("host")).distinct().join(shares, "host", "left_anti")
     root = F.coalesce(rule_of(F.col("host"), F.lit("/"), block, allow)["verdict"], F.lit(""))
     known = materialize(
         shares.union(unseen.select("host", (root == "allow").cast("double"), (root == "block").cast("double"))), "known"
