@@ -121,7 +121,9 @@ def judge(pages: DataFrame, block=BLOCK, allow=ALLOW, damping=DAMPING, rounds=RO
         F.struct(F.lit(k).alias("kind"), (F.col(c) if c else F.lit(1.0)).alias("mass")) for k, c, _ in kinds
     ])
     seeds = known.select("host", F.explode(mass).alias("m")).select("m.kind", "host", "m.mass").where("mass > 0")
-    along = {"in": links.select("src", "dst", "n"), "out": links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")}
+    # a domain does not answer for its subdomains unless it links to them
+    down = links.where(F.col("linked") | F.col("src").endswith(F.concat(F.lit("."), F.col("dst"))))
+    along = {"in": links.select("src", "dst", "n"), "out": down.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")}
     both = None
     for way, flow in along.items():
         # a walk stays in a host as far as rules decide its pages, and where it leads nowhere
