@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.llm import bpe, html, mixing, pii, simhash, spotsigs, topk, toxicity, urls, warc
+from labelflow.llm import bpe, html, interactions, mixing, pii, simhash, spotsigs, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,50 @@ def _urls(pages):
 @query("op10_pii", "documents")
 def _pii(docs):
     return pii.find(docs)
+
+
+AUDIT_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM words GROUP BY text),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT w.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+         CAST(len(w.w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w.w)) < 80 * len(w.w) AS INT)
+         + 4 * CAST(100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 10 * length(w.text) AS INT)
+         + 8 * CAST(regexp_matches(w.text, '[#$%&*|]') AS INT)
+         + 16 * CAST(coalesce(w.doc_id > f.first_id, false) AS INT) AS mask
+  FROM words w JOIN firsts f ON w.text = f.text LEFT JOIN marks m ON w.doc_id = m.doc_id),
+masks AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM failed GROUP BY part, mask),
+letters AS (SELECT substr('ABCDE', i + 1, 1) AS letter, 1 << i AS own FROM (SELECT unnest(range(5)) AS i)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+         [a.own, b.own, c.own, d.own, e.own] AS masks
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.own | b.own | c.own | d.own | e.own = 31),
+steps AS (
+  SELECT filter_order, CAST(step AS INT) AS step, masks[step] AS own,
+         CAST(coalesce(list_sum(masks[1:step - 1]), 0) AS INT) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+rows AS (
+  SELECT m.part, s.filter_order, s.step, s.own,
+         CAST(sum(CASE WHEN m.mask & (s.before | s.own) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN m.mask & s.before = 0 AND m.mask & s.own <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN m.mask & s.before <> 0 AND m.mask & s.own <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN m.mask = s.own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN m.mask & s.before = 0 AND m.mask & s.own <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN m.mask & s.before = 0 AND m.mask & s.own <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM masks m, steps s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM rows
+"""
+
+
+@query("op13_filter_audit", "documents", "labels", sql=AUDIT_SQL)
+def _filter_audit(docs, labels):
+    return interactions.audit(docs, labels)
