@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.llm import bpe, html, interactions, mixing, pii, simhash, spotsigs, topk, toxicity, urls, warc, whitening
+from labelflow.llm import bpe, html, interactions, licenses, mixing, pii, simhash, spotsigs, topk, toxicity, urls, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,6 +186,11 @@ def _pii(docs):
     return pii.find(docs)
 
 
+@query("op11_licenses", "documents")
+def _licenses(docs):
+    return licenses.scan(docs)
+
+
 @query("op12_whitening", "embeddings")
 def _whitening(vectors):
     return whitening.whiten(vectors)
