@@ -431,6 +431,52 @@ def token_attribution(t: Tables):
     )
 
 
+def make_logit_scorer():
+    """The logits of the linear scorer as plain Python, standing in for a model whose inside is not known."""
+    lexicon_, intercept = dict(LEXICON), list(INTERCEPT)
+
+    def factory():
+        def run(texts: list[str]) -> list[list[float]]:
+            out = []
+            for text in texts:
+                logits = list(intercept)
+                for word in text.lower().split():
+                    for c, w in enumerate(lexicon_.get(word, ())):
+                        logits[c] += w
+                out.append(logits)
+            return out
+
+        return run
+
+    return factory
+
+
+TURNS = "SELECT conv_id || '-' || turn AS turn_id, text FROM conversations"
+
+
+@query(
+    "tree_attribution_m6",
+    sql(
+        """SELECT id AS turn_id, sentiment, pos::INTEGER AS pos, length(token)::INTEGER AS n_chars, round(base, 6) AS base_value,
+                  round(value, 6) AS value
+           FROM (SELECT t.id, t.pos, t.token, s.sentiment,
+                        CASE s.sentiment WHEN 'negative' THEN coalesce(x.negative, 0) WHEN 'neutral' THEN coalesce(x.neutral, 0)
+                             ELSE coalesce(x.positive, 0) END AS value,
+                        CASE s.sentiment """ + " ".join(f"WHEN '{c}' THEN {b}::DOUBLE" for c, b in zip(CLASSES, INTERCEPT)) + """ END AS base
+                 FROM toks t JOIN scored s USING (id) LEFT JOIN lex x USING (token))""",
+        extra={"turns": TURNS, **sql_scored("turns", "turn_id")},
+    ),
+)
+def tree_attribution(t: Tables):
+    """Every token of every chat turn: a scorer that happens to be linear must get its weights back."""
+    turns = t.chat.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
+    out = at.attribute_tree(turns, make_logit_scorer(), id_col="turn_id")
+    return out.select(
+        "turn_id", "sentiment", F.col("pos").cast("int").alias("pos"), F.length("token").alias("n_chars"),
+        r6("base_value").alias("base_value"), r6(F.col("value") + 0.0).alias("value"),
+    )
+
+
 RANKED = f"""
     SELECT sentence_id, list_transform(w, lambda x, i: (i * 37 % 101 - 50) / 64.0::DOUBLE) AS v, w
     FROM (SELECT sentence_id, list_filter(string_split({BODY}, ' '), lambda x: x <> '') AS w FROM sentences)"""

@@ -1,7 +1,9 @@
-"""Token attribution: exact for linear scorers, leave-one-out for any other. Not Shapley values."""
+"""Token attribution: exact weights of linear scorers; for any other scorer Owen values of a coalition tree over
+token spans (Shapley values that respect the spans), or leave-one-out."""
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -100,6 +102,140 @@ def attribute_leave_one_out(
     return source.mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
+# Words a row of scoring work may put through the scorer; a long text becomes many such rows.
+WORK = 1 << 23
+# Outside contexts of a span that are always rated; up to 16 tokens this means all of them.
+CONTEXTS = 8
+# Tasks beyond this number get longer instead.
+MOST_TASKS = 20_000
+# Scored variants a task keeps for the spans below, in words.
+KEPT_WORDS = 1 << 21
+
+
+def split_of(n: int, at: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """The span (low, high) of the tree over n tokens that is cut at ``at``, and the siblings on the way down to it.
+
+    A span is cut in its middle, so each of the places 1 .. n-1 cuts exactly one span.
+    """
+    low, high, siblings = 0, n, []
+    while (middle := (low + high) // 2) != at:
+        if at < middle:
+            siblings.append((middle, high))
+            high = middle
+        else:
+            siblings.append((low, middle))
+            low = middle
+    return low, high, siblings
+
+
+def outside_contexts(n: int, depth: int, limit: int, seed: int = 42) -> list[int]:
+    """Which siblings are present, as bits from the top: all combinations, or ``limit`` drawn ones with their opposites.
+
+    Draws belong to the text's length and are cut to the depth, so the contexts of a span go on from those of the
+    span above, and half of its variants have been scored there.
+    """
+    if 1 << depth <= limit:
+        return list(range(1 << depth))
+    draw, full = random.Random(f"{seed}|{n}"), (1 << depth) - 1
+    half = [draw.getrandbits(64) & full for _ in range(limit // 2)]
+    return half + [full ^ c for c in half]
+
+
+def attribute_tree(
+    df: DataFrame,
+    scorer: ScorerFactory,
+    text_col: str = "text",
+    id_col: str = "sentence_id",
+    batch_size: int = 32,
+    classes: Sequence[str] = vocab.MODEL_SENTIMENTS,
+    contexts: int = CONTEXTS,
+    work: int = WORK,
+) -> DataFrame:
+    """(id, sentiment, base_value, pos, token, value): Owen values of the tokens for the predicted class.
+
+    Spans are halved down to single tokens. The halves of a span share what it adds to the score: each gets the
+    mean of what it adds with and without the other half, in contexts where every span beside the way down from
+    the whole text is either there or not. With up to ``contexts`` such contexts all are rated and the values are
+    the exact Owen values; a deeper span gets max(contexts, log2 n) drawn ones, so a text of n tokens costs
+    O(n log n) scorer calls. What drawn contexts leave between a span's share and that of its halves is dealt out
+    over its tokens, so the values always sum to the score of the text minus that of the empty text
+    (``base_value``). A linear scorer gets its weights back exactly.
+
+    The spans of a text are dealt out as rows of about ``work`` words of scoring, so a long text is rated by many
+    tasks in one pass; what they find meets in one sum per token. Texts without tokens have no rows; missing and
+    repeated ids stay apart.
+    """
+    if batch_size <= 0 or contexts < 2 or contexts % 2:
+        raise ValueError(f"a batch needs a row and contexts come in pairs, not {batch_size} and {contexts}")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fn = scorer()
+
+        def rated(texts: list[str], best: int | None = None) -> list:
+            rows = [row for i in range(0, len(texts), batch_size) for row in fn(texts[i : i + batch_size])]
+            if len(rows) != len(texts):
+                raise ValueError("scorer returned a different number of rows")
+            return rows if best is None else [float(row[best]) for row in rows]
+
+        def shares(words: list[str], first: int, stop: int) -> tuple[list, int, float]:
+            n = len(words)
+            empty, full = rated(["", " ".join(words)])
+            best = max(range(len(full)), key=lambda i: (full[i], -i))
+            limit = max(contexts, (n - 1).bit_length() // 2 * 2)
+            known, held = {}, 0
+            out = [(0, 1, float(full[best]) - float(empty[best]))] if n == 1 else []
+            for at in range(first, stop):
+                low, high, beside = split_of(n, at)
+                variants = []
+                for context in outside_contexts(n, len(beside), limit):
+                    there = sorted(span for i, span in enumerate(beside) if context >> i & 1)
+                    before = [w for a, b in there if b <= low for w in words[a:b]]
+                    after = [w for a, b in there if a >= high for w in words[a:b]]
+                    left, right = words[low:at], words[at:high]
+                    variants += [" ".join(before + part + after) for part in ([], left, right, left + right)]
+                if held > KEPT_WORDS:
+                    known, held = {}, 0
+                fresh = [v for v in dict.fromkeys(variants) if v not in known]
+                known.update(zip(fresh, rated(fresh, best)))
+                held += len(fresh) * n
+                found = [known[v] for v in variants]
+                times = len(found) // 4
+                without, a, b, both = (sum(found[k::4]) / times for k in range(4))
+                share_a, share_b = (a - without + both - b) / 2, (b - without + both - a) / 2
+                # a span below the whole text has had its share of the span above dealt out already
+                given = 0.0 if high - low == n else (both - without) / (high - low)
+                out += [(low, at, share_a / (at - low) - given), (at, high, share_b / (high - at) - given)]
+            return out, best, float(empty[best])
+
+        for batch in batches:
+            for key, words, first, stop in zip(batch["key"], batch["words"], batch["first"], batch["stop"]):
+                found, best, base = shares(list(words), int(first), int(stop))
+                rows = [(key, low, high, add, classes[best], base) for low, high, add in found]
+                yield pd.DataFrame(rows, columns=["key", "low", "high", "add", "sentiment", "base_value"])
+
+    keyed = df.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), T.tokens(F.col(text_col)).alias("__words"))
+    keyed = materialize(keyed.where(F.size("__words") > 0), "keyed")  # written, so a task that runs again finds the same keys
+    n = F.size("__words").cast("long")
+    rated_contexts = F.greatest(F.lit(contexts), F.ceil(F.log2(n.cast("double"))))
+    per_row = F.greatest(F.lit(1), F.floor(F.lit(work) / (2 * rated_contexts * n))).cast("long")
+    firsts = F.sequence(F.lit(1).cast("long"), F.greatest(n - 1, F.lit(1)), per_row)
+    pieces = keyed.select(F.col("__row").alias("key"), F.col("__words").alias("words"), n.alias("n"),
+                          per_row.alias("size"), F.explode(firsts).alias("first"))
+    pieces = pieces.select("key", "words", "first", F.least(F.col("first") + F.col("size"), "n").alias("stop"))
+    # tasks are cut by work, which is far more than the size of the rows says
+    total = keyed.agg(F.coalesce(F.sum(2.0 * rated_contexts * n * n), F.lit(0.0))).first()[0]
+    tasks = int(min(max(1, total // (work / 4)), MOST_TASKS))
+    found = pieces.repartition(tasks, "key", "first").mapInPandas(
+        run, "key long, low int, high int, add double, sentiment string, base_value double"
+    )
+    tokens = found.select("key", "sentiment", "base_value", "add", F.explode(F.expr("sequence(low, high - 1)")).alias("pos"))
+    values = tokens.groupBy("key", "pos").agg(
+        F.sum("add").alias("value"), F.first("sentiment").alias("sentiment"), F.first("base_value").alias("base_value")
+    )
+    words = keyed.select(F.col("__row").alias("key"), id_col, F.posexplode("__words").alias("pos", "token"))
+    return words.join(values, ["key", "pos"]).select(id_col, "sentiment", "base_value", "pos", "token", "value")
+
+
 def ranked_tokens(tokens: Column, values: Column, scale: float = 45.0) -> Column:
     """Array of struct(rank, token, value, width): by |value| descending, input order on ties.
 

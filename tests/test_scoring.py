@@ -1,3 +1,4 @@
+import itertools
 import math
 import sys
 
@@ -193,6 +194,105 @@ def test_leave_one_out_brute_force(frame):
         assert r["base_value"] == pytest.approx(fn([""])[0][best]) and r["sentiment"] == CLASSES[best]
 
 
+def game_scorer():
+    """One class rated by a set function of the words: pairs and triples of words act together."""
+
+    def rate(words):
+        v = sum({"good": 2.0, "bad": -1.5}.get(w, 0.25) for w in words)
+        v += 3.0 * ("not" in words and "good" in words) - 2.0 * ({"a", "bad", "c"} <= set(words))
+        return v + 0.1 * len(words) ** 2
+
+    def run(texts):
+        assert len(texts) <= 7
+        return [[rate(t.split()), -1e9] for t in texts]
+
+    run.rate = rate
+    return run
+
+
+def tree_orders(low, high):
+    """Orders of tokens in which every span of the tree stays together, all equally likely."""
+    if high - low == 1:
+        return [[low]]
+    middle = (low + high) // 2
+    a, b = tree_orders(low, middle), tree_orders(middle, high)
+    return [x + y for x in a for y in b] + [y + x for x in a for y in b]
+
+
+def mean_marginals(words, orders, rate):
+    out = [0.0] * len(words)
+    for order in orders:
+        for k, i in enumerate(order):
+            before = sorted(order[:k])
+            out[i] += rate([words[j] for j in sorted([*before, i])]) - rate([words[j] for j in before])
+    return [v / len(orders) for v in out]
+
+
+def tree_values(df, **options):
+    got = {}
+    for r in at.attribute_tree(df, game_scorer, batch_size=7, classes=("yes", "no"), **options).collect():
+        assert r["sentiment"] == "yes" and r["base_value"] == 0
+        got.setdefault(r["sentence_id"], []).append((r["pos"], r["token"], r["value"]))
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def test_tree_attribution_enumerated(frame):
+    texts = ["good", "not good", "a bad c", "not good a bad", "x not y good bad", "a not bad good c x", "good not c a bad good z"]
+    got = tree_values(frame(T, *[(str(i), t) for i, t in enumerate(texts)]))
+    rate = game_scorer().rate
+    for i, text in enumerate(texts):
+        words = text.split()
+        assert [t for _, t, _ in got[str(i)]] == words
+        assert [v for *_, v in got[str(i)]] == pytest.approx(mean_marginals(words, tree_orders(0, len(words)), rate))
+        if len(words) <= 2:  # one pair: the Owen values are the Shapley values
+            assert [v for *_, v in got[str(i)]] == pytest.approx(mean_marginals(words, list(itertools.permutations(range(len(words)))), rate))
+
+
+def test_tree_attribution_equals_shapley_of_sibling_pairs(frame):
+    """Words that act together only inside a span leave nothing for the tree to change."""
+    text = "not good x y not good z z"
+    rows = at.attribute_tree(frame(T, ("1", text)), sibling_scorer, batch_size=7, classes=("yes", "no")).orderBy("pos").collect()
+    words = text.split()
+    halves = [mean_marginals(w, list(itertools.permutations(range(4))), sibling_scorer().rate) for w in (words[:4], words[4:])]
+    assert [r["value"] for r in rows] == pytest.approx(halves[0] + halves[1])
+
+
+def sibling_scorer():
+    def rate(words):
+        together = sum(a == "not" and b == "good" for a, b in zip(words, words[1:]))
+        return 5.0 * together + sum({"good": 1.0, "x": 2.0, "y": -2.0, "z": -1.0}.get(w, 0.0) for w in words)
+
+    def run(texts):
+        return [[rate(t.split()), -1e9] for t in texts]
+
+    run.rate = rate
+    return run
+
+
+@pytest.mark.parametrize("work", [1, 1 << 25])
+def test_tree_attribution_of_long_texts(frame, work):
+    """Drawn contexts: shares still add up, tasks do not change them, additive words get their weight."""
+    text = " ".join(["not", "x", "good", "bad"] * 25)
+    df = frame(T, ("long", text), ("none", ""), ("null", None), (None, "bad"), (None, "good"), ("twice", "bad a"), ("twice", "bad a"))
+    got = tree_values(df, work=work)
+    rate = game_scorer().rate
+    assert sum(v for *_, v in got["long"]) == pytest.approx(rate(text.split()))
+    assert len(got["long"]) == 100 and set(got) == {"long", None, "twice"}
+    assert [t for _, t, _ in got[None]] == ["bad", "good"] and len(got["twice"]) == 4
+    whole = tree_values(df)
+    assert [v for *_, v in got["long"]] == pytest.approx([v for *_, v in whole["long"]])
+
+
+def test_tree_splits_cover_all_places():
+    for n in (2, 3, 7, 64, 100):
+        spans = [at.split_of(n, i) for i in range(1, n)]
+        assert len({(a, b) for a, b, _ in spans}) == n - 1
+        for low, high, beside in spans:
+            assert sorted([(low, high), *beside])[0][0] == 0 and sum(b - a for a, b in [(low, high), *beside]) == n
+    drawn = at.outside_contexts(1000, 9, 20)
+    assert len(drawn) == 20 and all(sum(c >> i & 1 for c in drawn) == 10 for i in range(9))
+
+
 def test_ranked_tokens(frame):
     df = frame("w array<string>, v array<double>", (["a", "b", "c"], [0.5, -1.0, 0.5]), ([], []), (["z"], [0.0]))
     got = [[tuple(x) for x in r[0]] for r in df.orderBy("row_order").select(at.ranked_tokens(F.col("w"), F.col("v"))).collect()]
