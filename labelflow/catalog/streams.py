@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelflow.catalog.expressions import MARKED, SHORT
-from labelflow.catalog.monitor import DAY, mean6, sql_alerts, sql_mean6, sql_stamp, sql_windows, stamp
+from labelflow.catalog.monitor import DAY, HOUR, mean6, sql_alerts, sql_mean6, sql_sliding, sql_stamp, sql_windows, stamp
 from labelflow.catalog.registry import query
 from labelflow.catalog.scored import CLASSES, INTERCEPT, LEXICON, sql_scored
 from labelflow.catalog.views import Tables, r6, sql
@@ -46,6 +46,21 @@ def streaming_windows(t: Tables):
     return out.select(stamp(), "endpoint", "n", "n_5xx", mean6(F.col("avg_latency")).alias("avg_latency"))
 
 
+@query(
+    "streaming_sliding_r15",
+    sql(
+        f"""SELECT {sql_stamp('start')} AS start, endpoint, n, n_5xx, {sql_mean6('latency_sum / n')} AS avg_latency
+            FROM w WHERE {CLOSED.format(s=DAY)}""",
+        "requests",
+        extra={"w": sql_sliding(1, 24, "endpoint")},
+    ),
+)
+def streaming_sliding(t: Tables):
+    """Days that begin every hour: hourly sums, then 24 of them per window."""
+    out = mo.average_latency(closed_windows(t, DAY, HOUR, ["endpoint"]))
+    return out.select(stamp(), "endpoint", "n", "n_5xx", mean6(F.col("avg_latency")).alias("avg_latency"))
+
+
 @query(
     "streaming_quantiles_r15_r9",
     sql(
@@ -81,7 +96,7 @@ def streaming_alerts(t: Tables):
     folder = scratch_path(t.spark, "alerts")
     high = F.col("n_5xx") / F.col("n") > 0.22
     sr.alert_stream(windows, folder, high, DAY, DAY).awaitTermination()
-    alerts = t.spark.read.parquet(f"{folder}/alerts")
+    alerts = t.spark.read.schema("endpoint string, since timestamp, fired_at timestamp").parquet(f"{folder}/alerts")
     return alerts.select("endpoint", stamp("since"), stamp("fired_at"))
 
 

@@ -223,8 +223,9 @@ def attribute_tree(
                           per_row.alias("size"), F.explode(firsts).alias("first"))
     pieces = pieces.select("key", "words", "first", F.least(F.col("first") + F.col("size"), "n").alias("stop"))
     # tasks are cut by work, which is far more than the size of the rows says
-    total = keyed.agg(F.coalesce(F.sum(2.0 * rated_contexts * n * n), F.lit(0.0))).first()[0]
-    tasks = int(min(max(1, total // (work / 4)), MOST_TASKS))
+    per_text = F.ceil((n - 1) / per_row)
+    total, rows = keyed.agg(F.sum(2.0 * rated_contexts * n * n), F.sum(F.greatest(per_text, F.lit(1)))).first()
+    tasks = max(1, int(min((total or 0) // (work / 4), rows or 0, MOST_TASKS)))
     found = pieces.repartition(tasks, "key", "first").mapInPandas(
         run, "key long, low int, high int, add double, sentiment string, base_value double"
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from labelflow.operators.monitoring import event_sums
 
@@ -27,17 +29,24 @@ def streaming_windows(
     buckets: bool = False,
     value: str = "latency_s",
 ) -> DataFrame:
-    """(start, by..., sums) as windows close; rows later than ``delay`` are dropped.
+    """(start, by..., sums, closed_at) as windows close; rows whose step closed ``delay`` ago are dropped.
 
-    State is one row per open window and group, so it is bounded by the delay, not by the traffic.
+    Overlapping windows are two chained aggregations: events are summed per step (the longest one that all
+    windows are made of), and only these few sums enter the windows that cover their step, so an event is
+    counted once however many windows cover it. State is one row per open step or window and group: it is bounded by
+    the delay and the width, not by the traffic. ``closed_at`` carries the watermark on.
     """
-    window = F.window("ts", f"{width} seconds", f"{slide or width} seconds")
-    return (
-        requests.withWatermark("ts", delay)
-        .groupBy(window.alias("w"), *by)
-        .agg(*event_sums(buckets, value))
-        .withColumn("start", F.col("w.start"))
-        .drop("w")
+    step = math.gcd(width, slide or width)
+    sums = event_sums(buckets, value)
+    steps = (
+        requests.withWatermark("ts", delay).groupBy(F.window("ts", f"{step} seconds").alias("w"), *by).agg(*sums)
+    )
+    if slide and slide != width or step != width:
+        names = [c for c in steps.columns if c != "w" and c not in by]
+        cover = F.window(F.window_time("w"), f"{width} seconds", f"{slide or width} seconds")
+        steps = steps.groupBy(cover.alias("w"), *by).agg(*[F.sum(c).alias(c) for c in names])
+    return steps.select(
+        *[c for c in steps.columns if c != "w"], F.col("w.start").alias("start"), F.window_time("w").alias("closed_at")
     )
 
 
@@ -53,85 +62,97 @@ def write_closed_windows(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-OPEN = "start timestamp, since timestamp, steps long, fired boolean"
-
-
-def advance_alerts(
-    closed: DataFrame, state: DataFrame, condition, hold: int, step: int, by: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """(alerts that start firing, new state) from newly closed windows and the open stretches.
-
-    ``state`` is (by..., start, since, steps, fired): the last true window of each stretch still open and
-    where the stretch began. Windows of a group must arrive in order, as a watermark guarantees.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _alert_processor(hold: int, step: int, keys: Sequence[str]):
+    """Processor of one group's closed windows; nested, so that it is shipped to the workers by value."""
+
+    class Alerts(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            # the last true window of the open stretch, where the stretch began, whether it has fired
+            self.open = handle.getValueState("stretch", "start long, since long, fired boolean")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+            stretch = self.open.get() if self.open.exists() else None
+            last = stretch
+            for start, hit in sorted((r["start_s"], r["hit"]) for r in rows):
+                if not hit:
+                    stretch = None
+                    continue
+                going_on = stretch is not None and start - stretch[0] == step
+                since, fired = (stretch[1], stretch[2]) if going_on else (start, False)
+                if not fired and start - since >= hold:
+                    fired = True
+                    yield Row(**dict(zip(keys, key)), since=since, fired_at=since + hold)
+                stretch = (start, since, fired)
+            if stretch == last:
+                return
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if stretch is None:
+                self.open.clear()
+                return
+            self.open.update(stretch)
+            # the next window closes two steps on; past that, nothing can continue the stretch
+            self.handle.registerTimer((stretch[0] + 2 * step) * 1000 + 1)
+
+        def handleExpiredTimer(
+            self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+        ) -> Iterator[Row]:
+            self.open.clear()
+            yield from ()
+
+        def close(self) -> None:
+            pass
+
+    return Alerts()
+
+
+def alert_rows(windows: DataFrame, condition: Column, hold: int, step: int, by: Sequence[str] = ("endpoint",)) -> DataFrame:
+    """(by..., since, fired_at) of alerts as they start firing, from a stream of closed windows.
+
+    Each group keeps the stretch of true windows that is still open as keyed state. Windows of a group arrive in
+    order, as a watermark guarantees. A timer in event time removes the state of a group as soon as no window can
+    continue its stretch, so groups that stop sending leave nothing behind.
     """
-    true = closed.select(*by, "start", F.coalesce(condition, F.lit(False)).alias("hit")).select(
-        *by,
-        "start",
-        "hit",
-        F.lit(None).cast("timestamp").alias("since"),
-        F.lit(1).cast("long").alias("steps"),
-        F.lit(False).alias("fired"),
-    )
-    carried = state.select(*by, "start", F.lit(True).alias("hit"), "since", "steps", "fired")
-    rows = carried.unionByName(true)
-    group = Window.partitionBy(*by).orderBy("start")
-    last = F.max("start").over(Window.partitionBy(*by)).alias("last")
-    rows = rows.select("*", last).filter("hit")
-    gap = F.col("start").cast("long") - F.lag("start").over(group).cast("long")
-    rows = rows.withColumn("fresh", F.coalesce((gap != step).cast("long"), F.lit(1)))
-    rows = rows.withColumn(
-        "stretch", F.sum("fresh").over(group.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    stretches = rows.groupBy(*by, "stretch").agg(
-        F.min(F.coalesce("since", "start")).alias("since"),
-        F.max("start").alias("start"),
-        F.sum("steps").alias("steps"),
-        F.max("fired").alias("fired"),
-        F.max("last").alias("last"),
-    )
-    long_enough = (F.col("start").cast("long") - F.col("since").cast("long")) >= hold
-    new = stretches.filter(long_enough & ~F.col("fired")).select(
-        *by, "since", (F.col("since") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hold))).alias("fired_at")
+    keys = list(by) or ["__all"]
+    rows = windows if by else windows.withColumn("__all", F.lit(""))
+    rows = rows.select(
+        *keys,
+        F.col("start").cast("long").alias("start_s"),
+        F.coalesce(condition, F.lit(False)).alias("hit"),
+        "closed_at",
     )
-    still_open = stretches.filter(F.col("start") == F.col("last")).select(
-        *by, "start", "since", "steps", (F.col("fired") | long_enough).alias("fired")
+    fields = [T.StructField(c, rows.schema[c].dataType) for c in keys]
+    fields += [T.StructField("since", T.LongType()), T.StructField("fired_at", T.LongType())]
+    fired = rows.groupBy(*keys).transformWithState(
+        _alert_processor(hold, step, keys), T.StructType(fields), "Append", "EventTime"
     )
-    return new, still_open
+    return fired.select(*by, *[F.timestamp_seconds(c).alias(c) for c in ("since", "fired_at")])
 
 
 def alert_stream(
     windows: DataFrame,
     folder: str,
-    condition,
+    condition: Column,
     hold: int,
     step: int,
     by: Sequence[str] = ("endpoint",),
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Alerts over closed windows, written to ``folder/alerts/batch=N``.
+    """Alerts over closed windows, written to ``folder/alerts``; a restart goes on from ``folder/checkpoint``.
 
-    Each batch reads the previous batch's state folder and writes its own, so a repeated batch overwrites
-    the same folders: results stay exact after a restart.
+    State lives in RocksDB under the checkpoint, which keeps the versions a recovery needs and removes older
+    ones; each batch's alerts are committed once.
     """
-    spark = windows.sparkSession
-    state_schema = ", ".join([*(f"`{c}` {windows.schema[c].dataType.simpleString()}" for c in by), OPEN])
-
-    def run(closed: DataFrame, batch: int) -> None:
-        closed = closed.persist()  # both outputs below read it
-        if batch == 0:
-            state = spark.createDataFrame([], state_schema)
-        else:
-            state = spark.read.schema(state_schema).parquet(f"{folder}/state/batch={batch - 1}")
-        new, still_open = advance_alerts(closed, state, condition, hold, step, by)
-        new.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch}")
-        still_open.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
-        closed.unpersist()
-
-    writer = (
-        windows.writeStream.outputMode("append")
-        .foreachBatch(run)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
+    conf = windows.sparkSession.conf
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    conf.set(key, ROCKSDB)  # the query takes its settings when it starts
+    try:
+        fired = alert_rows(windows, condition, hold, step, by)
+        return write_closed_windows(fired, f"{folder}/alerts", f"{folder}/checkpoint", available_now)
+    finally:
+        conf.set(key, before) if before else conf.unset(key)

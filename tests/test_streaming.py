@@ -9,7 +9,6 @@ from labelflow.streaming import requests as sr
 from labelflow.streaming import scoring as ss
 
 T0 = dt.datetime(2024, 1, 1)
-STATE = "endpoint string, " + sr.OPEN
 
 
 def write(spark, folder, name, rows):
@@ -67,30 +66,73 @@ def test_alerts_across_batches(spark, request_files, tmp_path):
     ]
 
 
-def windows(spark, *spans):
-    rows = [(T0 + dt.timedelta(minutes=m), "e", float(v)) for m, v in spans]
-    return spark.createDataFrame(rows, "start timestamp, endpoint string, v double")
+def write_spans(spark, folder, batch, spans):
+    """A file whose events fill minute m of endpoint e, all errors where the condition is to hold."""
+    rows = [event(m, 500 if bad else 200, e) for e, m, bad in spans]
+    write(spark, folder, f"b{batch}.parquet", rows)
 
 
-def step(spark, state, *spans):
-    new, state = sr.advance_alerts(windows(spark, *spans), state, F.col("v") > 0, 120, 60, ["endpoint"])
-    fired = [(r["since"] - T0).seconds // 60 for r in new.collect()]
-    rows = [tuple(r) for r in state.collect()]
-    return fired, spark.createDataFrame(rows, STATE)
+def run_alerts(spark, folder, out):
+    """All files not read yet, one per batch; a new query each time, so state comes from the checkpoint."""
+    windows = sr.streaming_windows(stream(spark, folder), 60, None, ["endpoint"], delay="0 seconds")
+    query = sr.alert_stream(windows, out, F.col("n_5xx") / F.col("n") > 0.5, 120, 60)
+    query.awaitTermination()
+    return query
 
 
-def test_alert_state(spark):
-    state = spark.createDataFrame([], STATE)
-    fired, state = step(spark, state, (0, 1), (1, 1))
-    assert fired == [] and state.count() == 1
-    fired, state = step(spark, state, (2, 1))
-    assert fired == [0]
-    fired, state = step(spark, state, (3, 1), (4, 0), (5, 1))  # fires once; a new stretch is open
-    assert fired == [] and (state.first()["since"] - T0).seconds == 300
-    fired, state = step(spark, state, (7, 1))  # minute 6 had no data
-    assert fired == [] and (state.first()["since"] - T0).seconds == 420
-    fired, state = step(spark, state, (8, 0))
-    assert fired == [] and state.count() == 0
+def fired(spark, out):
+    schema = "endpoint string, since timestamp, fired_at timestamp"
+    return sorted((r["endpoint"], (r["since"] - T0).seconds // 60, (r["fired_at"] - T0).seconds // 60)
+                  for r in spark.read.schema(schema).parquet(f"{out}/alerts").collect())
+
+
+def test_alert_state_over_restarts(spark, tmp_path):
+    """Stretches over batches and restarts equal those of the batch alert on all rows; states of gone groups expire."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [
+        [("e", 0, 1), ("e", 1, 1), ("f", 0, 1)],
+        [("e", 2, 1), ("f", 1, 0), ("f", 2, 1)],
+        [("e", 3, 1), ("e", 4, 0), ("e", 5, 1), ("f", 3, 1), ("f", 4, 1)],
+        [("e", 7, 1), ("e", 8, 1), ("e", 9, 1), ("f", 7, 1)],  # minute 6 has no data
+        [("e", 10, 0), ("e", 20, 1), ("e", 21, 1), ("e", 22, 1), ("e", 23, 1), ("e", 40, 0)],
+    ]
+    for i, spans in enumerate(batches):
+        write_spans(spark, folder, i, spans)
+        query = run_alerts(spark, folder, out)
+    got = fired(spark, out)
+    assert got == [("e", 0, 2), ("e", 7, 9), ("e", 20, 22), ("f", 2, 4)]
+    rows = spark.read.schema(REQUEST_SCHEMA).option("recursiveFileLookup", True).parquet(folder)
+    batch = mo.request_windows(rows, 60, None, ["endpoint"]).withColumn("hit", F.col("n_5xx") / F.col("n") > 0.5)
+    alerts = mo.alert_intervals(batch, F.col("hit"), 120, 60, ["endpoint"]).where("firing").collect()
+    assert sorted((r["endpoint"], (r["since"] - T0.replace(tzinfo=None)).seconds // 60) for r in alerts) == [(e, s) for e, s, _ in got]
+    stateful = query.lastProgress["stateOperators"]
+    assert "RocksDB" in str(stateful) or any("rocksdb" in k for o in stateful for k in o["customMetrics"])
+    assert set(p.name for p in (tmp_path / "out").iterdir()) == {"alerts", "checkpoint"}
+
+
+def test_one_state_for_all_rows(spark, request_files, tmp_path):
+    windows = sr.streaming_windows(stream(spark, request_files), 60, None, [], delay="1 minute")
+    out = str(tmp_path / "alerts")
+    sr.alert_stream(windows, out, F.col("n_5xx") > 0, 600, 60, by=()).awaitTermination()
+    got = spark.read.parquet(f"{out}/alerts").collect()
+    assert [(r["since"], r["fired_at"]) for r in got] == [(T0 + dt.timedelta(minutes=5), T0 + dt.timedelta(minutes=15))]
+
+
+@pytest.mark.parametrize("width,slide", [(600, 240), (300, 180)])
+def test_windows_of_uneven_steps(spark, request_files, tmp_path, width, slide):
+    """Steps are the longest ones that all windows are made of."""
+    windows = sr.streaming_windows(stream(spark, request_files), width, slide, ["endpoint"], delay="2 minutes")
+    out = str(tmp_path / "out")
+    sr.write_closed_windows(windows, out, str(tmp_path / "cp")).awaitTermination()
+    got = {(r["start"].isoformat(), r["endpoint"]): (r["n"], r["n_5xx"], r["latency_sum"]) for r in spark.read.parquet(out).collect()}
+    rows = spark.read.schema(REQUEST_SCHEMA).option("recursiveFileLookup", True).parquet(request_files)
+    rows = rows.filter(~((F.col("ts") == F.lit(T0 + dt.timedelta(minutes=1))) & (F.col("http_status") == 500)))
+    closed = T0 + dt.timedelta(minutes=59 - 2)
+    plain = rows.groupBy(F.window("ts", f"{width} seconds", f"{slide} seconds").alias("w"), "endpoint").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("http_status") == 500).alias("bad"), F.sum("latency_s").alias("s"))
+    want = {(r["w"]["start"].isoformat(), r["endpoint"]): (r["n"], r["bad"], r["s"]) for r in plain.collect()
+            if r["w"]["end"].replace(tzinfo=None) <= closed}
+    assert got == want and want
 
 
 def test_score_stream(spark, tmp_path):
