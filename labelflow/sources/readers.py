@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from labelflow.functions import vocab
 from labelflow.functions.labels import decode
 from labelflow.operators.frames import Frames, SchemaError
+from labelflow.sources import ranges
 
 TASK_COLUMNS = ("text", "label", "lang", "source", "split")
 
@@ -73,7 +74,8 @@ def read_review_xml(
 ) -> Frames:
     """Sentences and aspects from ``<sentence>`` rows, one path (or glob) per split.
 
-    A split without files is skipped. Aspects whose polarity is empty or says "none" are dropped.
+    A split without files is skipped. Aspects whose polarity is empty or says "none" are dropped. A file is read
+    by as many tasks as it has byte ranges; ``row_order`` goes by input, file, range and row.
     """
     if not paths:
         raise ValueError("at least one split is needed")
@@ -82,8 +84,11 @@ def read_review_xml(
         if not path_exists(spark, path):
             print(f"Warning: no file for split '{split}': {path}")
             continue
-        rows = spark.read.format("xml").option("rowTag", "sentence").schema(XML_SENTENCE).load(path)
-        scans.append(rows.select("*", scan_order(rank).alias("row_order"), F.lit(split).alias("split")))
+        rows = ranges.xml_rows(spark, path, "sentence")
+        order = ranges.range_order("pos", rank=rank).alias("row_order")
+        # a generator, so that a row is parsed once
+        parsed = F.explode(F.array(F.from_xml("text", XML_SENTENCE))).alias("row")
+        scans.append(rows.select(parsed, order).select("row.*", "row_order", F.lit(split).alias("split")))
     if not scans:
         raise SchemaError("no review files found")
     rows = union(scans)
@@ -117,26 +122,37 @@ def read_csv(
     schema: T.StructType | Sequence[str],
     null_tokens: bool = True,
     multi_line: bool = True,
+    order_col: str | None = None,
 ) -> DataFrame:
     """CSV with a header and doubled quotes. A list of names means all strings.
 
-    ``multi_line=False`` lets large files be split when no field holds a line break.
+    Fields may hold line breaks: the file is still read by as many tasks as it has byte ranges (see ``ranges``),
+    after a pass that finds where records begin. ``multi_line=False`` saves that pass when no field holds a line
+    break. ``order_col`` adds the position of a row in its scan. Lines end with LF or CR LF.
     """
     if not isinstance(schema, T.StructType):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in schema])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("maxCharsPerColumn", -1)
-        .csv(path)
-    )
+    options = {
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+        "maxCharsPerColumn": "-1",
+    }
+    if multi_line:
+        records = ranges.csv_records(spark, path)
+        parsed = F.explode(F.array(F.from_csv("text", _ddl(schema), options | {"multiLine": "true"}))).alias("row")
+        rows = records.select(parsed, ranges.range_order().alias("__order")).select("row.*", "__order")
+    else:
+        rows = spark.read.schema(schema).options(header=True, **options).csv(path)
+        rows = rows.select("*", scan_order().alias("__order"))
+    rows = rows.select(*[F.col(f"`{f.name}`") for f in schema], *([F.col("__order").alias(order_col)] if order_col else []))
     return nulls_from_tokens(rows) if null_tokens else rows
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+
+
 def read_upload(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Uploaded CSV; must have a ``text`` column."""
     if "text" not in columns:
