@@ -66,6 +66,28 @@ def _last_rows(keyed: DataFrame, ranges: DataFrame, wanted: DataFrame, digits: i
     return whole.unionByName(last)
 
 
+def content_hash(df: DataFrame) -> Column:
+    """64 bits of a row's values that also tell which of them are missing."""
+    return F.xxhash64(*df.columns, *[F.col(f"`{c}`").isNull() for c in df.columns])
+
+
+def row_key(df: DataFrame, id_col: str, seed: int) -> Column:
+    """md5 of seed and id; rows without an id are keyed by their content, so they do not share one key."""
+    nameless = hash_key(seed, "no id", content_hash(df))
+    return F.when(F.col(id_col).isNull(), nameless).otherwise(hash_key(seed, F.col(id_col)))
+
+
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """Add ``rank`` 1..n in the given total order: a range-partitioned sort, then one offset per partition."""
+    placed = materialize(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    upto = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0))  # one row per partition
+    offsets = sizes.select("__part", (upto - F.col("__n") - F.col("__first") + 1).alias("__shift"))
+    rows = placed.join(offsets, part == F.col("__part"))
+    return rows.withColumn("rank", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
+
+
 def mark_quota(
     df: DataFrame,
     stratum: Column,
@@ -84,8 +106,8 @@ def mark_quota(
     more divides what is ranked per stratum by 16.
     """
     among = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
-    key, ident = hash_key(seed, F.col(id_col)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    content = F.xxhash64(*df.columns)
+    key, ident = row_key(df, id_col, seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    content = content_hash(df)
     name = stratum.cast("string")
     keyed = df.filter(among).select(name.alias("s"), key.alias("k"), ident.alias("id"), content.alias("t"))
     ranges = key_ranges(keyed, digits)
@@ -106,9 +128,10 @@ def mark_quota(
     columns = [*df.columns]
     if cuts.where(cut["take"] < cut["n"]).isEmpty():
         return placed.select(*columns, F.col("__hit").alias(out))
-    # only some of a set of identical rows are taken; which of them makes no difference
+    # only some of a set of rows with one content hash are taken, in the order of their content
     marked = placed.filter(~F.col("__tie")).select(*columns, F.col("__hit").alias(out))
-    place = F.row_number().over(Window.partitionBy("__stratum").orderBy(F.lit(0)))
+    whole = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    place = F.row_number().over(Window.partitionBy("__stratum").orderBy(whole))
     ties = placed.filter("__tie").withColumn("__place", place)
     return marked.unionByName(ties.select(*columns, (F.col("__place") <= cut["take"]).alias(out)))
 
@@ -139,16 +162,17 @@ def validation_counts(counts: Mapping[str | None, int], ratio: float) -> dict[st
 def held_counts(counts: DataFrame, ratio: float) -> DataFrame:
     """(s, quota) from (s, n): ceil(ratio * n) rows in all, the kept rows shared by largest remainder.
 
-    Equal remainders go to the smaller label first. Only strata are ranked, never rows.
+    Equal remainders go to the smaller label first. Only strata are ranked, never rows, and by a distributed
+    sort, so there may be any number of them.
     """
-    whole = Window.partitionBy()
-    total = F.sum("n").over(whole)
-    shared = counts.withColumn("keep", total - F.ceil(F.lit(ratio) * total)).withColumn("share", F.col("n") / total * F.col("keep"))
-    shared = shared.withColumn("kept", F.floor("share"))
-    spare = F.col("keep") - F.sum("kept").over(whole)
-    order = Window.orderBy((F.col("share") - F.col("kept")).desc(), F.col("s").asc_nulls_last())
-    extra = (F.row_number().over(order) <= spare).cast("long")
-    return shared.withColumn("extra", extra).select("s", (F.col("n") - F.col("kept") - F.col("extra")).alias("quota"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    keep = total - math.ceil(ratio * total)
+    share = F.col("n") / F.lit(total) * F.lit(keep)
+    shared = counts.withColumn("share", share).withColumn("kept", F.floor("share"))
+    spare = keep - (shared.agg(F.sum("kept")).first()[0] or 0)
+    placed = ranked(shared, (F.col("share") - F.col("kept")).desc(), F.col("s").asc_nulls_last())
+    extra = (F.col("rank") <= F.lit(spare)).cast("long")
+    return placed.select("s", (F.col("n") - F.col("kept") - extra).alias("quota"))
 
 
 def check_split(row: Row, ratio: float) -> None:
@@ -234,9 +258,10 @@ def class_rank(df: DataFrame, stratum: str, id_col: str, seed: int, digits: int
     """Add ``rank`` 1..n of each row inside its stratum, in key order.
 
     Ranking runs per (stratum, key range), and range totals give the offsets, so a large stratum is
-    spread over 16 ** ``digits`` small windows.
+    spread over 16 ** ``digits`` small windows. Rows of one id are ordered by their content, so ranks do not
+    depend on partitioning; rows without an id are spread like others.
     """
-    keyed = df.withColumn("__k", hash_key(seed, F.col(id_col))).withColumn(
+    keyed = df.withColumns({"__k": row_key(df, id_col, seed), "__t": content_hash(df)}).withColumn(
         "__p", F.substring("__k", 1, digits)
     )
     sizes = keyed.groupBy(stratum, "__p").agg(F.count(F.lit(1)).alias("__n"))
@@ -246,7 +271,7 @@ def class_rank(df: DataFrame, stratum: str, id_col: str, seed: int, digits: int
         F.col("__p").alias("__op"),
         (F.sum("__n").over(upto) - F.col("__n")).alias("__before"),
     )
-    local = Window.partitionBy(stratum, "__p").orderBy("__k", F.col(id_col).cast("string"))
+    local = Window.partitionBy(stratum, "__p").orderBy("__k", F.col(id_col).cast("string"), "__t")
     return (
         keyed.withColumn("__local", F.row_number().over(local))
         .join(
@@ -254,7 +279,7 @@ def class_rank(df: DataFrame, stratum: str, id_col: str, seed: int, digits: int
             F.col(stratum).eqNullSafe(F.col("__os")) & (F.col("__p") == F.col("__op")),
         )
         .withColumn("rank", (F.col("__before") + F.col("__local")).cast("long"))
-        .drop("__k", "__p", "__n", "__os", "__op", "__before", "__local")
+        .drop("__k", "__t", "__p", "__n", "__os", "__op", "__before", "__local")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelflow.functions import probs as P
@@ -238,13 +238,19 @@ def run_summary(timings: DataFrame, seconds: str, samples: int) -> DataFrame:
 
 
 def assert_paired(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
-    """1:1 pairing by id; fails in the job when either side lacks a partner."""
-    l, r = left.withColumn("__l", F.lit(1)), right.withColumn("__r", F.lit(1))
+    """1:1 pairing by id; fails in the job when a row lacks a partner or an id occurs twice on a side.
+
+    Rows per id are counted over the partitioning and order that the join needs anyway.
+    """
+    same = Window.partitionBy(id_col)
+    l = left.withColumn("__l", F.count(F.lit(1)).over(same))
+    r = right.withColumn("__r", F.count(F.lit(1)).over(same))
     paired = l.join(r, id_col, "full")
-    ok = F.col("__l").isNotNull() & F.col("__r").isNotNull()
-    checked = F.when(ok, F.col(id_col)).otherwise(
-        F.raise_error(F.lit("prediction and truth rows do not match")).cast(
-            left.schema[id_col].dataType
-        )
+    id_type = left.schema[id_col].dataType
+    fail = lambda text: F.raise_error(F.lit(text)).cast(id_type)
+    checked = (
+        F.when(F.col("__l").isNull() | F.col("__r").isNull(), fail("prediction and truth rows do not match"))
+        .when((F.col("__l") > 1) | (F.col("__r") > 1), fail("prediction or truth rows share an id"))
+        .otherwise(F.col(id_col))
     )
     return paired.withColumn(id_col, checked).drop("__l", "__r")

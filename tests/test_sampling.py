@@ -215,3 +215,33 @@ def test_quotas_are_exact_for_repeated_and_missing_ids(spark, ids):
         assert sp.sample_rows(df, n, "sentence_id").count() == min(n, 100)
     assert sp.sample_per_group(df, "split", 20).count() == 20
     assert sp.mix_tasks(df, df.limit(3), "sentence_id").count() == 12
+
+
+@pytest.mark.parametrize("id_of", [lambda i: "same", lambda i: None, lambda i: str(i % 3)])
+def test_draws_do_not_depend_on_partitioning(spark, id_of):
+    """Repeated and missing ids: rows are told apart by content, missing values included."""
+    rows = [(id_of(i), f"t{i}" if i % 4 else None, None if i % 4 else f"t{i}", "a" if i % 7 else "b") for i in range(70)]
+    df = spark.createDataFrame(rows, "sentence_id string, text string, other string, label string")
+    seen = []
+    for parts in (1, 3, 7):
+        dealt = df.repartition(parts, "text")
+        copies = sp.oversample(dealt, "label", "sentence_id", 0.4)
+        held = sp.mark_quota(dealt, F.lit("all"), {"all": 13}, "sentence_id", 1).where("taken")
+        ranks = sp.class_rank(dealt, "label", "sentence_id", 5).where("label = 'b'")
+        seen.append([sorted(map(str, x.collect())) for x in (copies, held, ranks)])
+        assert len(seen[-1][1]) == 13 and len(set(seen[-1][1])) == 13
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_rows_that_differ_in_missing_values_only(spark):
+    rows = [("1", "x", None)] * 2 + [("1", None, "x")] * 2
+    df = spark.createDataFrame(rows, "sentence_id string, a string, b string")
+    assert df.select(sp.content_hash(df)).distinct().count() == 2
+
+
+def test_held_counts_of_many_strata(spark):
+    sizes = {f"s{i:03}": 2 + i * i % 11 for i in range(150)} | {None: 5}
+    counts = spark.createDataFrame(list(sizes.items()), "s string, n long").repartition(5)
+    got = {r["s"]: r["quota"] for r in sp.held_counts(counts, 0.3).collect()}
+    assert got == sp.validation_counts(sizes, 0.3)
+    assert sp.held_counts(counts.where("n < 0"), 0.3).count() == 0

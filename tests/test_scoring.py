@@ -164,6 +164,14 @@ def test_expectations(spark):
     assert got["4"] == (False, "service/general: got positive")
 
 
+@pytest.mark.parametrize("left,right", [(["1", "1"], ["1", "1"]), (["1", "1", "2"], ["1", "2"]), (["1", "2"], ["1", "2", "2"]), ([None], [None])])
+def test_pairing_refuses_repeated_ids(frame, left, right):
+    l = frame("id string, a string", *[(i, "x") for i in left]).drop("row_order")
+    r = frame("id string, b string", *[(i, "y") for i in right]).drop("row_order")
+    with pytest.raises(Exception, match="share an id|do not match"):
+        s.assert_paired(l, r, "id").collect()
+
+
 def test_linear_attribution(frame, spark):
     df = frame(T, ("1", "good food bad good"), ("2", "bad"))
     rows = at.attribute_linear(df, lexicon(spark), CLASSES, BIAS).orderBy("sentence_id", "pos").collect()
