@@ -8,10 +8,12 @@ from labelflow.catalog.expressions import MARKED, SHORT
 from labelflow.catalog.monitor import DAY, HOUR, mean6, sql_alerts, sql_mean6, sql_sliding, sql_stamp, sql_windows, stamp
 from labelflow.catalog.registry import query
 from labelflow.catalog.scored import CLASSES, INTERCEPT, LEXICON, sql_scored
-from labelflow.catalog.views import Tables, r6, sql
+from labelflow.catalog.views import Tables, r6, sql, sql_clean
+from labelflow.functions.text import text_key
 from labelflow.operators import monitoring as mo
 from labelflow.session import scratch_path
 from labelflow.sources.readers import REQUEST_SCHEMA
+from labelflow.streaming import history as sh
 from labelflow.streaming import requests as sr
 from labelflow.streaming import scoring as ss
 
@@ -122,3 +124,25 @@ def streaming_scores(t: Tables):
     sr.write_closed_windows(scored, out, out + "-checkpoint").awaitTermination()
     done = t.spark.read.schema(scored.schema).parquet(out)
     return done.select("lang", "lang_confidence", "sentiment", "confidence")
+
+
+@query(
+    "streaming_history_r17",
+    sql(
+        f"""SELECT md5(k) AS text_key, min(part)::INTEGER AS part FROM (
+                SELECT {sql_clean("coalesce(text, 'nan')")} AS k, row_order % 3 AS part FROM sentences) GROUP BY 1""",
+        "sentences",
+    ),
+)
+def streaming_history(t: Tables):
+    """Sentences in three parts, a day apart: copies in later parts are dropped, long after the watermark has passed."""
+    path, folder = scratch_path(t.spark, "parts"), scratch_path(t.spark, "history")
+    for part in range(3):
+        stamped = t.sentences.where(F.col("row_order") % 3 == part).select(
+            "row_order", "text", F.lit(part).alias("part"), F.timestamp_seconds(F.lit(1_700_000_000 + part * DAY)).alias("ts")
+        )
+        stamped.write.parquet(f"{path}/part={part}")
+        stream = t.spark.readStream.schema(stamped.schema).parquet(path)
+        sh.first_copies(stream, folder, "row_order").awaitTermination()
+    done = t.spark.read.schema(stamped.schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+    return done.select(F.md5(text_key(F.col("text"))).alias("text_key"), "part")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from labelflow.operators import monitoring as mo
 from labelflow.sources.readers import REQUEST_SCHEMA
+from labelflow.streaming import history as sh
 from labelflow.streaming import requests as sr
 from labelflow.streaming import scoring as ss
 
@@ -144,3 +145,45 @@ def test_score_stream(spark, tmp_path):
     sr.write_closed_windows(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = sorted((r["sentiment"], r["lang"], r["lang_confidence"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("negative", "en", 0.0), ("positive", "en", 0.75)]  # blank and missing texts are dropped
+
+
+TEXT_ROWS = "n long, text string"
+
+
+def run_history(spark, folder, out, bits, then=None):
+    stream = spark.readStream.schema(TEXT_ROWS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+    sh.first_copies(stream, out, "n", then=then, buckets=4, bits=bits).awaitTermination()
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 12])
+def test_copies_of_history(spark, tmp_path, bits):
+    """Eight bits a filter are soon full, so every key is a false or true hit; the rows are the same."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    texts = [["A b", "a  B", None, "nan", "x1", "x2"], ["x3", "a b", "x1 ", "x4"], ["X2", "x5", "NaN", "x3", "x5", "", " "]]
+    want, seen, n = [], set(), 0
+    for i, batch in enumerate(texts):
+        rows = [(n + j, t) for j, t in enumerate(batch)]
+        n += len(batch)
+        spark.createDataFrame(rows, TEXT_ROWS).coalesce(1).write.parquet(f"{folder}/b{i}")
+        run_history(spark, folder, out, bits, lambda df: df.select("n"))
+        for m, t in rows:
+            key = " ".join(("nan" if t is None else t).lower().split())
+            if key not in seen:
+                seen.add(key)
+                want.append(m)
+    got = spark.read.schema("n long").option("recursiveFileLookup", True).parquet(f"{out}/rows").collect()
+    assert sorted(r["n"] for r in got) == want
+    left = sorted(p.name for p in (tmp_path / "out" / "filters").iterdir())
+    assert left == ["batch=1", "batch=2"]
+
+
+def test_filters_lose_no_key(spark):
+    keys = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("key")).withColumn("bucket", F.lit(1))
+    none = spark.createDataFrame([], sh.FILTERS)
+    filters = sh.updated_filters(keys.where("key < '8'"), none, 1 << 13)
+    filters = sh.updated_filters(keys.where("key >= '8'"), filters, 1 << 13)
+    asked = sh.unseen_keys(keys, filters, 1 << 13)
+    assert asked.where("maybe").count() == 500
+    other = spark.range(500, 1500).select(F.md5(F.col("id").cast("string")).alias("key")).withColumn("bucket", F.lit(1))
+    assert sh.unseen_keys(other, filters, 1 << 13).where("maybe").count() < 60
+    assert sh.unseen_keys(other, none, 1 << 13).where("maybe").count() == 0
