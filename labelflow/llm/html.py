@@ -17,7 +17,8 @@ attributes and density and not from a few tags.
 
 Null or empty html gives an empty text. Broken markup is closed at the end of the page. Repeated pages are
 extracted each. Text nodes of a block are joined, white space becomes one space, blocks follow in page order.
-If the sample has no page with an article, only the layouts' examples built from paragraphs are used.
+If the sample has no page with an article, only the layouts' examples are used, built from its paragraphs or, without
+any, from all its blocks; without any text, from placeholder words.
 """
 
 from __future__ import annotations
@@ -378,10 +379,16 @@ LAYOUTS = (
     "<div class='newsletter'><p>{l}</p></div>",
     "<div class='topbar'>{s}</div><section class='{g}' data-example='1'><h1>{t}</h1>{p}</section><section class='comment-list'>"
     "<ul><li><p>{l}</p></li><li><p>{l}</p></li></ul></section><div class='widget'><p>{s}</p></div><p class='copyright'>{s}</p>",
+    "<div>{m}</div><div data-example='1'>{b}</div><div>{s}</div>",
+    "<table><tr><td>{m}</td><td data-example='1'>{b}</td></tr><tr><td colspan='2'>{s}</td></tr></table>",
 )
 GOOD_NAMES = ("content", "post-content", "entry", "article-body", "story", "main", "text", "post", "page")
 
 
+# Stands in for the sampled pages where none of them holds text.
+PLACEHOLDER = "".join("<p>" + " ".join(f"word{i * 31 + j}" for j in range(25 + i % 4 * 15)) + ".</p>" for i in range(8))
+
+
 def examples(page: str, number: int) -> list[tuple[list[Node], list[bool]]]:
     """Nodes with their labels: the page itself if it names its article, and its text in one of the layouts."""
     out = []
@@ -396,7 +403,8 @@ def examples(page: str, number: int) -> list[tuple[list[Node], list[bool]]]:
         inside -= bound(nodes)[0]
         out.append((nodes, [id(x) in inside for x in nodes]))
     chosen = {id(x) for x in nodes} - bound(nodes)[0]
-    texts = [b for x in (marked or [y for y in nodes if y.tag == "p"]) for b in blocks_of(x, chosen)]
+    # without an article the paragraphs, without paragraphs every block gives text for the layouts
+    texts = [b for x in (marked or [y for y in nodes if y.tag == "p"]) for b in blocks_of(x, chosen)] or blocks_of(nodes[0], chosen)
     words = " ".join(texts).split()
     if not words:
         return out
@@ -409,7 +417,7 @@ def examples(page: str, number: int) -> list[tuple[list[Node], list[bool]]]:
     layout = LAYOUTS[number % len(LAYOUTS)]
     half = len(body) // 2 if "{q}" in layout else len(body)
     built = nodes_of(parse(layout.format(
-        p="".join(body[:half]), q="".join(body[half:]), t=some(5, number), m=f"<ul>{''.join(links)}</ul>",
+        p="".join(body[:half]), q="".join(body[half:]), b="<br>".join(map(references.escape, texts)), t=some(5, number), m=f"<ul>{''.join(links)}</ul>",
         s=some(6 + number % 9, number + 3), l=some(25 + number % 20, number + 11), g=GOOD_NAMES[number % len(GOOD_NAMES)],
     )))
     kept: dict[int, bool] = {}
@@ -419,22 +427,27 @@ def examples(page: str, number: int) -> list[tuple[list[Node], list[bool]]]:
     return out
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Trees | None:
-    """Boosted trees from up to ``sample`` pages of at most LONGEST characters; None if they hold no text."""
+def fit(pages: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Trees:
+    """Boosted trees from up to ``sample`` different pages, of which the first LONGEST characters give examples.
+
+    If these hold no text, the layouts filled with placeholder words are all there is to learn from.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     spark = pages.sparkSession
-    eligible = pages.where(F.col("html").isNotNull() & (F.length("html") <= LONGEST))
-    keys = eligible.select(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("rank"), F.md5("html").alias("print"))
-    chosen = keys.orderBy("rank", "print").limit(sample).distinct()
-    found = eligible.join(F.broadcast(chosen), F.md5("html") == chosen["print"])  # at most ``sample`` short rows
-    found = found.groupBy("rank", "print").agg(F.min("html").alias("html"))
+    eligible = pages.where(F.col("html").isNotNull())
+    rank = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    keys = eligible.groupBy(F.md5("html").alias("print")).agg(F.min(rank).alias("rank"))
+    chosen = keys.orderBy("rank", "print").limit(sample)
+    starts = eligible.select(F.md5("html").alias("own"), F.substring("html", 1, LONGEST).alias("start"))
+    found = starts.join(F.broadcast(chosen), F.col("own") == F.col("print"))  # at most ``sample`` short rows
+    found = found.groupBy("rank", "print").agg(F.min("start").alias("start"))
     rows = found.orderBy("rank", "print").collect()
-    made = [e for i, r in enumerate(rows) for e in examples(r["html"], i)]
+    made = [e for i, r in enumerate(rows) for e in examples(r["start"], i)]
+    if len({k for _, kept in made for k in kept}) < 2:
+        made += [e for i in range(2 * len(LAYOUTS)) for e in examples(PLACEHOLDER, i)]
     labels = [k for _, kept in made for k in kept]
-    if len(set(labels)) < 2:
-        return None
     values, own, _ = describe([nodes for nodes, _ in made])
     names = [f"f{i}" for i in range(values.shape[1])]
     table = pd.DataFrame(values, columns=names).assign(label=np.array(labels, dtype=float), weight=0.2 + np.log1p(own))
@@ -444,10 +457,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int =
     return Trees([_export(t) for t in model.trees], list(model.treeWeights))
 
 
-def _texts(pages: list[str], trees: Trees | None) -> list[str]:
+def _texts(pages: list[str], trees: Trees) -> list[str]:
     parsed = [nodes_of(parse(p)) for p in pages]
-    if trees is None:
-        return [""] * len(pages)
     values, own, up = describe(parsed)
     probability = trees.probability(values)
     out, at = [], 0
