@@ -4,14 +4,15 @@ A text is lower-cased and cut into words of letters and digits. At every anchor
 beginning, the next ``chain`` words that are no anchors, found within ``reach`` words, form a signature,
 hashed to 64 bits. Where no anchor with a complete chain stands among the last ``reach`` words, every word, anchor or
 not, gives a signature of itself and the words after it, ``chain`` in all: tables, lists and other languages enter
-whole. A text without any complete chain has only these signatures. The fingerprint is the set of signatures; its
+whole. A text without any complete chain has only these signatures; a text without words has signatures of its runs
+of ``chain`` signs, white space aside. The fingerprint is the set of signatures; its
 digest is what is shown. Two sets are compared by Jaccard similarity, which the ratio of their sizes bounds: pairs
 whose sizes lie apart are never intersected.
 
 ``near_pairs`` partitions the sets by size into bands one threshold wide, so that only equal and neighbouring
 bands can hold similar sets, and joins on the rarest signatures that any similar set must share.
 
-Null texts count as empty; an empty text has no signatures, is like another empty one (1) and unlike others (0).
+Null texts count as empty; an empty or blank text has no signatures, is like another empty one (1) and unlike others (0).
 ``with_edits`` walks the ids downwards; a missing id counts as -2**62. Rows of one id take the same next text, the
 largest one where the next id is repeated.
 """
@@ -73,7 +74,14 @@ def signatures(rows: DataFrame, text: str, name: str, chain: int = CHAIN, reach:
     last = lambda g: F.least(g["hi"], F.greatest(g["lo"], n - chain + 1))
     runs = F.transform(gaps, lambda g: F.transform(
         F.sequence(g["lo"], last(g)), lambda i: F.xxhash64(F.lit(""), F.array_join(F.slice("_w", i, chain), " "))))
-    found = F.when(F.size("_w") == 0, none).otherwise(
+    # a text of signs only has signatures of its runs of code points, ``chain`` at a time
+    def of_signs(signs):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(signs) - chain + 1, F.lit(1)))
+        runs = F.transform(starts, lambda i: F.xxhash64(F.lit("="), F.array_join(F.slice(signs, i, chain), "")))
+        return F.when(F.size(signs) == 0, none).otherwise(F.array_sort(F.array_distinct(runs)))
+
+    bare = F.get(F.transform(F.array(F.regexp_extract_all(F.col(text), F.lit(r"\S"), 0)), of_signs), F.lit(0))
+    found = F.when(F.size("_w") == 0, bare).otherwise(
         F.array_sort(F.array_distinct(F.concat(opening, hashed, F.flatten(runs))))
     )
     return _barrier(rows, name, found).drop("_w", "_s")
