@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelflow.llm.rows import row_identity
 from labelflow.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -111,7 +112,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeat=REPEAT, seed: str
 
 def draw(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs as often as the mix takes them, with the columns of docs."""
-    own = F.xxhash64(*docs.columns).alias("row_hash")
+    own = row_identity(docs).alias("row_hash")
     taken = mix(docs.select("doc_id", "source", "text", own), keep=("row_hash",), **options)
     times = taken.groupBy("row_hash").agg(F.sum("copies").alias("times"), F.count("*").alias("n"))
     times = materialize(times.where("times > 0"), "times")

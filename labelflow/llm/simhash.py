@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.llm.graph import components
+from labelflow.llm.rows import row_identity
 from labelflow.session import materialize
 
 SHINGLE = 3
@@ -183,7 +184,7 @@ def keep_first(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE,
                bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row of each component, with the columns of docs: the one of the smallest doc_id (none counts as
     largest), among those of one doc_id the one of the smallest hash of all its columns."""
-    own = F.xxhash64(*docs.columns)
+    own = row_identity(docs)
     found = fingerprints(docs.select("doc_id", "text", own.alias("row_hash")), size)
     found = materialize(found, "fingerprints")
     placed = found.join(_groups(found, distance, bucket_rows), "fp")

@@ -472,7 +472,6 @@ def test_main_text(trees, page):
 def test_broken_pages(trees):
     pages = ["", "<", "<p", "text only, no markup at all. It goes on here.", "<b><i></b></p></div>", "<article><p>open &amp", "<div>" * 3000 + "x"]
     assert len(html._texts(pages, trees)) == len(pages)
-    assert html._texts(pages, None) == [""] * len(pages)
 
 
 @pytest.mark.parametrize("control", [
@@ -504,3 +503,65 @@ def test_extract_rows(spark):
     got = html.extract(pages).collect()
     assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+MARKED = "<html><body><article>{}</article></body></html>"
+
+
+@pytest.mark.parametrize("kind", ["divs", "table", "long", "one of each"])
+def test_html_of_tables_without_articles(spark, kind):
+    """Whatever marks up the pages of a table, each with running text gives it back."""
+    def text(i):
+        return f"Page {i} tells at some length " + sentence(i, 120) + ". It goes on to say " + sentence(i + 500, 90) + "."
+
+    made = {
+        "divs": "<html><body><div class='menu'><a href='/'>Home</a> <a href='/b'>More</a></div><div class='content'>{}</div>"
+                "<div class='footer'>Imprint</div></body></html>",
+        "table": "<html><body><table><tr><td><a href='/'>Home</a></td><td>{}</td></tr></table></body></html>",
+        "long": "<html><body><article><p>" + "{}</p><p>" + ("word after word in a very long page, " * 40 + "</p><p>") * 160 + "end</p></article></body></html>",
+    }
+    kinds = list(made) if kind == "one of each" else [kind]
+    count = 4 if kind == "long" else 20
+    rows = [(i, "u", made[kinds[i % len(kinds)]].format(text(i))) for i in range(count)]
+    assert kind != "long" or all(len(h) > 200_000 for *_, h in rows)
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == count
+    for r in got:
+        assert text(r["page_id"]) in r["text"], (kind, r["text"][:200])
+
+
+def test_html_sample_without_text(spark):
+    """The sample holds no text at all: pages that do are still read."""
+    rows = [(i, "u", "") for i in range(30)] + [(99, "u", MARKED.format("<p>" + sentence(3, 150) + "</p>"))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), sample=1).collect()}
+    assert got[0] == "" and got[99] == sentence(3, 150)
+
+
+def test_spotsigs_of_signs(spark):
+    texts = ["", None, " \n", "!!!", "??? 🙂", "??? 🙃", "?", "!", "? ? ?", "***" * 20_000, "🙂🙃" * 500]
+    got = {r["doc_id"]: r for r in spotsigs.with_edits(docs_of(spark, texts)).collect()}
+    prints = [got[i]["fingerprint"] for i in range(len(texts))]
+    assert prints[0] == prints[1] == prints[2] and len(set(prints[2:])) == len(texts) - 2
+    # descending ids: the next text of 4 is 3, of 5 is 4
+    assert got[4]["near_next"] == 0.0 and 0 < got[5]["near_next"] < 1 and got[1]["near_next"] == 1.0
+
+
+def test_row_identity(spark):
+    from labelflow.llm.rows import row_identity
+
+    rows = [(1, "a", None, [1]), (1, None, "a", [1]), (1, "a", None, None), (1, "ab", "c", []), (1, "a", "bc", []), (1, "-", None, [1]),
+            (None, "a", None, [1]), (1, "", None, [1]), (1, "a1:b", "c", []), (1, "a", "1:b", [])]
+    df = spark.createDataFrame(rows, "doc_id long, `x.y` string, z string, v array<int>")
+    assert df.select(row_identity(df)).distinct().count() == len(rows)
+    assert df.union(df).select(row_identity(df)).distinct().count() == len(rows)
+
+
+def test_rows_that_differ_in_missing_values_only(spark):
+    """``draw`` and ``keep_first`` give back the rows they were given, nulls where they were."""
+    rows = [(1, "x y z", "en", None, 5), (1, "x y z", None, "en", 5), (2, "other words here", "de", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    drawn = [tuple(r) for r in mixing.draw(docs).collect()]
+    assert set(drawn) <= set(rows)
+    times = {r["doc_id"]: r["t"] for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("t")).collect()}
+    assert sum(1 for r in drawn if r[0] == 1) == times[1] and sum(1 for r in drawn if r[0] == 2) == times[2]
+    assert [r[0] for r in sorted(map(tuple, simhash.keep_first(docs).collect()))] == [1, 2]

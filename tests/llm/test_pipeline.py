@@ -53,3 +53,17 @@ def test_stages(spark):
         ids = encoder.encode_ordinary(texts[r["doc_id"]])
         assert r["tokens"] == ids and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+
+
+def test_stages_keep_all_columns(spark):
+    """Nulls, empty texts and further columns, some named like the stages' own, pass through; an empty table too."""
+    rows = [(1, "one two three four five", "en", "a", 23), (2, None, None, None, None), (None, "", "en", "b", 0),
+            (3, "mail me at x.y@example.org please", "en", "b", 30), (3, "mail me at x.y@example.org please", "en", "b", 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
+        "*", "7 AS row", "'h' AS row_hash", "1.5 AS score", "array(1) AS spans", "'t' AS times", "'r' AS root")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+        kept = out.collect()
+        assert kept and all(r["row"] == 7 and r["row_hash"] == "h" and r["root"] == "r" for r in kept), name
