@@ -11,30 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from labelflow.llm import bpe, mixing, pii, simhash, toxicity
 from labelflow.session import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 # No SQL expresses the stages; tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the cutoff."""
-    return toxicity.keep_clean(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    return simhash.keep_first(docs.select(COLUMNS))
+    return simhash.keep_first(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
-    return pii.mask(docs.select(COLUMNS))
+    return pii.mask(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.draw(docs.select(COLUMNS))
+    return mixing.draw(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
