@@ -410,6 +410,29 @@ def length_shift(t: Tables):
     return out.withColumn("shift", r6(F.col("shift")))
 
 
+@query(
+    "length_distance_r18",
+    sql(
+        """SELECT period, max(n)::BIGINT AS n, max(m)::BIGINT AS n_reference, round(max(abs(ck / n - cb / m)), 9) AS distance
+           FROM (SELECT period, n, m, CAST(sum(k) OVER w AS DOUBLE) AS ck, CAST(sum(b) OVER w AS DOUBLE) AS cb
+                        FROM (SELECT p.period, v.value, coalesce(c.k, 0) AS k, coalesce(r.k, 0) AS b,
+                                     sum(coalesce(c.k, 0)) OVER (PARTITION BY p.period) AS n,
+                                     sum(coalesce(r.k, 0)) OVER (PARTITION BY p.period) AS m
+                              FROM (SELECT DISTINCT period FROM counts) p CROSS JOIN (SELECT DISTINCT value FROM counts) v
+                              LEFT JOIN counts c ON c.period = p.period AND c.value = v.value
+                              LEFT JOIN counts r ON r.period = 'en' AND r.value = v.value)
+                 WINDOW w AS (PARTITION BY period ORDER BY value))
+           GROUP BY 1""",
+        "sentences",
+        extra={"counts": "SELECT lang AS period, length(text) AS value, count(*) AS k FROM sentences WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2"},
+    ),
+)
+def length_distance(t: Tables):
+    """How far text lengths of each language lie from those of English, without bins."""
+    out = mo.distribution_distance(t.sentences, F.col("lang"), F.length("text"), "en")
+    return out.select("period", "n", "n_reference", F.round("distance", 9).alias("distance"))
+
+
 @query(
     "latency_summary_a34",
     sql(

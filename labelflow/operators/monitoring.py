@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from labelflow.functions import vocab
 from labelflow.operators.metrics import ratio
+from labelflow.session import materialize
 
 SUMS = ("n", "n_2xx", "n_4xx", "n_5xx", "latency_sum")
 LES = tuple(float(b) for b in vocab.LATENCY_BUCKETS)
@@ -267,3 +268,53 @@ def population_shift(
             ).alias("shift"),
         )
     )
+
+
+def _running_sum(df: DataFrame, by: Sequence[str], order: str, col: str) -> DataFrame:
+    """Add ``upto``: the sum of ``col`` over rows of the group up to and including this one; ``order`` is unique there.
+
+    A range-partitioned sort, sums within its partitions, and the totals of the partitions before.
+    """
+    placed = df.orderBy(*by, order).withColumn("__at", F.monotonically_increasing_id())
+    placed = materialize(placed.withColumn("__part", F.shiftright("__at", 33)).drop("__at"), "sorted-values")
+    sums = placed.groupBy(*by, "__part").agg(F.sum(col).alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    inside = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.withColumn("__inside", F.sum(col).over(inside)).join(sums, [*by, "__part"])
+    return rows.withColumn("upto", F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__before")
+
+
+def distribution_distance(df: DataFrame, period: Column, value: Column, reference: str) -> DataFrame:
+    """(period, n, n_reference, distance, critical): two-sample Kolmogorov-Smirnov distance to the reference period.
+
+    The distance is the largest gap between the two cumulative shares over all values, so it needs no bins;
+    ``critical`` is its asymptotic 5 % bound. Missing values are left out; NaN counts as the largest value. The
+    reference period has distance 0; without a reference there is none (null).
+
+    Rows are first counted per (value, period). Between two values of a period only the reference's share moves,
+    and only upwards, so the gap is largest at a value or just before one: the reference's share is needed at the
+    values of the periods only. Both running sums are distributed; neither a period nor a frequent value is one task.
+    """
+    named = df.select(period.cast("string").alias("period"), value.cast("double").alias("value"))
+    counted = named.where("period IS NOT NULL AND value IS NOT NULL").groupBy("period", "value").agg(
+        F.count(F.lit(1)).alias("k")
+    )
+    counted = materialize(counted, "values")
+    of_reference = F.sum(F.when(F.col("period") == reference, F.col("k")).otherwise(0))
+    points = _running_sum(counted.groupBy("value").agg(of_reference.alias("base")), [], "value", "base")
+    points = points.select("value", "base", F.col("upto").alias("base_upto"))
+    m = counted.agg(of_reference).first()[0] or 0
+    rows = _running_sum(counted, ["period"], "value", "k").join(points, "value")
+    sizes = counted.groupBy("period").agg(F.sum("k").alias("n"))
+    rows = rows.join(sizes, "period")
+    share = lambda a, n: a / F.nullif(n, F.lit(0))
+    here = F.abs(share(F.col("upto"), F.col("n")) - share(F.col("base_upto"), F.lit(m)))
+    just_before = F.abs(
+        share(F.col("upto") - F.col("k"), F.col("n")) - share(F.col("base_upto") - F.col("base"), F.lit(m))
+    )
+    found = rows.groupBy("period").agg(
+        F.first("n").alias("n"), F.lit(m).cast("long").alias("n_reference"), F.max(F.greatest(here, just_before)).alias("distance")
+    )
+    both = (F.col("n") + F.lit(m)) / F.nullif(F.col("n") * F.lit(m), F.lit(0))
+    return found.withColumn("critical", F.lit(1.3581015157406195) * F.sqrt(both))

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -162,3 +163,21 @@ def test_preceding_user(spark, block):
     for c in (1, 2):
         assert {r["turn"]: (r["user_turn"], r["source_text"]) for r in got if r["conv_id"] == c} == nearest(turns[c:])
     assert {r["conv_id"]: r["messages"] for r in ch.message_counts(df).collect()} == {1: 59, 2: 58}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_distribution_distance(spark, seed):
+    rng = random.Random(seed)
+    rows = [("a", float(rng.randrange(40))) for _ in range(300)] + [("b", float(rng.randrange(60))) for _ in range(170)]
+    rows += [("c", 7.0)] * 200 + [("d", -1.0), (None, 3.0), ("a", None), ("b", float("inf"))]
+    df = spark.createDataFrame(rows, "p string, v double").repartition(6)
+    got = {r["period"]: r for r in mo.distribution_distance(df, F.col("p"), F.col("v"), "a").collect()}
+    groups = {p: sorted(v for q, v in rows if q == p and v is not None) for p in "abcd"}
+    for p, own in groups.items():
+        share = lambda xs, x: sum(v <= x for v in xs) / len(xs)
+        want = max(abs(share(own, x) - share(groups["a"], x)) for x in own + groups["a"])
+        assert got[p]["distance"] == pytest.approx(want) and got[p]["n"] == len(own) and got[p]["n_reference"] == 300
+        assert got[p]["critical"] == pytest.approx(1.3581 * math.sqrt((len(own) + 300) / (len(own) * 300)), rel=1e-4)
+    assert set(got) == set(groups) and got["a"]["distance"] == 0
+    none = {r["period"]: r["distance"] for r in mo.distribution_distance(df, F.col("p"), F.col("v"), "zz").collect()}
+    assert none == dict.fromkeys("abcd") and mo.distribution_distance(df.limit(0), F.col("p"), F.col("v"), "a").count() == 0
