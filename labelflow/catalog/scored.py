@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from labelflow.catalog.expressions import BODY, SQL_UPLOAD, upload_text
@@ -14,6 +16,7 @@ from labelflow.operators import aspects as a
 from labelflow.operators import attribution as at
 from labelflow.operators import metrics as m
 from labelflow.operators import scoring as s
+from labelflow.plans import passes as ps
 from labelflow.plans import training as tr
 from labelflow.sources import sinks as sk
 
@@ -262,6 +265,18 @@ def fit_classifier(t: Tables):
     return out.groupBy("y_true").agg(F.count(F.lit(1)).alias("n"), F.min(known).alias("scored"))
 
 
+@query("pass_scores_m4", None)
+def pass_scores(t: Tables):
+    """Warm-started passes over texts whose label is the lexicon's sentiment: validation scores of every pass, the kept one
+    marked, and the macro F1 of always naming the largest class. No SQL: ``tests/test_passes.py`` repeats the passes."""
+    label = native(t, t.sentences).select("sentence_id", F.col("sentiment").alias("label"))
+    rows = t.sentences.join(label, "sentence_id").select(F.col("sentence_id").alias("id"), "text", "label", "lang", "row_order")
+    chosen = ps.fit_selected(rows, replace(tr.get_task("sentiment"), stratified=False))
+    base = m.majority_f1(chosen.validation, "label", len(CLASSES))
+    scores = chosen.scores(t.spark).withColumn("majority_f1", F.lit(base.first()["majority_f1"]))
+    return scores.withColumn("beats_majority", F.col("f1_macro") > F.col("majority_f1"))
+
+
 @query(
     "aspect_candidates_j5",
     sql(

@@ -264,6 +264,13 @@ def evaluate(
     )
 
 
+def majority_f1(df: DataFrame, label_col: str, labels: int) -> DataFrame:
+    """One row: macro F1 over ``labels`` classes of always naming the largest class; null without rows."""
+    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    share = F.max("n") / F.sum("n")
+    return counts.agg((2 * share / (1 + share) / labels).alias("majority_f1"))
+
+
 def weighted_log_loss(
     df: DataFrame, label_col: str, probs_col: str, weights: DataFrame
 ) -> DataFrame:
