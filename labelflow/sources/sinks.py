@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,8 +84,8 @@ def metric_log_rows(metrics: DataFrame, experiment: str, run_id: str) -> DataFra
 
 def _log_shape(df: DataFrame, experiment: str, run_id: str) -> DataFrame:
     return df.select(
-        F.lit(experiment).alias("experiment"),
-        F.lit(run_id).alias("run_id"),
+        F.lit(experiment).cast("string").alias("experiment"),
+        F.lit(run_id).cast("string").alias("run_id"),
         "kind",
         "key",
         "value_str",
@@ -93,8 +94,38 @@ def _log_shape(df: DataFrame, experiment: str, run_id: str) -> DataFrame:
     )
 
 
+COMMITS = "experiment string, run_id string, attempt string, logged_at timestamp"
+
+
 def append_run_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("experiment").parquet(path)
+    """Adds the rows of one or more runs; a run that is written again replaces its own rows, if repeated in full.
+
+    The rows go under a new attempt first; then one commit record per run names it. Readers see a run's rows only
+    through its last commit record, so they find the old rows or the new ones, never both or a part: a job that dies
+    before its record leaves nothing visible. The values of one run (parameters, metrics, tags) belong in one call.
+    """
+    attempt = uuid.uuid4().hex
+    stamped = rows.select(*[c for c in rows.columns if c != "attempt"], F.lit(attempt).alias("attempt"))
+    stamped.write.mode("append").partitionBy("experiment", "attempt").parquet(f"{path}/rows")
+    # read back, so that the record covers what was written even if ``rows`` is not the same when computed again
+    spark = rows.sparkSession
+    written = spark.read.schema(RUN_LOG + ", attempt string").parquet(f"{path}/rows").filter(F.col("attempt") == attempt)
+    runs = written.select("experiment", "run_id", "attempt").distinct().withColumn("logged_at", F.current_timestamp())
+    runs.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def _last_commits(spark: SparkSession, path: str) -> DataFrame:
+    commits = spark.read.schema(COMMITS).parquet(f"{path}/commits")
+    last = F.max(F.struct("logged_at", "attempt"))["attempt"]
+    return commits.groupBy("experiment", "run_id").agg(last.alias("attempt"))
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of every run's last commit, in the columns of ``RUN_LOG``."""
+    rows = spark.read.schema(RUN_LOG + ", attempt string").parquet(f"{path}/rows")
+    run, kept = F.struct("experiment", "run_id", "attempt"), _last_commits(spark, path)
+    kept = kept.select(run.alias("run"))
+    return rows.withColumn("run", run).join(kept, "run", "left_semi").drop("run", "attempt")
 
 
 def quality_metrics(splits: DataFrame, passed: bool | Column) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from labelflow import Frames
 from labelflow.operators import quality as q
@@ -167,10 +168,40 @@ def test_quality_metrics_log(frame, spark, tmp_path):
     rows = sk.metric_log_rows(sk.quality_metrics(result.splits, True), "data_preprocessing", "r1")
     tags = {"task": "t", "git_sha": "s", "device": "cpu", "environment": "local", "dataset_version": "v1", "seed": 42, "user": "u"}
     path = str(tmp_path / "log")
-    sk.append_run_log(rows, path)
-    sk.append_run_log(sk.run_log_rows(spark, "data_preprocessing", "r1", params={"validation_ratio": 0.1}, tags=tags), path)
-    log = {(r["kind"], r["key"]): r["value_num"] if r["kind"] == "metric" else r["value_str"] for r in spark.read.parquet(path).collect()}
+    given = sk.run_log_rows(spark, "data_preprocessing", "r1", params={"validation_ratio": 0.1}, tags=tags)
+    sk.append_run_log(rows.unionByName(given), path)
+    log = {(r["kind"], r["key"]): r["value_num"] if r["kind"] == "metric" else r["value_str"] for r in sk.read_run_log(spark, path).collect()}
     assert log[("metric", "train_samples")] == 120.0 and log[("metric", "passed_quality_checks")] == 1.0
     assert log[("param", "validation_ratio")] == "0.1" and log[("tag", "seed")] == "42"
     with pytest.raises(ValueError, match="missing run tags"):
         sk.run_log_rows(spark, "e", "r", tags={"task": "t"})
+
+
+def test_run_log_repeats_replace(spark, tmp_path):
+    path = str(tmp_path / "log")
+
+    def put(run, experiment="e", **metrics):
+        sk.append_run_log(sk.run_log_rows(spark, experiment, run, metrics=metrics), path)
+
+    def seen():
+        return sorted((r["experiment"], r["run_id"] or "", r["key"], r["value_num"]) for r in sk.read_run_log(spark, path).collect())
+
+    put("1", a=1.0, b=2.0)
+    put("2", a=5.0)
+    put("1", "other", a=7.0)
+    put(None, "", a=9.0)
+    put("1", a=3.0)  # b is gone with the first attempt
+    want = [("e", "1", "a", 3.0), ("e", "2", "a", 5.0), ("other", "1", "a", 7.0)]
+    assert [r for r in seen() if r[0] in ("e", "other")] == want and len(seen()) == 4
+    put(None, "", a=8.0)
+    assert [r[3] for r in seen() if r[1] == ""] == [8.0]
+    # rows whose job died before the commit record stay invisible
+    lost = sk.run_log_rows(spark, "e", "2", metrics={"a": 99.0}).withColumn("attempt", F.lit("0" * 32))
+    lost.write.mode("append").partitionBy("experiment", "attempt").parquet(f"{path}/rows")
+    assert [r for r in seen() if r[0] == "e"] == want[:2]
+    # several runs in one call, then one of them again; no rows are no run
+    both = sk.run_log_rows(spark, "e", "3", metrics={"x": 1.0}).unionByName(sk.run_log_rows(spark, "e", "4", metrics={"x": 2.0}))
+    sk.append_run_log(both, path)
+    put("3", x=4.0)
+    put("5")
+    assert [(r[1], r[3]) for r in seen() if r[0] == "e" and r[1] > "2"] == [("3", 4.0), ("4", 2.0)]
