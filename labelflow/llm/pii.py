@@ -2,11 +2,15 @@
 
 Base spans follow fixed rules per kind and always stay. Further candidates are what the rules match but do not
 accept, and looser forms (phone numbers without ``+``, addresses written with "at" and "dot"). Four labelers
-vote 1, 0 or -1 on every candidate: its form, a gazetteer (domain endings, calling codes, card prefixes), the
-words before it, and the characters around it. All candidates are counted per vote pattern; EM over these
-counts (at most 3**4 patterns a kind) estimates how reliable each labeler is, and a logistic span classifier is
-fitted to the posterior of every pattern. A candidate is added if its probability reaches ``threshold`` and
-it touches no other span.
+vote 1, 0 (no opinion) or -1 on every candidate: its form, a gazetteer (domain endings, calling codes, area codes,
+card prefixes, reserved addresses), the words before it, and the characters around it. All candidates are counted
+per vote pattern (at most 3**4 a kind); EM over these counts estimates per kind how reliable each labeler is, and a
+logistic span classifier is fitted to the posterior of every pattern. A candidate is added if its probability
+reaches ``threshold`` and it touches no other span.
+
+A labeler's reliability is estimated under a Beta prior that points its way (``TRUST``) and weighs ``PRIOR_SHARE`` as
+much as the kind's candidates, so the two classes cannot change places or turn into kinds, however few patterns a kind
+has. A loose form cannot start inside a base match, so base spans are not counted a second time.
 
 Positions are code points, ends exclusive. Null texts count as empty and have no spans. Repeated rows are
 labelled and counted each. The patterns are written with possessive parts so that long runs of digits or
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +40,40 @@ LOOSE = {
     r"(?:\x20?[(\[]dot[)\]]\x20?[a-z]{2,12}|\.[a-z]{2,12})",
     "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
+# What a loose form may not start in; such matches are found first and left out.
+AVOIDED = {"email": (BASE["email"], "@"), "phone": (BASE["phone"], "+")}
 LABELERS = ("form", "gazetteer", "context", "edges")
-ENDINGS = r"(?i)\.(com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|ch|at|be)$"
-CALLING = r"^\+(1|33|34|39|41|43|44|49)[^0-9]"
-CARDS = r"^(4|5[1-5]|34|37|6011|65)"
+# Generic endings (any two letters are a country's), calling codes of the numbering zones, prefixes of
+# card issuers, reserved and private address blocks.
+ENDINGS = (
+    r"(?i)(?:\.|dot[)\]]\x20?)(com|org|net|edu|gov|mil|int|info|biz|name|pro|museum|coop|aero|jobs|mobi|travel|app|dev"
+    r"|xyz|online|site|shop|store|tech|blog|cloud|club|news|agency|company|email|live|space|world|[a-z]{2})$"
+)
+CALLING = (
+    r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1-368]|2[234][0-9]|25[0-8]|26[0-9]|29[01789]"
+    r"|35[0-9]|37[0-9]|38[0-35-79]|42[0136]|50[0-9]|59[0-9]|67[0-9]|68[0-9]|69[0-2]|80[08]|85[02356]|87[0-9]|88[0-38]"
+    r"|96[0-9]|97[0-79]|99[0-9])"
+)
+AREA = r"^\(?[2-9][0-9]{2}[)\x20.-]+[2-9][0-9]{2}"
+CARDS = r"^(4|5[0-8]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47689]|30[0-5]|35(2[89]|[3-8])|6011|6[2-9])"
+RESERVED = r"^0*(0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
+PRIVATE = r"^0*(10\.|192\.0*168\.|172\.0*(1[6-9]|2[0-9]|3[01])\.)"
 CUES = {
-    "email": r"(?i)(e-?mail|mail|contact|kontakt|correo|courriel|write|at)\W*$",
-    "ip": r"(?i)(\bip|address|adresse|host|server|from|client)\W*$",
-    "card": r"(?i)(card|karte|carte|tarjeta|visa|mastercard|amex|credit)\W*$",
-    "phone": r"(?i)(phone|tel|tél|call|fax|mobile?|handy|telefon|teléfono|téléphone|whatsapp)\W*$",
+    "email": r"(?i)(e-?mail|mail|mailto|contact|contacto|contatto|kontakt|correo|courriel|posta|write|reach|at|adresse)\W*$",
+    "ip": r"(?i)(\bip|ipv4|address|adresse|dirección|indirizzo|host|server|serveur|servidor|from|client|login|logged in)\W*$",
+    "card": r"(?i)(card|karte|carte|carta|tarjeta|cartão|visa|mastercard|amex|maestro|credit|debit|kreditkarte)(?:\W+(no|nr|number|nummer|numéro|número))?\W*$",
+    "phone": r"(?i)(phone|tel|tél|call|fax|mobile?|cell|handy|telefon|teléfono|téléphone|telefono|telefone|rufen|whatsapp|sms|dial)"
+    r"(?:\W+(no|nr|at|me|us|number|nummer))?\W*$",
 }
-AGAINST = r"(?i)(version|isbn|issn|order|invoice|token|key|sha|id|no|page|ref|=|#|\$|€)\W*$"
+AGAINST = r"(?i)(version|isbn|issn|order|invoice|token|key|sha|id|no|page|ref|serial|build|release|=|#|\$|€)\W*$"
 TAIL = 24
 RUN = 256
 THRESHOLD = 0.9
-EM_ROUNDS = 50
+# How often each labeler is expected to be right where it has an opinion, before any text is seen.
+TRUST = {"form": 0.95, "gazetteer": 0.75, "context": 0.9, "edges": 0.7}
+PRIOR_SHARE = 0.5
+TOLERANCE = 1e-9
+MOST_ROUNDS = 10_000
 
 
 def _barrier(rows: DataFrame, name: str, value) -> DataFrame:
@@ -59,7 +83,7 @@ def _barrier(rows: DataFrame, name: str, value) -> DataFrame:
 
 def _found(rows: DataFrame, name: str, pattern: str, needs: str) -> DataFrame:
     """Adds column ``name``: array of (start, end, what, before, after) of the pattern's matches in ``body``."""
-    has = F.col("body").contains(needs) if needs else F.col("body").rlike("[0-9]")
+    has = F.col("body").rlike(needs)
     none = F.array().cast("array<string>")
     rows = _barrier(rows, "m", F.when(has, F.regexp_extract_all("body", F.lit(pattern), 0)).otherwise(none))
     gaps = F.transform(
@@ -113,9 +137,9 @@ def candidates(rows: DataFrame) -> DataFrame:
     candidates with the labelers' votes; k is the place of the kind in KINDS."""
     kept = rows.columns
     for kind in KINDS:
-        rows = _found(rows, kind, BASE[kind], {"email": "@", "phone": "+"}.get(kind, ""))
+        rows = _found(rows, kind, BASE[kind], {"email": "@", "phone": r"\+"}.get(kind, "[0-9]"))
     for kind, pattern in LOOSE.items():
-        rows = _found(rows, f"loose_{kind}", pattern, "")
+        rows = _found(rows, f"loose_{kind}", f"{AVOIDED[kind][0]}|(?:{pattern})", {"email": r"(?i)[(\[]at[)\]]"}.get(kind, "[0-9]"))
 
     def marked(kind: str, spans, form):
         k = KINDS.index(kind)
@@ -127,7 +151,7 @@ def candidates(rows: DataFrame) -> DataFrame:
         ))
 
     listed = [marked(k, F.col(k), lambda w, k=k: F.when(_accepts(k, w), 1).otherwise(-1)) for k in KINDS]
-    listed += [marked(k, F.col(f"loose_{k}"), lambda w: F.lit(0)) for k in LOOSE]
+    listed += [marked(k, F.filter(f"loose_{k}", _without(AVOIDED[k][1])), lambda w: F.lit(0)) for k in LOOSE]
     # single digits and short numbers are no candidates for cards
     wide = F.filter(F.concat(*listed), lambda s: (s["form"] == 1) | (s["k"] != KINDS.index("card"))
                     | (s["end"] - s["start"] >= 13))
@@ -137,14 +161,19 @@ def candidates(rows: DataFrame) -> DataFrame:
     return rows.select(*kept, base.alias("base"), F.col("spans").alias("votes"))
 
 
+def _without(sign: str):
+    return lambda s: ~s["what"].contains(sign)
+
+
 def _gazetteer(kind: str, what):
     if kind == "email":
         return F.when(what.rlike(ENDINGS), 1).otherwise(0)
     if kind == "phone":
-        return F.when(what.rlike(CALLING), 1).otherwise(0)
+        plus = F.when(what.rlike(CALLING), 1).otherwise(-1)
+        return F.when(what.startswith("+"), plus).when(what.rlike(AREA), 1).otherwise(-1)
     if kind == "card":
-        return F.when(what.rlike(CARDS), 1).otherwise(-1)
-    return F.when(what.rlike(r"^(0|127|255)\."), -1).otherwise(0)
+        return F.when(F.regexp_replace(what, "[^0-9]", "").rlike(CARDS), 1).otherwise(-1)
+    return F.when(what.rlike(RESERVED), -1).when(what.rlike(PRIVATE), 0).otherwise(1)
 
 
 def pattern_counts(found: DataFrame) -> dict[tuple[int, ...], int]:
@@ -154,49 +183,85 @@ def pattern_counts(found: DataFrame) -> dict[tuple[int, ...], int]:
     return {tuple(r[:-1]): r["n"] for r in rows}
 
 
-def estimate(counts: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS) -> dict[tuple[int, ...], float]:
-    """Posterior of every pattern under a Dawid-Skene model: votes are independent given the truth."""
-    posterior = {p: 1 / (1 + math.exp(-2.0 * sum(p[1:]))) for p in counts}
-    for _ in range(rounds):
-        prior: dict[int, list[float]] = {}
-        says: dict[tuple[int, int, int], float] = {}
-        mass = [0.0, 0.0]
-        for p, n in sorted(counts.items()):
-            for truth, share in ((1, posterior[p]), (0, 1 - posterior[p])):
-                prior.setdefault(p[0], [1.0, 1.0])[truth] += n * share
-                mass[truth] += n * share
-                for labeler, vote in enumerate(p[1:]):
-                    says[truth, labeler, vote] = says.get((truth, labeler, vote), 0.0) + n * share
-        new = {}
-        for p in counts:
-            odds = math.log(prior[p[0]][1] / prior[p[0]][0])
-            for labeler, vote in enumerate(p[1:]):
-                odds += math.log((says[1, labeler, vote] + 1) / (mass[1] + 3))
-                odds -= math.log((says[0, labeler, vote] + 1) / (mass[0] + 3))
-            new[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        posterior = new
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def estimate(counts: dict[tuple[int, ...], int], tolerance: float = TOLERANCE) -> dict[tuple[int, ...], float]:
+    """Posterior of every pattern: per kind, votes are independent given the truth and 0 says nothing.
+
+    Ends when no posterior moves by more than ``tolerance``. Without candidates the result is empty.
+    """
+    trust = [TRUST[name] for name in LABELERS]
+    ways = {p: sum(v * math.log(t / (1 - t)) for v, t in zip(p[1:], trust)) for p in counts}
+    posterior = {p: _sigmoid(ways[p]) for p in counts}
+    for kind in sorted({p[0] for p in counts}):
+        mine = sorted(p for p in counts if p[0] == kind)
+        weight = PRIOR_SHARE * sum(counts[p] for p in mine) + 2
+        for _ in range(MOST_ROUNDS):
+            true = sum(counts[p] * posterior[p] for p in mine)
+            whole = sum(counts[p] for p in mine)
+            base = math.log((true + weight / 2) / (whole - true + weight / 2))
+            odds = dict.fromkeys(mine, base)
+            for at, t in enumerate(trust, 1):
+                yes, said = [0.0, 0.0], [0.0, 0.0]  # votes of 1, and votes, where it is false and where it is true
+                for p in mine:
+                    if p[at]:
+                        for truth, share in ((1, posterior[p]), (0, 1 - posterior[p])):
+                            said[truth] += counts[p] * share
+                            yes[truth] += counts[p] * share * (p[at] == 1)
+                hit, slip = ((yes[k] + weight * x) / (said[k] + weight) for k, x in ((1, t), (0, 1 - t)))
+                for p in mine:
+                    if p[at]:
+                        odds[p] += math.log(hit / slip) if p[at] == 1 else math.log((1 - hit) / (1 - slip))
+            new = {p: _sigmoid(odds[p]) for p in mine}
+            moved = max(abs(new[p] - posterior[p]) for p in mine)
+            posterior.update(new)
+            if moved <= tolerance:
+                break
     return posterior
 
 
 def _features(pattern: tuple[int, ...]) -> list[float]:
-    row = [1.0] + [float(pattern[0] == k) for k in range(len(KINDS))]
-    for vote in pattern[1:]:
-        row += [float(vote == 1), float(vote == -1)]
+    """1, then per kind: the kind, and each labeler's yes and no."""
+    row = [1.0]
+    for k in range(len(KINDS)):
+        here = pattern[0] == k
+        row += [float(here)] + [float(here and vote == way) for vote in pattern[1:] for way in (1, -1)]
     return row
 
 
-def fit(counts: dict[tuple[int, ...], int], posterior: dict[tuple[int, ...], float], steps: int = 400) -> list[float]:
-    """Weights of the span classifier: logistic regression on the patterns, weighted by their counts."""
-    total = sum(counts.values()) or 1
-    rows = [(_features(p), n / total, posterior[p]) for p, n in sorted(counts.items())]
-    w = [0.0] * (1 + len(KINDS) + 2 * len(LABELERS))
-    for _ in range(steps):
-        slope = [-1e-4 * x for x in w]
-        for x, n, y in rows:
-            gap = n * (y - 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x)))))))
-            slope = [s + gap * b for s, b in zip(slope, x)]
-        w = [a + 2.0 * s for a, s in zip(w, slope)]
-    return w
+def fit(counts: dict[tuple[int, ...], int], posterior: dict[tuple[int, ...], float], ridge: float = 1e-4) -> list[float]:
+    """Weights of the span classifier: logistic regression on the patterns by Newton steps until they end.
+
+    A pattern weighs by its share of its kind, smoothed so that rare patterns are fitted too.
+    """
+    rows = [(np.array(_features(p)), math.sqrt(n), posterior[p]) for p, n in sorted(counts.items())]
+    w = np.zeros(len(_features((0, *[0] * len(LABELERS)))))
+    if not rows:
+        return w.tolist()
+    x, y = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    kinds = [p[0] for p, _ in sorted(counts.items())]
+    mass = {k: sum(r[1] for r, q in zip(rows, kinds) if q == k) for k in kinds}
+    n = np.array([r[1] / mass[k] for r, k in zip(rows, kinds)])
+
+    def loss(v):
+        z = x @ v
+        return float(n @ (np.logaddexp(0, z) - y * z) + ridge / 2 * v @ v)
+
+    for _ in range(MOST_ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (y - p)) - ridge * w
+        if np.abs(slope).max() <= 1e-9:
+            break
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + ridge * np.eye(len(w)), slope)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w + size * step
+    return w.tolist()
 
 
 def train(found: DataFrame) -> list[float]:
@@ -205,12 +270,14 @@ def train(found: DataFrame) -> list[float]:
 
 
 def _probability(s, weights: list[float]):
-    total = F.lit(weights[0])
+    width = 1 + 2 * len(LABELERS)
+    total = F.lit(0.0)
     for k in range(len(KINDS)):
-        total = total + F.when(s["k"] == k, weights[1 + k]).otherwise(0.0)
-    for i, name in enumerate(LABELERS):
-        plus, minus = weights[1 + len(KINDS) + 2 * i : 3 + len(KINDS) + 2 * i]
-        total = total + F.when(s[name] == 1, plus).when(s[name] == -1, minus).otherwise(0.0)
+        own = weights[1 + k * width : 1 + (k + 1) * width]
+        here = F.lit(weights[0] + own[0])
+        for i, name in enumerate(LABELERS):
+            here = here + F.when(s[name] == 1, own[1 + 2 * i]).when(s[name] == -1, own[2 + 2 * i]).otherwise(0.0)
+        total = F.when(s["k"] == k, here).otherwise(total)
     return 1 / (1 + F.exp(-total))
 
 
