@@ -184,7 +184,7 @@ def test_run_log_repeats_replace(spark, tmp_path):
         sk.append_run_log(sk.run_log_rows(spark, experiment, run, metrics=metrics), path)
 
     def seen():
-        return sorted((r["experiment"], r["run_id"] or "", r["key"], r["value_num"]) for r in sk.read_run_log(spark, path).collect())
+        return sorted((r["experiment"] or "", r["run_id"] or "", r["key"], r["value_num"]) for r in sk.read_run_log(spark, path).collect())
 
     put("1", a=1.0, b=2.0)
     put("2", a=5.0)
