@@ -2,12 +2,13 @@
 
 A rule (host, path) fits its host and all subdomains if the url's path starts with the rule's; the longest
 fitting rule decides. Pages without a rule take the verdict of their host. Edges between hosts are the
-absolute links of their pages, and a site's own structure: a host and its parent domain link to each other.
+links of their pages that name a host (with a scheme or from ``//`` on), and a site's own structure: a host and its parent domain link to each other.
 Distrust and trust are personalised PageRank, with the restart at the host itself: of the pages that a walk along
 the links (distrust) or against them (trust) comes upon, the share that is blocked or allowed. Pages without a rule
 count as neither, and the walk goes on from a host as far as no rule decides its pages, so a host that links to many
 and to one blocked host has little distrust; a host or parent domain without pages counts as one, judged by its root. A
-host's own shares of blocked and allowed pages are the least that its distrust and trust can be. A host is blocked if its distrust reaches ``threshold`` and exceeds its trust.
+host's own shares of blocked and allowed pages are the least that its distrust and trust can be. Rounds go on until every
+score is within ``tolerance`` of its limit; a round leaves at most ``damping`` of the error, so they end. A host is blocked if its distrust reaches ``threshold`` and exceeds its trust.
 
 A null url, or one without ``://``, has empty host and path, no edges, and the verdict ``allow``. Null html
 has no links. Repeated pages count as often as they stand. Hosts keep their user part and port, if any.
@@ -15,6 +16,8 @@ has no links. Repeated pages count as often as they stand. Hosts keep their user
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +28,10 @@ BLOCK = (("net", "/"), ("example.com", "/de/"))
 ALLOW = (("example.net", "/en/"), ("org", "/fr/"))
 
 DAMPING = 0.85
-ROUNDS = 12
+TOLERANCE = 1e-3
 THRESHOLD = 0.5
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)\b(?:href|src)\s{0,8}=\s{0,8}["']?\s{0,8}[a-z][a-z0-9+.-]{0,15}://([^/?#"'\s<>]++)"""
+LINK = r"""(?i)\b(?:href|src)\s{0,8}=\s{0,8}["']?\s{0,8}(?:[a-z][a-z0-9+.-]{0,15}:)?//([^/?#"'\s<>]++)"""
 
 
 def host_of(url):
@@ -54,7 +57,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n, linked): how often pages of src link to dst, and the links of hosts with their parent domains;
     linked is false for those that no page has."""
     linked = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), 1)))
-    links = pages.where(F.contains("html", F.lit("://"))).select(F.col("host").alias("src"), linked.alias("dst"))
+    links = pages.where(F.contains("html", F.lit("//"))).select(F.col("host").alias("src"), linked.alias("dst"))
     links = links.select("src", F.translate("dst", UPPER, SMALL).alias("dst")).where("src <> '' and dst <> src")
     links = links.groupBy("src", "dst").agg(F.count("*").alias("n"))
     parts = F.split("host", r"\.")
@@ -73,11 +76,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.max("linked").alias("linked"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=ROUNDS, by: str = "src") -> DataFrame:
+def propagate(
+    edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds: int | None = None, by: str = "src", tolerance=TOLERANCE
+) -> DataFrame:
     """(kind, host, score): PageRank with restart at seeds (kind, host, mass) along edges (kind, src, dst, n).
 
     The shares of the edges of one ``by`` make 1: with "src" a host deals out its score, with "dst" a host's
-    score is the mean of what it gets, which is what a walk from it against the edges finds.
+    score is the mean of what it gets, which is what a walk from it against the edges finds. Runs ``rounds`` rounds, or,
+    if None, until two rounds in a row show that no score is further than ``tolerance`` from its limit.
     """
     out = edges.groupBy("kind", by).agg(F.sum("n").alias("all"))
     steps = materialize(
@@ -88,19 +94,32 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=ROUNDS
     )
     seeds = materialize(seeds, "seeds")
     start = seeds.select("kind", "host", F.col("mass").alias("score"))
-    scores = start
-    for turn in range(rounds):
+    # from scores of 0 to 1 this many rounds always do; the change over two rounds mostly says so sooner
+    most = rounds if rounds is not None else 2 * math.ceil(math.log(tolerance) / math.log(damping) / 2)
+    enough = tolerance * (1 - damping**2) / damping**2
+    scores = kept = start
+    for turn in range(most):
         moved = steps.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")
         )
         restart = start.withColumn("score", F.col("score") * (1 - damping))
-        scores = restart.union(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if turn % 2 or turn == rounds - 1:
+        parts = restart.union(moved).withColumn("old", F.lit(0.0))
+        store = turn % 2 or turn == most - 1
+        if store:  # the scores of two rounds ago come along, so the change needs no join
+            parts = parts.union(kept.select("kind", "host", F.lit(0.0), F.col("score")))
+        scores = parts.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
+        if store:
             scores = materialize(scores, "scores")
+            moves = scores.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] if rounds is None else None
+            kept = scores = scores.drop("old")
+            if moves is not None and moves <= enough:
+                break
+        else:
+            scores = scores.drop("old")
     return scores
 
 
-def judge(pages: DataFrame, block=BLOCK, allow=ALLOW, damping=DAMPING, rounds=ROUNDS, threshold=THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, block=BLOCK, allow=ALLOW, damping=DAMPING, threshold=THRESHOLD, tolerance=TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of pages (page_id, url, html)."""
     host, path = host_of(F.col("url"))
     read = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
@@ -138,7 +157,7 @@ def judge(pages: DataFrame, block=BLOCK, allow=ALLOW, damping=DAMPING, rounds=RO
         names = F.explode(F.array(*[F.lit(k) for k, _, w in kinds if w == way])).alias("kind")
         flow = flow.select(names, "src", "dst", "n")
         both = flow if both is None else both.union(flow)
-    scores = propagate(materialize(both, "edges"), seeds, damping, rounds, by="dst")
+    scores = propagate(materialize(both, "edges"), seeds, damping, by="dst", tolerance=tolerance)
     sums = scores.groupBy("host").agg(*[
         F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k, _, _ in kinds
     ])

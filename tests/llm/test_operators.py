@@ -235,6 +235,63 @@ def test_propagate_against_plain_loop(spark):
     assert got == pytest.approx(score)
 
 
+def plain_judge(rows, block, allow):
+    """{host: (trust, distrust)} by solving for the limit of the walks, from (host, path, linked hosts) rows."""
+
+    def verdict(host, path):
+        rules = [(h, p, "block") for h, p in block] + [(h, p, "allow") for h, p in allow]
+        fits = [(len(h) + len(p), v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else ""
+
+    links, parents = collections.Counter(), set()
+    for host, _, to in rows:
+        links.update((host, t) for t in set(to) if t != host)
+        parts = host.split(".")
+        parents |= {(".".join(parts[i:]), ".".join(parts[i + 1 :])) for i in range(len(parts) - 1)}
+    hosts = sorted({h for h, _, _ in rows} | {h for e in (*links, *parents) for h in e})
+    said = {h: [verdict(h, p) for x, p, _ in rows if x == h] or [verdict(h, "/")] for h in hosts}
+    good, bad = ({h: np.mean([v == w for v in said[h]]) for h in hosts} for w in ("allow", "block"))
+    both = links + collections.Counter(parents) + collections.Counter((b, a) for a, b in parents)
+    into = collections.defaultdict(list)
+    for (a, b), n in both.items():
+        into["in", b].append((a, n))
+        if links[a, b] or a.endswith("." + b):
+            into["out", a].append((b, n))
+    found = {}
+    for way, mass in (("in", good), ("out", bad)):
+        step = np.zeros((len(hosts), len(hosts)))
+        for i, h in enumerate(hosts):
+            ruled, to = good[h] + bad[h], into[way, h]
+            stay = 1.0 if ruled > 1 - 1e-9 or not to else ruled
+            step[i, i] += stay
+            for x, n in to:
+                step[i, hosts.index(x)] += (1 - stay) * n / sum(n for _, n in to)
+        limit = np.linalg.solve(np.eye(len(hosts)) - 0.85 * step, 0.15 * np.array([mass[h] for h in hosts]))
+        found[way] = {h: max(mass[h], limit[i]) for i, h in enumerate(hosts)}
+    return {h: (found["in"][h], found["out"][h]) for h in hosts}
+
+
+def test_judge_equals_the_limit_of_the_walks(spark):
+    """Production rules, damping, threshold and tolerance, where only the links decide: chains and farms of hosts without
+    rules that lead to blocked hosts, a long cycle, and links from ``//`` on."""
+    draw = np.random.default_rng(5)
+    rows = [("bad.net", "/", []), ("good.org", "/fr/", ["friend.test"]), ("friend.test", "/", [])]
+    rows += [(f"farm{i % 5}.test", "/", ["bad.net"]) for i in range(15)] + [("second.invalid", "/", ["farm0.test"] * 2)]
+    rows += [(f"ring{i}.example", "/", [f"ring{(i + 1) % 30}.example"]) for i in range(30)] + [("ring0.example", "/", ["bad.net"])]
+    for i in range(60):
+        rows.append((f"h{i % 20}.site", "/x", [f"h{x}.site" for x in draw.integers(20, size=3)] + (["a.bad.net"] if i % 4 == 0 else [])))
+    texts = [(i, f"https://{h}{p}", "".join(f'<a href="{("", "http:")[i % 2]}//{x.upper()}/p">x</a>' for x in to)) for i, (h, p, to) in enumerate(rows)]
+    got = urls.judge(spark.createDataFrame(texts, "page_id long, url string, html string")).collect()
+    want = plain_judge(rows, urls.BLOCK, urls.ALLOW)
+    for r in got:
+        trust, distrust = want[r["host"]]
+        assert r["trust"] == pytest.approx(trust, abs=0.003) and r["distrust"] == pytest.approx(distrust, abs=0.003)
+        if r["rule"] is None and abs(distrust - urls.THRESHOLD) > 0.003:
+            assert r["verdict"] == ("block" if distrust >= urls.THRESHOLD and distrust > trust else "allow")
+    blocked = {r["host"] for r in got if r["rule"] is None and r["verdict"] == "block"}
+    assert {f"farm{i}.test" for i in range(5)} <= blocked and "friend.test" not in blocked
+
+
 # top-k
 
 
