@@ -9,6 +9,9 @@ those. It yields a spanning forest, at most one edge per fingerprint, which has
 close pairs. A bucket of more than ``bucket_rows`` fingerprints is cut into chunks by a hash, and each pair
 of its chunks is searched on its own, so memory is bounded and no link is lost.
 
+:func:`keep_first` also links texts whose word-shingle sets are similar: 64-bit fingerprints of such texts may be too
+far apart for blocks, so :mod:`labelflow.llm.setblocks` cuts the sets themselves into pigeonhole blocks.
+
 Null texts count as empty. Texts without words have fingerprint zero and link like any other. Rows without a
 doc_id take part and get the smallest id of their component, null if it has none. Repeated rows stay repeated.
 """
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from labelflow.llm.graph import components
 from labelflow.llm.rows import row_identity
+from labelflow.llm.setblocks import SIMILARITY, similar_links
 from labelflow.session import materialize
 
 SHINGLE = 3
@@ -155,10 +159,11 @@ def close_links(distinct: DataFrame, distance: int = DISTANCE, bucket_rows: int
     return dealt.select("bucket", "fp").mapInPandas(_search(distance), "a long, b long")
 
 
-def _groups(found: DataFrame, distance: int, bucket_rows: int) -> DataFrame:
-    """(fp, root, component_id) for every fingerprint of (doc_id, fp) rows."""
+def _groups(found: DataFrame, distance: int, bucket_rows: int, links: DataFrame | None = None) -> DataFrame:
+    """(fp, root, component_id) for every fingerprint of (doc_id, fp) rows; ``links`` are further edges (a, b)."""
     copies = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "copies")
-    roots = components(close_links(copies, distance, bucket_rows)).withColumnRenamed("node", "fp")
+    edges = close_links(copies, distance, bucket_rows)
+    roots = components(edges if links is None else edges.unionByName(links)).withColumnRenamed("node", "fp")
     member = materialize(copies.join(roots, "fp").select("fp", "root", "least"), "member")
     smallest = materialize(member.groupBy("root").agg(F.min("least").alias("first")), "smallest")
     linked = materialize(member.join(smallest, "root").select("fp", "root", "first"), "linked")
@@ -181,13 +186,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE,
-               bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+               bucket_rows: int = BUCKET_ROWS, similarity: float | None = SIMILARITY) -> DataFrame:
     """One row of each component, with the columns of docs: the one of the smallest doc_id (none counts as
-    largest), among those of one doc_id the one of the smallest hash of all its columns."""
+    largest), among those of one doc_id the one of the smallest hash of all its columns.
+
+    Texts whose 5-word shingle sets have a Jaccard similarity of ``similarity`` or more are linked too (None: only
+    close fingerprints are).
+    """
     own = row_identity(docs)
     found = fingerprints(docs.select("doc_id", "text", own.alias("row_hash")), size)
     found = materialize(found, "fingerprints")
-    placed = found.join(_groups(found, distance, bucket_rows), "fp")
+    links = None if similarity is None else similar_links(docs, lambda text: fingerprint_of(text, size), similarity)
+    placed = found.join(_groups(found, distance, bucket_rows, links), "fp")
     counted = placed.groupBy("root", "doc_id", "row_hash").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "n")
     first = counted.groupBy("root").agg(F.min(order).alias("w"))
