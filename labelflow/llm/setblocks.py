@@ -225,28 +225,33 @@ def verified(pairs: DataFrame, sets: DataFrame, s: float) -> DataFrame:
 
 
 def _across(s: float):
-    """Pairs of different groups in each bucket; rows come sorted by bucket (and chunk of it)."""
+    """Pairs of different groups in each bucket; rows come sorted by bucket (and chunk of it).
+
+    Rows at distance 1, 2, 3 ... are compared for all buckets of a batch at once.
+    """
     ratio = (1 - s) / (1 + s)
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        tid, root = part["tid"].to_numpy(), part["root"].to_numpy()
-        n = part["n"].to_numpy()
+        key, tid, root = (part[c].to_numpy() for c in ("bucket", "tid", "root"))
+        n, side = part["n"].to_numpy(), part["side"].to_numpy()
         bits = part[list(SKETCH)].to_numpy().view(np.uint64)
-        half = part["side"].to_numpy()
-        a, b = [], []
-        for i in range(len(part) - 1):
-            rest = slice(i + 1, None)
-            ok = (root[rest] != root[i]) & (tid[rest] != tid[i])
-            ok &= np.minimum(n[rest], n[i]) >= s * np.maximum(n[rest], n[i]) - 1e-9
-            ok &= (half[rest] != half[i]) | (half[i] < 0)
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-                at = at[differ <= (n[at] + n[i]) * ratio + 1e-9]
-                a.append(np.minimum(tid[at], tid[i]))
-                b.append(np.maximum(tid[at], tid[i]))
+        at, step, a, b = np.arange(len(part)), 0, [], []
+        while True:
+            step += 1
+            at = at[at + step < len(part)]
+            at = at[key[at] == key[at + step]]
+            if not len(at):
+                break
+            i, k = at, at + step
+            ok = (root[i] != root[k]) & (np.minimum(n[i], n[k]) >= s * np.maximum(n[i], n[k]) - 1e-9)
+            ok &= (side[i] != side[k]) | (side[i] < 0)
+            i, k = i[ok], k[ok]
+            differ = np.bitwise_count(bits[i] ^ bits[k]).sum(axis=1)
+            ok = differ <= (n[i] + n[k]) * ratio + 1e-9
+            a.append(np.minimum(tid[i], tid[k])[ok])
+            b.append(np.maximum(tid[i], tid[k])[ok])
         empty = [np.zeros(0, dtype=np.int64)]
-        return pd.DataFrame({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
+        return pd.DataFrame({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)}).drop_duplicates()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
@@ -255,11 +260,11 @@ def _across(s: float):
             if not len(frame):
                 continue
             key = frame["bucket"].to_numpy()
-            cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi - lo > 1:
-                    yield pairs(frame.iloc[lo:hi])
-            left = frame.iloc[cuts[-1] :]
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            tail = int(cuts[-1]) if len(cuts) else 0
+            if tail:
+                yield pairs(frame.iloc[:tail])
+            left = frame.iloc[tail:]
         if left is not None and len(left) > 1:
             yield pairs(left)
 
