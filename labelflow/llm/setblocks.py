@@ -149,20 +149,27 @@ def _merged(work, rows: int = 1 << 16):
     return merged
 
 
+def _about(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sets = [shingle_set(words_of(t.as_py()), size) for t in batch.column("text")]
+                columns = {"tid": batch.column("tid"), "n": pa.array([len(x) for x in sets], pa.int32())}
+                sketches = zip(SKETCH, zip(*[sketch(x) for x in sets]))
+                yield pa.RecordBatch.from_pydict(columns | {k: pa.array(v, pa.int64()) for k, v in sketches})
+
+    return work
+
+
 def _sets(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             sets = [shingle_set(words_of(t.as_py()), size) for t in batch.column("text")]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "tid": batch.column("tid"),
-                    "fp": batch.column("fp"),
-                    "shingles": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
-                }
-                | {k: pa.array(v, pa.int64()) for k, v in zip(SKETCH, zip(*[sketch(x) for x in sets]))}
-            )
+            yield pa.RecordBatch.from_pydict({
+                "tid": batch.column("tid"),
+                "fp": batch.column("fp"),
+                "shingles": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+            })
 
     return work
 
@@ -197,19 +204,23 @@ def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield more
 
 
-def verified(pairs: DataFrame, sets: DataFrame, s: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, about: DataFrame, s: float, size: int = WORDS) -> DataFrame:
     """The pairs (a, b) of texts whose shingle sets have a similarity of s or more, with their fingerprints.
 
-    Sets travel to their pairs in chunks of ``CHUNK`` partners, so a text with very many of them is not one task.
+    ``about`` (tid, n and the sketch) rules pairs out first; sets are made for the texts of what is left only and
+    travel to their pairs in chunks of ``CHUNK`` partners, so a text with very many of them is not one task.
     """
     ratio = (1 - s) / (1 + s)
-    light = sets.select("tid", F.size("shingles").alias("n"), *SKETCH)
+    light = about
     one = light.select(F.col("tid").alias("a"), F.col("n").alias("n_a"), *[F.col(k).alias(f"{k}_a") for k in SKETCH])
     two = light.select(F.col("tid").alias("b"), F.col("n").alias("n_b"), *[F.col(k).alias(f"{k}_b") for k in SKETCH])
     differ = sum(F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH)
     possible = (F.least("n_a", "n_b") >= F.lit(s) * F.greatest("n_a", "n_b") - 1e-9) & (
         differ <= (F.col("n_a") + F.col("n_b")) * ratio + 1e-9)
     pairs = materialize(pairs.join(one, "a").join(two, "b").where(possible).select("a", "b").distinct(), "possible")
+    needed = materialize(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct(), "needed")
+    sets = texts.join(needed, "tid", "left_semi").mapInArrow(_sets(size), "tid long, fp long, shingles array<long>")
+    sets = materialize(sets, "sets")
     degree = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     chunks = degree.select("a", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "a", "left").select(
@@ -304,26 +315,25 @@ def similar_links(docs: DataFrame, fingerprint, s: float = SIMILARITY, size: int
             yield pa.RecordBatch.from_pydict({
                 "tid": pa.array(tids.view(np.int64)), "fp": pa.array(fps.view(np.int64)), "text": batch.column("text")})
 
-    texts = docs.select("text").where("text is not null").distinct()
-    texts = materialize(texts.mapInArrow(name, "tid long, fp long, text string"), "texts")
+    texts = docs.select("text").where("text is not null").mapInArrow(name, "tid long, fp long, text string")
+    texts = materialize(texts.dropDuplicates(["tid", "fp"]), "texts")
     keyed = texts.select("text").mapInArrow(_merged(_keyed(s, size)), "bucket long, tid long")
     dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "tid")
     shared = materialize(dealt.mapInPandas(_shared, "bucket long, tid long, lead long"), "shared")
 
-    members = shared.select("tid").distinct()
-    named = texts.join(members, "tid", "left_semi").dropDuplicates(["tid", "fp"])
-    schema = "tid long, fp long, shingles array<long>, " + ", ".join(f"{k} long" for k in SKETCH)
-    sets = materialize(named.mapInArrow(_sets(size), schema), "sets")
+    members = materialize(shared.select("tid").distinct(), "members")
+    about = texts.join(members, "tid", "left_semi").mapInArrow(
+        _about(size), "tid long, n int, " + ", ".join(f"{k} long" for k in SKETCH))
+    about = materialize(about, "about")
 
     stars = shared.where("lead <> tid").select(F.col("lead").alias("a"), F.col("tid").alias("b")).distinct()
     stars = materialize(stars, "stars")
-    first = materialize(verified(stars, sets, s), "links")
+    first = materialize(verified(stars, texts, about, s, size), "links")
     roots = components(first)
     roots = roots.select(F.col("node").alias("tid"), "root")
-    about = sets.select("tid", F.size("shingles").alias("n"), *SKETCH).join(roots, "tid", "left")
-    about = about.withColumn("root", F.coalesce("root", "tid"))
-    rows = materialize(shared.select("bucket", "tid").join(about, "tid"), "rows")
+    placed = about.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    rows = materialize(shared.select("bucket", "tid").join(placed, "tid"), "rows")
     rest = _open_pairs(rows, s).join(stars, ["a", "b"], "left_anti")
-    second = materialize(verified(materialize(rest, "rest"), sets, s), "links")
+    second = materialize(verified(rest, texts, about, s, size), "links")
     links = first.union(second).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
     return links.where("a <> b").distinct()
