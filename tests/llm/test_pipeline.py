@@ -9,7 +9,9 @@ import pytest
 import corpus_pipeline
 from labelflow.llm import bpe, mixing, pii, simhash, toxicity
 from labelflow.llm.queries import ORACLES, QUERIES
+from labelflow.llm.setblocks import words_of
 from oracle import compare, connect
+from test_setblocks import roots_of
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,8 +37,14 @@ def test_stages(spark):
     clean = {r["doc_id"] for r in toxicity.judge(before, labels).where("predicted = 0").collect()}
     assert {r["doc_id"] for r in after.collect()} == clean
     before, after = seen["simhash_near_dedup"]
-    groups = {r["component_id"] for r in simhash.near_duplicates(before).collect()}
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(groups)
+    rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
+    values = []
+    for _, text in rows:
+        words = words_of(text)
+        values.append((simhash.fingerprint_of(text), {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}))
+    roots = roots_of(values, lambda a, b: (a[0] ^ b[0]).bit_count() <= 3
+                     or len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted({rows[i][0] for i in roots})
     before, after = seen["pii"]
     assert after.count() == before.count()
     found = {r["doc_id"]: r["spans"] for r in pii.find(before).collect()}
