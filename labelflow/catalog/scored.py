@@ -447,20 +447,36 @@ def token_attribution(t: Tables):
 
 
 def make_logit_scorer():
-    """The logits of the linear scorer as plain Python, standing in for a model whose inside is not known."""
+    """The logits of the linear scorer as plain Python, standing in for a model whose inside is not known.
+
+    ``encode`` looks every word's weights up, ``of_encoded`` rates the looked-up words of several texts at once.
+    """
     lexicon_, intercept = dict(LEXICON), list(INTERCEPT)
 
     def factory():
-        def run(texts: list[str]) -> list[list[float]]:
-            out = []
-            for text in texts:
-                logits = list(intercept)
-                for word in text.lower().split():
-                    for c, w in enumerate(lexicon_.get(word, ())):
-                        logits[c] += w
-                out.append(logits)
+        import numpy as np
+
+        none = [0.0] * len(intercept)
+
+        def encode(words: list[str]):
+            # a token may hold white space that only Python's split knows
+            found = [[lexicon_[w] for w in word.lower().split() if w in lexicon_] for word in words]
+            rows = [[sum(column) for column in zip(*x)] if x else none for x in found]
+            return np.array(rows, dtype=float).reshape(-1, len(intercept))
+
+        def of_encoded(codes: list):
+            sizes = np.array([len(x) for x in codes])
+            out = np.tile(np.array(intercept), (len(codes), 1))
+            filled = np.flatnonzero(sizes)
+            if len(filled):
+                starts = np.cumsum(sizes) - sizes
+                out[filled] += np.add.reduceat(np.concatenate(codes), starts[filled], axis=0)
             return out
 
+        def run(texts: list[str]) -> list[list[float]]:
+            return of_encoded([encode(text.split()) for text in texts]).tolist()
+
+        run.encode, run.of_encoded = encode, of_encoded
         return run
 
     return factory

@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,8 +111,12 @@ WORK = 1 << 23
 CONTEXTS = 8
 # Tasks beyond this number get longer instead.
 MOST_TASKS = 20_000
+# Rows of work that make a task.
+TASK_ROWS = 4
 # Scored variants a task keeps for the spans below, in words.
 KEPT_WORDS = 1 << 21
+# Token values a task gathers before it sends them on.
+KEPT_SUMS = 1 << 16
 
 
 def split_of(n: int, at: int) -> tuple[int, int, list[tuple[int, int]]]:
@@ -128,17 +135,23 @@ def split_of(n: int, at: int) -> tuple[int, int, list[tuple[int, int]]]:
     return low, high, siblings
 
 
-def outside_contexts(n: int, depth: int, limit: int, seed: int = 42) -> list[int]:
+def places(low: int, high: int) -> int:
+    """The places of a span as bits."""
+    return (1 << high) - (1 << low)
+
+
+@lru_cache(maxsize=4096)
+def outside_contexts(n: int, depth: int, limit: int, seed: int = 42) -> Sequence[int]:
     """Which siblings are present, as bits from the top: all combinations, or ``limit`` drawn ones with their opposites.
 
     Draws belong to the text's length and are cut to the depth, so the contexts of a span go on from those of the
     span above, and half of its variants have been scored there.
     """
     if 1 << depth <= limit:
-        return list(range(1 << depth))
+        return range(1 << depth)
     draw, full = random.Random(f"{seed}|{n}"), (1 << depth) - 1
     half = [draw.getrandbits(64) & full for _ in range(limit // 2)]
-    return half + [full ^ c for c in half]
+    return (*half, *[full ^ c for c in half])
 
 
 def attribute_tree(
@@ -161,6 +174,10 @@ def attribute_tree(
     over its tokens, so the values always sum to the score of the text minus that of the empty text
     (``base_value``). A linear scorer gets its weights back exactly.
 
+    Variants are pieces of the text between spaces. A scorer may have two functions of its own: ``encode``, a list of words
+    to an array with one entry per word, and ``of_encoded``, which rates a list of such arrays as the scorer rates the
+    texts of their words. Then each text is encoded once, and not cut into words again for every variant.
+
     The spans of a text are dealt out as rows of about ``work`` words of scoring, so a long text is rated by many
     tasks in one pass; what they find meets in one sum per token. Texts without tokens have no rows; missing and
     repeated ids stay apart.
@@ -170,48 +187,73 @@ def attribute_tree(
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = scorer()
+        encode = getattr(fn, "encode", None)
 
-        def rated(texts: list[str], best: int | None = None) -> list:
-            rows = [row for i in range(0, len(texts), batch_size) for row in fn(texts[i : i + batch_size])]
+        def rated(texts: list, best: int | None = None) -> list:
+            rate = fn.of_encoded if encode else fn
+            rows = [row for i in range(0, len(texts), batch_size) for row in rate(texts[i : i + batch_size])]
             if len(rows) != len(texts):
                 raise ValueError("scorer returned a different number of rows")
             return rows if best is None else [float(row[best]) for row in rows]
 
-        def shares(words: list[str], first: int, stop: int) -> tuple[list, int, float]:
-            n = len(words)
-            empty, full = rated(["", " ".join(words)])
+        def shares(words: list[str], first: int, stop: int) -> tuple[int, np.ndarray, int, float]:
+            n, whole = len(words), " ".join(words)
+            starts = [0, *accumulate(len(w) + 1 for w in words)]
+
+            codes = encode(words) if encode else None
+
+            def variant(spans: list[tuple[int, int]]):
+                if encode:
+                    return np.concatenate([codes[a:b] for a, b in spans]) if spans else codes[:0]
+                return " ".join([whole[starts[a] : starts[b] - 1] for a, b in spans])
+
+            empty, full = rated([variant([]), variant([(0, n)])])
             best = max(range(len(full)), key=lambda i: (full[i], -i))
             limit = max(contexts, (n - 1).bit_length() // 2 * 2)
             known, held = {}, 0
             out = [(0, 1, float(full[best]) - float(empty[best]))] if n == 1 else []
             for at in range(first, stop):
                 low, high, beside = split_of(n, at)
-                variants = []
-                for context in outside_contexts(n, len(beside), limit):
-                    there = sorted(span for i, span in enumerate(beside) if context >> i & 1)
-                    before = [w for a, b in there if b <= low for w in words[a:b]]
-                    after = [w for a, b in there if a >= high for w in words[a:b]]
-                    left, right = words[low:at], words[at:high]
-                    variants += [" ".join(before + part + after) for part in ([], left, right, left + right)]
+                siblings = sorted((a, b, 1 << i, places(a, b)) for i, (a, b) in enumerate(beside))
+                parts = [(0, []), *[(places(a, b), [(a, b)]) for a, b in ((low, at), (at, high), (low, high))]]
                 if held > KEPT_WORDS:
                     known, held = {}, 0
-                fresh = [v for v in dict.fromkeys(variants) if v not in known]
-                known.update(zip(fresh, rated(fresh, best)))
+                order, fresh = [], {}  # a variant goes by the places of its tokens, as bits
+                for context in outside_contexts(n, len(beside), limit):
+                    there = [x for x in siblings if context & x[2]]
+                    around = sum([x[3] for x in there])
+                    for bits, part in parts:
+                        bits |= around
+                        order.append(bits)
+                        if bits not in known and bits not in fresh:
+                            fresh[bits] = sorted([x[:2] for x in there] + part)
+                known.update(zip(fresh, rated([variant(spans) for spans in fresh.values()], best)))
                 held += len(fresh) * n
-                found = [known[v] for v in variants]
+                found = [known[bits] for bits in order]
                 times = len(found) // 4
                 without, a, b, both = (sum(found[k::4]) / times for k in range(4))
                 share_a, share_b = (a - without + both - b) / 2, (b - without + both - a) / 2
                 # a span below the whole text has had its share of the span above dealt out already
                 given = 0.0 if high - low == n else (both - without) / (high - low)
                 out += [(low, at, share_a / (at - low) - given), (at, high, share_b / (high - at) - given)]
-            return out, best, float(empty[best])
-
+            # neighbouring places cut spans inside one span, so their sums cover no more than that
+            start, end = min(low for low, _, _ in out), max(high for _, high, _ in out)
+            sums = np.zeros(end - start)
+            for low, high, add in out:
+                sums[low - start : high - start] += add
+            return start, sums, best, float(empty[best])
+
+        columns = ["key", "whole", "low", "sums", "sentiment", "base_value"]
         for batch in batches:
+            rows, held = [], 0
             for key, words, first, stop in zip(batch["key"], batch["words"], batch["first"], batch["stop"]):
-                found, best, base = shares(list(words), int(first), int(stop))
-                rows = [(key, low, high, add, classes[best], base) for low, high, add in found]
-                yield pd.DataFrame(rows, columns=["key", "low", "high", "add", "sentiment", "base_value"])
+                low, sums, best, base = shares(list(words), int(first), int(stop))
+                rows.append((key, first == 1 and stop >= len(words), low, sums, classes[best], base))
+                held += len(sums)
+                if held > KEPT_SUMS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     keyed = df.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), T.tokens(F.col(text_col)).alias("__words"))
     keyed = materialize(keyed.where(F.size("__words") > 0), "keyed")  # written, so a task that runs again finds the same keys
@@ -225,16 +267,23 @@ def attribute_tree(
     # tasks are cut by work, which is far more than the size of the rows says
     per_text = F.ceil((n - 1) / per_row)
     total, rows = keyed.agg(F.sum(2.0 * rated_contexts * n * n), F.sum(F.greatest(per_text, F.lit(1)))).first()
-    tasks = max(1, int(min((total or 0) // (work / 4), rows or 0, MOST_TASKS)))
+    few = min((total or 0) // (work / 4), df.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(1, int(min(max((total or 0) // (work * TASK_ROWS), few), rows or 0, MOST_TASKS)))
     found = pieces.repartition(tasks, "key", "first").mapInPandas(
-        run, "key long, low int, high int, add double, sentiment string, base_value double"
+        run, "key long, whole boolean, low int, sums array<double>, sentiment string, base_value double"
     )
-    tokens = found.select("key", "sentiment", "base_value", "add", F.explode(F.expr("sequence(low, high - 1)")).alias("pos"))
-    values = tokens.groupBy("key", "pos").agg(
+    found = materialize(found, "shares")
+    # a text of one piece has its values already; the others' meet in one sum per token
+    one = keyed.where(per_text <= 1).join(found.where("whole"), F.col("__row") == F.col("key"))
+    one = one.select(id_col, "sentiment", "base_value", F.posexplode(F.arrays_zip("__words", "sums")).alias("pos", "at"))
+    one = one.select(id_col, "sentiment", "base_value", "pos", F.col("at.__words").alias("token"), F.col("at.sums").alias("value"))
+    tokens = found.where("NOT whole").select("key", "sentiment", "base_value", "low", F.posexplode("sums").alias("at", "add"))
+    values = tokens.groupBy("key", (F.col("low") + F.col("at")).alias("pos")).agg(
         F.sum("add").alias("value"), F.first("sentiment").alias("sentiment"), F.first("base_value").alias("base_value")
     )
-    words = keyed.select(F.col("__row").alias("key"), id_col, F.posexplode("__words").alias("pos", "token"))
-    return words.join(values, ["key", "pos"]).select(id_col, "sentiment", "base_value", "pos", "token", "value")
+    words = keyed.where(per_text > 1).select(F.col("__row").alias("key"), id_col, F.posexplode("__words").alias("pos", "token"))
+    met = words.join(values, ["key", "pos"]).select(id_col, "sentiment", "base_value", "pos", "token", "value")
+    return one.unionByName(met)
 
 
 def ranked_tokens(tokens: Column, values: Column, scale: float = 45.0) -> Column:

@@ -291,6 +291,38 @@ def test_tree_attribution_of_long_texts(frame, work):
     assert [v for *_, v in got["long"]] == pytest.approx([v for *_, v in whole["long"]])
 
 
+def encoding_scorer():
+    """The game over codes of words; whole texts are refused."""
+    import numpy as np
+
+    names, game = {}, game_scorer()
+
+    def encode(words):
+        return np.array([names.setdefault(w, len(names)) for w in words], dtype=int)
+
+    def of_encoded(codes):
+        known = list(names)
+        return game([" ".join(known[i] for i in code) for code in codes])
+
+    def run(texts):
+        raise AssertionError("cut into words again")
+
+    run.encode, run.of_encoded = encode, of_encoded
+    return run
+
+
+def test_tree_attribution_encodes_a_text_once(frame):
+    texts = ["good", "not good a bad", "not x good bad " * 25]
+    df = frame(T, *[(str(i), t) for i, t in enumerate(texts)], ("none", " "))
+    rows = at.attribute_tree(df, encoding_scorer, batch_size=7, classes=("yes", "no"), work=40_000).collect()
+    got = {k: sorted((r["pos"], r["token"], r["value"]) for r in rows if r["sentence_id"] == k) for k in "012"}
+    plain = tree_values(df)
+    assert set(plain) == set(got)
+    for k in got:
+        assert [x[:2] for x in got[k]] == [x[:2] for x in plain[k]]
+        assert [x[2] for x in got[k]] == pytest.approx([x[2] for x in plain[k]])
+
+
 def test_tree_splits_cover_all_places():
     for n in (2, 3, 7, 64, 100):
         spans = [at.split_of(n, i) for i in range(1, n)]
