@@ -29,28 +29,28 @@ def attribute_linear(
 ) -> DataFrame:
     """(id, sentiment, base_value, pos, token, value): each token's weight for the predicted class.
 
-    Every row is cut into tokens under a key of its own, so missing and repeated ids stay apart, and a text's
-    tokens meet once, with their weights, where they are summed and rated. Texts without tokens have no rows.
+    Rows have a key of their own, so missing and repeated ids stay apart. Per row only the tokens of the lexicon are
+    gathered, to rate it; the tokens are then cut out of the rated rows once more, so they are not shuffled but where
+    the lexicon is too large to be sent to them. Texts without tokens have no rows.
     """
     keyed = df.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), F.lower(text_col).alias("__text"))
     keyed = materialize(keyed, "keyed")  # written, so that a task that runs again finds the same keys
-    words = keyed.select("__row", id_col, F.posexplode(T.tokens(F.col("__text"))).alias("pos", "token"))
     lexicon = materialize(weights.select("token", *classes), "lexicon")  # read back, its size is known
-    hits = words.join(lexicon, "token", "left").select(
-        "__row", id_col, F.struct("pos", "token", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in classes]).alias("hit")
-    )
-    rows = hits.groupBy("__row", id_col).agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    words = keyed.select("__row", F.posexplode(T.tokens(F.col("__text"))).alias("pos", "token"))
+    weight = [F.coalesce(c, F.lit(0.0)).alias(c) for c in classes]
+    hits = words.join(lexicon, "token").select("__row", F.struct("pos", *weight).alias("hit"))
     sums = [_total(c, b) for c, b in zip(classes, intercept)]
-    rows = from_logits(rows.withColumn("logits", F.array(*sums)), classes).select(
-        id_col, "sentiment", F.explode("hits").alias("hit")
-    )
-    return rows.select(
+    rated = hits.groupBy("__row").agg(F.array_sort(F.collect_list("hit")).alias("hits")).select("__row", F.array(*sums).alias("logits"))
+    empty = F.array(*[F.lit(float(b)) for b in intercept])
+    rows = keyed.join(materialize(rated, "rated"), "__row", "left").withColumn("logits", F.coalesce("logits", empty))
+    rows = from_logits(rows, classes).select(id_col, "sentiment", F.posexplode(T.tokens(F.col("__text"))).alias("pos", "token"))
+    return rows.join(lexicon, "token", "left").select(
         id_col,
         "sentiment",
         _by_class(classes, [F.lit(float(b)) for b in intercept]).alias("base_value"),
-        "hit.pos",
-        "hit.token",
-        _by_class(classes, [F.col("hit")[c] for c in classes]).alias("value"),
+        "pos",
+        "token",
+        _by_class(classes, weight).alias("value"),
     )
 
 

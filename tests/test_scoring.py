@@ -189,6 +189,16 @@ def test_linear_attribution_of_missing_and_repeated_ids(frame, spark):
     ]
 
 
+def test_linear_attribution_shuffles_no_tokens(frame, spark):
+    """Tokens outside the lexicon keep their places, and what is grouped or sorted by row holds no tokens."""
+    df = frame(T, ("1", "the good and the bad good"), ("2", "the end"))
+    out = at.attribute_linear(df, lexicon(spark), CLASSES, BIAS)
+    rows = sorted((r["sentence_id"], r["pos"], r["token"], r["value"]) for r in out.collect())
+    assert rows[:6] == [("1", 0, "the", 0.0), ("1", 1, "good", 2.0), ("1", 2, "and", 0.0), ("1", 3, "the", 0.0), ("1", 4, "bad", -1.0), ("1", 5, "good", 2.0)]
+    assert [r[1:] for r in rows[6:]] == [(0, "the", 0.0), (1, "end", 0.0)]
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_leave_one_out_brute_force(frame):
     texts = {"1": "good bad food", "2": "", "3": " ".join(["meh", "x"] * 12)}
     df = frame(T, *texts.items())
