@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelflow.functions import vocab
 from labelflow.operators.metrics import ALL, classification_report
+from labelflow.session import materialize
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -111,8 +112,11 @@ def class_weights(df: DataFrame, label_col: str, num_labels: int) -> DataFrame:
 
 
 def attach_weights(df: DataFrame, label_col: str, weights: DataFrame) -> DataFrame:
-    """Add ``weight``; ``weights`` has one row per class id (see :func:`class_weights`)."""
-    w = weights.withColumnRenamed("label_id", "__id")
+    """Add ``weight``; ``weights`` has one row per class id (see :func:`class_weights`).
+
+    The weights are written and read back, so their size is known and the rows are not shuffled by class.
+    """
+    w = materialize(weights.withColumnRenamed("label_id", "__id"), "class-weights")
     return df.join(w, F.col(label_col) == F.col("__id"), "left").drop("__id")
 
 

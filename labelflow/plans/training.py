@@ -24,6 +24,9 @@ from labelflow.session import materialize
 from labelflow.sources.readers import select_split
 
 
+TASK_CHARS = 1 << 26
+
+
 @dataclass(frozen=True)
 class TaskConfig:
     name: str
@@ -123,7 +126,20 @@ def fit_classifier(
             labelCol="label", family="multinomial", maxIter=1 if smoke else max_iter, **weight_col
         ),
     ]
-    return Fitted(Pipeline(stages=stages).fit(train), task, weights, test)
+    return Fitted(Pipeline(stages=stages).fit(deal_by_size(train)), task, weights, test)
+
+
+def deal_by_size(train: DataFrame, chars: int = TASK_CHARS) -> DataFrame:
+    """The rows' text, label and weight, dealt evenly to tasks of about ``chars`` characters.
+
+    A fit reads its rows once per iteration, in the tasks they came in; those of a join or of a few shuffle partitions would
+    grow with the table.
+    """
+    columns = [c for c in ("text", "label", "weight") if c in train.columns]
+    rows = materialize(train.select(*columns), "fit-rows")
+    size, n = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    least = min(n, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(max(1, least, -(-size // chars)))
 
 
 def evaluate_split(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from labelflow.catalog import QUERIES
 from labelflow.functions import vocab
+from labelflow.operators.balance import attach_weights, class_weights
 from labelflow.plans import passes as ps
 from labelflow.plans import training as tr
 
@@ -115,3 +116,22 @@ def test_registered_passes_beat_the_majority(spark):
     rows = QUERIES["pass_scores_m4"](spark, "/root/testdata/sf0.001").collect()
     kept = [r for r in rows if r["best"]]
     assert len(kept) == 1 and kept[0]["f1_macro"] == max(r["f1_macro"] for r in rows) and kept[0]["beats_majority"]
+
+
+def test_fit_rows_are_dealt_evenly(spark):
+    """However the rows came in, a fit's tasks hold about the asked number of characters each."""
+    rows = spark.range(64).select(F.repeat(F.lit("word "), 20).alias("text"), F.lit(0).alias("label")).coalesce(1)
+    sizes = [r["n"] for r in tr.deal_by_size(rows, chars=800).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 64 and max(sizes) <= 16
+
+
+def test_class_weights_do_not_shuffle_the_rows(spark):
+    rows = spark.range(20_000).select("id", (F.col("id") % 2).cast("int").alias("label"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        out = attach_weights(rows, "label", class_weights(rows, "label", 3))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r["label"], r["weight"]) for r in out.collect()} == {(0, 1.0), (1, 1.0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
