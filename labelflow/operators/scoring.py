@@ -146,9 +146,9 @@ def linear_logits(
     words = F.split(F.lower(F.coalesce(text_col, F.lit(""))), T.WHITESPACE, -1)
     # Rows of one id are told apart by their text; equal rows are summed together and dealt out again.
     row = [id_col, "__text"]
-    tokens = df.select(
-        F.col(id_col), F.xxhash64(text_col).alias("__text"), F.posexplode(words).alias("__pos", "token")
-    )
+    # hashed before it is cut: beside the tokens it would be hashed for each of them
+    texts = df.select(F.col(id_col), F.xxhash64(text_col).alias("__text"), words.alias("__words"))
+    tokens = texts.select(id_col, "__text", F.posexplode("__words").alias("__pos", "token"))
     lexicon = materialize(weights.select("token", *classes), "lexicon")  # read back, its size is known
     sums = tokens.join(lexicon, "token", "left").groupBy(*row).agg(
         *[F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in classes],

@@ -60,6 +60,7 @@ def _walk(model, features: int, classes: int, rate: float):
         import pyarrow as pa
 
         start = model.value
+        here, number = np.zeros(features, bool), np.zeros(features, "int64")
 
         def finish(state):
             w, seen, shard, key, mass = state["w"], np.flatnonzero(state["seen"]), state["shard"], state["key"], state["mass"]
@@ -69,7 +70,8 @@ def _walk(model, features: int, classes: int, rate: float):
                 change = (w[part] - start[part]) * mass
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, shard, "int32")), pa.array(np.full(n, key, "int64")), pa.array(part.astype("int32")),
-                     pa.array(list(change), pa.list_(pa.float64()))], ["shard", "key", "at", "change"])
+                     pa.ListArray.from_arrays(np.arange(0, n * classes + 1, classes, dtype="int32"), change.ravel())],
+                    ["shard", "key", "at", "change"])
 
         def step(state):
             labels, weights, places = state["rows"]
@@ -80,8 +82,11 @@ def _walk(model, features: int, classes: int, rate: float):
             at = np.concatenate(places).astype("int64") if sizes.sum() else np.zeros(0, "int64")
             row = np.repeat(np.arange(len(labels)), sizes)
             value = 1.0 / np.sqrt(np.maximum(sizes, 1))[row]
-            logits = np.tile(w[features], (len(labels), 1))
-            np.add.at(logits, row, w[at] * value[:, None])
+            # every sum starts with the row's intercept and goes on in the order of its words
+            rows = np.arange(len(labels) + len(row))
+            rows[len(labels):] = row
+            logits = np.stack([np.bincount(rows, np.concatenate([np.full(len(labels), w[features, c]), w[at, c] * value]))
+                               for c in range(classes)], axis=1)
             logits -= logits.max(axis=1, keepdims=True)
             p = np.exp(logits)
             p /= p.sum(axis=1, keepdims=True)
@@ -89,9 +94,12 @@ def _walk(model, features: int, classes: int, rate: float):
             p *= np.array(weights)[:, None]
             state["mass"] += float(sum(weights))
             p /= sum(weights)
-            places_used, back = np.unique(at, return_inverse=True)
-            grad = np.zeros((len(places_used) + 1, classes))
-            np.add.at(grad, back, p[row] * value[:, None])
+            here[at] = True
+            places_used = np.flatnonzero(here)
+            here[places_used] = False
+            number[places_used] = np.arange(len(places_used))
+            group = number[at]
+            grad = np.stack([np.bincount(group, p[row, c] * value, len(places_used) + 1) for c in range(classes)], axis=1)
             grad[-1] = p.sum(axis=0)  # the intercept
             used = np.append(places_used, features)
             sums[used] += grad**2

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from labelflow.catalog import QUERIES
 from labelflow.functions import vocab
 from labelflow.operators.balance import attach_weights, class_weights
+from labelflow.operators.scoring import linear_logits
 from labelflow.plans import passes as ps
 from labelflow.plans import training as tr
 
@@ -135,3 +136,12 @@ def test_class_weights_do_not_shuffle_the_rows(spark):
         assert {(r["label"], r["weight"]) for r in out.collect()} == {(0, 1.0), (1, 1.0)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_are_hashed_once_not_per_token(spark):
+    texts = spark.createDataFrame([("1", "good food good"), ("2", None)], "sentence_id string, text string")
+    weights = spark.createDataFrame([("good", 1.0, 0.0, 0.0)], "token string, " + ", ".join(f"{c} double" for c in CLASSES))
+    out = linear_logits(texts, weights, CLASSES, (0.0, 0.5, 0.0))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("xxhash64(text") > plan.index("Generate posexplode")
+    assert {r["sentence_id"]: r["logits"] for r in out.collect()} == {"1": [2.0, 0.5, 0.0], "2": [0.0, 0.5, 0.0]}
