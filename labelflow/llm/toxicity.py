@@ -54,6 +54,7 @@ DOUBTFUL = set("!|+(¡")  # may be punctuation where they touch a word's end
 _SIGNS = "[" + re.escape("".join(LOOKS)) + "]"
 EDGED = re.compile(rf"^{_SIGNS}+[^\W\d_]|[^\W\d_]{_SIGNS}+$")
 SHOUT = re.compile(r"!{2,}$")
+RUNS = re.compile(r"(.)\1\1", re.DOTALL)
 
 
 def letter_table() -> np.ndarray:
@@ -109,6 +110,7 @@ class Decoder:
         self.model = model.tolist()
         self.table = letter_table()
         self.known: dict[tuple, str] = {}
+        self.seen: dict[str, tuple[str, ...]] = {}
         self.memory = memory
 
     def _choices(self, word: str, each: bool = False, loose: bool = False) -> list[list[tuple[str, float]]]:
@@ -181,23 +183,29 @@ class Decoder:
         for run in SPACED.findall(low):
             found.update(self.restore(run).split())
         for word in set(low.split()):
-            bare = word.strip(EDGES)
-            found.add(bare)
-            if not (bare.isalpha() and not _runs(bare)) and INNER.search(word):
-                found.add(self.restore(bare))
-            core = word.strip(PLAIN)
-            if EDGED.search(core):
-                found.add(self.restore(core, loose=True))
-                shown = SHOUT.sub("", core)
-                if EDGED.search(shown):
-                    found.add(self.restore(shown))
-                    found.add(self.restore(shown, each=True))
+            forms = self.seen.get(word)
+            if forms is None:
+                if len(self.seen) >= self.memory:
+                    self.seen.clear()
+                forms = self.seen[word] = tuple(self._forms(word))
+            found.update(forms)
         found.discard("")
         return found
 
-
-def _runs(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+    def _forms(self, word: str) -> set[str]:
+        """What a lower-case word counts as."""
+        bare = word.strip(EDGES)
+        found = {bare}
+        if not (bare.isalpha() and not RUNS.search(bare)) and INNER.search(word):
+            found.add(self.restore(bare))
+        core = word.strip(PLAIN)
+        if EDGED.search(core):
+            found.add(self.restore(core, loose=True))
+            shown = SHOUT.sub("", core)
+            if EDGED.search(shown):
+                found.add(self.restore(shown))
+                found.add(self.restore(shown, each=True))
+        return found
 
 
 def features(word: str) -> list[str]:

@@ -705,3 +705,11 @@ def test_rows_that_differ_in_missing_values_only(spark):
     times = {r["doc_id"]: r["t"] for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("t")).collect()}
     assert sum(1 for r in drawn if r[0] == 1) == times[1] and sum(1 for r in drawn if r[0] == 2) == times[2]
     assert [r[0] for r in sorted(map(tuple, simhash.keep_first(docs).collect()))] == [1, 2]
+
+
+def test_forms_of_words_are_kept_and_bounded():
+    model = np.zeros((toxicity.SYMBOLS,) * 3)
+    small, large = toxicity.Decoder(model, memory=3), toxicity.Decoder(model)
+    texts = ["sooo b4d!! wörd (end)", "f.o.o b4d!! $tay stay", None, "a b c d e sooo \U0001f600\U0001f600\U0001f600x"]
+    assert [small.words(t) for t in texts + texts] == [large.words(t) for t in texts + texts]
+    assert 0 < len(small.seen) <= 3 and "sooo" in large.seen
