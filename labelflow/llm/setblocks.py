@@ -10,10 +10,13 @@ Empty blocks have no key. If two similar sets share no filled block, both have m
 that many also gives the shingles of its prefix (the smallest ``n - ceil(s n) + 1`` by hash) as keys, and similar sets
 share one of those. So no pair is lost.
 
-Keys are matched in two passes. First each text is compared with the smallest of its bucket; what is similar is
-one group from then on, however many near copies it holds. Then, in the buckets that still hold several groups, the
-remaining pairs of different groups are compared. A set is sent as 64-bit hashes; pairs are told apart beforehand
-by their sizes and by a parity sketch (the sketches of two sets differ in no more bits than the sets).
+Pairs are ruled out by their sizes and by parity sketches (the sketches of two sets differ in no more bits than the
+sets): a short one inside the buckets, then one of a bit or two per shingle, so that few dissimilar pairs are left. Only
+the texts of those are sent as sets of 64-bit hashes and compared exactly.
+
+Keys are matched in three passes. First each text is compared with one of the texts that are the smallest of its
+buckets; what is similar is one group from then on, however many near copies it holds. Then, in the buckets that still
+hold several groups, one pair of every two groups is compared, and at last all pairs of groups that are still apart.
 
 Null and empty texts have an empty set and link to nothing here. Texts of one to four words are one shingle. Repeated
 rows and copies enter as one text.
@@ -36,6 +39,7 @@ from labelflow.session import materialize
 WORDS = 5
 SIMILARITY = 0.8
 CHUNK = 4096
+ROWS = 256
 SKETCH = ("k0", "k1", "k2", "k3")
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -117,6 +121,13 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(slots, minlength=64 * len(SKETCH)).astype(np.uint8) & 1).view(np.int64)
 
 
+def wide_sketch(shingles: np.ndarray) -> np.ndarray:
+    """As :func:`sketch`, of one to two bits per shingle (256 at least); a power of two, so halves fold onto each other."""
+    bits = max(256, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 256
+    slots = (_mix(shingles, 7) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
 def _keyed(s: float, size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,18 +160,6 @@ def _merged(work, rows: int = 1 << 16):
     return merged
 
 
-def _about(size: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sets = [shingle_set(words_of(t.as_py()), size) for t in batch.column("text")]
-                columns = {"tid": batch.column("tid"), "n": pa.array([len(x) for x in sets], pa.int32())}
-                sketches = zip(SKETCH, zip(*[sketch(x) for x in sets]))
-                yield pa.RecordBatch.from_pydict(columns | {k: pa.array(v, pa.int64()) for k, v in sketches})
-
-    return work
-
-
 def _sets(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,23 +203,43 @@ def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield more
 
 
-def verified(pairs: DataFrame, texts: DataFrame, about: DataFrame, s: float, size: int = WORDS) -> DataFrame:
-    """The pairs (a, b) of texts whose shingle sets have a similarity of s or more, with their fingerprints.
+def _bits_apart(x: str, y: str):
+    """Number of bits in which two wide sketches differ; the longer one is folded to the length of the shorter."""
 
-    ``about`` (tid, n and the sketch) rules pairs out first; sets are made for the texts of what is left only and
-    travel to their pairs in chunks of ``CHUNK`` partners, so a text with very many of them is not one task.
-    """
+    def folded(long: str, short: str):
+        k = F.size(short)
+        halves = F.zip_with(F.slice(long, F.lit(1), k), F.slice(long, k + 1, k), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(long) > k, halves).otherwise(F.col(long))
+
+    apart = F.zip_with(folded(x, y), folded(y, x), lambda p, q: p.bitwiseXOR(q))
+    return F.aggregate(apart, F.lit(0), lambda n, z: n + F.bit_count(z))
+
+
+def possible(pairs: DataFrame, texts: DataFrame, s: float) -> DataFrame:
+    """The distinct pairs (a, b) that the sizes and sketches of the texts allow."""
     ratio = (1 - s) / (1 + s)
-    light = about
-    one = light.select(F.col("tid").alias("a"), F.col("n").alias("n_a"), *[F.col(k).alias(f"{k}_a") for k in SKETCH])
-    two = light.select(F.col("tid").alias("b"), F.col("n").alias("n_b"), *[F.col(k).alias(f"{k}_b") for k in SKETCH])
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return texts.select(F.col("tid").alias(name), *[F.col(k).alias(f"{k}_{name}") for k in columns])
+
     differ = sum(F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH)
-    possible = (F.least("n_a", "n_b") >= F.lit(s) * F.greatest("n_a", "n_b") - 1e-9) & (
-        differ <= (F.col("n_a") + F.col("n_b")) * ratio + 1e-9)
-    pairs = materialize(pairs.join(one, "a").join(two, "b").where(possible).select("a", "b").distinct(), "possible")
+    most = (F.col("n_a") + F.col("n_b")) * ratio + 1e-9
+    near = (F.least("n_a", "n_b") >= F.lit(s) * F.greatest("n_a", "n_b") - 1e-9) & (differ <= most)
+    left = pairs.select("a", "b").distinct().join(side("a", "n", *SKETCH), "a").join(side("b", "n", *SKETCH), "b")
+    left = left.where(near).select("a", "b", most.alias("most"))
+    left = left.join(side("a", "wide"), "a").join(side("b", "wide"), "b")
+    return left.where(_bits_apart("wide_a", "wide_b") <= F.col("most")).select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, s: float, size: int = WORDS) -> DataFrame:
+    """The pairs (a, b) of texts whose shingle sets have a similarity of s or more, with their fingerprints.
+
+    Sets are made for the texts of the pairs only and travel to them in chunks of ``CHUNK`` partners, so a text with
+    very many of them is not one task.
+    """
     needed = materialize(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct(), "needed")
-    sets = texts.join(needed, "tid", "left_semi").mapInArrow(_sets(size), "tid long, fp long, shingles array<long>")
-    sets = materialize(sets, "sets")
+    texts = texts.select("tid", "fp", "text").join(needed, "tid", "left_semi")
+    sets = materialize(texts.mapInArrow(_sets(size), "tid long, fp long, shingles array<long>"), "sets")
     degree = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     chunks = degree.select("a", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "a", "left").select(
@@ -301,39 +320,59 @@ def _open_pairs(rows: DataFrame, s: float) -> DataFrame:
     return dealt.mapInPandas(_across(s), "a long, b long").distinct()
 
 
+def _moved(table: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """table with ``column`` replaced by its root, where it has one."""
+    to = roots.select(F.col("node").alias(column), F.col("root").alias("moved"))
+    return table.join(to, column, "left").withColumn(column, F.coalesce("moved", column)).drop("moved")
+
+
 def similar_links(docs: DataFrame, fingerprint, s: float = SIMILARITY, size: int = WORDS) -> DataFrame:
     """Edges (a, b) between fingerprints that connect what texts with a similarity of ``s`` or more connect.
 
     ``fingerprint`` gives the node of a text, the same for texts of equal words.
     """
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
-            tids = np.array([text_id(words_of(t)) for t in texts], dtype=np.uint64)
-            fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_pydict({
-                "tid": pa.array(tids.view(np.int64)), "fp": pa.array(fps.view(np.int64)), "text": batch.column("text")})
-
-    texts = docs.select("text").where("text is not null").mapInArrow(name, "tid long, fp long, text string")
+    def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(lo, ROWS) for batch in batches for lo in range(0, batch.num_rows, ROWS)):
+            columns: dict[str, list] = {k: [] for k in ("tid", "fp", "n", *SKETCH, "wide")}
+            for text in part.column("text"):
+                words = words_of(text.as_py())
+                shingles = shingle_set(words, size)
+                columns["tid"].append(text_id(words))
+                columns["fp"].append(fingerprint(text.as_py()))
+                columns["n"].append(len(shingles))
+                for k, word in zip(SKETCH, sketch(shingles).tolist()):
+                    columns[k].append(word)
+                columns["wide"].append(wide_sketch(shingles))
+            ids = {k: pa.array(np.array(columns.pop(k), dtype=np.uint64).view(np.int64)) for k in ("tid", "fp")}
+            kinds = {"n": pa.int32(), "wide": pa.list_(pa.int64())}
+            others = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()}
+            yield pa.RecordBatch.from_pydict(ids | {"text": part.column("text")} | others)
+
+    texts = docs.select("text").where("text is not null").mapInArrow(
+        about, "tid long, fp long, text string, n int, " + ", ".join(f"{k} long" for k in SKETCH) + ", wide array<long>")
     texts = materialize(texts.dropDuplicates(["tid", "fp"]), "texts")
     keyed = texts.select("text").mapInArrow(_merged(_keyed(s, size)), "bucket long, tid long")
-    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "tid")
+    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket")
     shared = materialize(dealt.mapInPandas(_shared, "bucket long, tid long, lead long"), "shared")
 
-    members = materialize(shared.select("tid").distinct(), "members")
-    about = texts.join(members, "tid", "left_semi").mapInArrow(
-        _about(size), "tid long, n int, " + ", ".join(f"{k} long" for k in SKETCH))
-    about = materialize(about, "about")
-
-    stars = shared.where("lead <> tid").select(F.col("lead").alias("a"), F.col("tid").alias("b")).distinct()
-    stars = materialize(stars, "stars")
-    first = materialize(verified(stars, texts, about, s, size), "links")
-    roots = components(first)
-    roots = roots.select(F.col("node").alias("tid"), "root")
-    placed = about.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    rows = materialize(shared.select("bucket", "tid").join(placed, "tid"), "rows")
-    rest = _open_pairs(rows, s).join(stars, ["a", "b"], "left_anti")
-    second = materialize(verified(rest, texts, about, s, size), "links")
-    links = first.union(second).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-    return links.where("a <> b").distinct()
+    stars = shared.where("lead <> tid").select(F.col("lead").alias("a"), F.col("tid").alias("b"))
+    stars = materialize(possible(stars, texts, s).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
+    links = materialize(verified(stars, texts, s, size), "links")
+    roots = components(links)
+
+    short = texts.select("tid", "n", *SKETCH).withColumn("root", F.col("tid"))
+    rows = shared.select("bucket", "tid").join(_moved(short, roots, "root"), "tid")
+    rest = _open_pairs(materialize(rows, "rows"), s).join(stars, ["a", "b"], "left_anti")
+    rest = materialize(possible(rest, texts, s), "possible")
+    ends = rest.select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"))
+    ends = materialize(_moved(_moved(ends, roots, "p"), roots, "q"), "ends")
+    pair = F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")
+    picked = ends.groupBy(*pair).agg(F.min(F.struct("a", "b")).alias("w"))
+    picked = materialize(picked.select("w.*", "low", "high"), "picked")
+    more = materialize(verified(picked.select("a", "b"), texts, s, size), "links")
+    roots = components(picked.join(more, ["a", "b"]).select(F.col("low").alias("a"), F.col("high").alias("b")))
+    ends = _moved(_moved(ends.join(picked, ["a", "b"], "left_anti"), roots, "p"), roots, "q")
+    last = materialize(ends.where("p <> q").select("a", "b"), "open")
+    links = links.union(more).union(materialize(verified(last, texts, s, size), "links"))
+    return links.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).where("a <> b").distinct()

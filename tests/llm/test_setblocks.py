@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
 
+from labelflow import session
 from labelflow.llm import setblocks, simhash
 from labelflow.llm.setblocks import block_keys, shingle_set, words_of
 
@@ -118,6 +120,46 @@ def test_large_group_of_near_copies_and_a_shared_passage(spark):
     assert set(range(120, 240)) <= kept
 
 
+def test_wide_sketches_differ_in_no_more_bits_than_the_sets(spark):
+    rng = np.random.default_rng(3)
+    rows, apart = [], {}
+    for k, (n, lost, more) in enumerate([(1, 0, 0), (40, 4, 3), (500, 20, 30), (520, 30, 10), (900, 0, 300), (3000, 200, 200)]):
+        a = rng.integers(0, 2**63, size=n, dtype=np.uint64)
+        b = np.r_[a[lost:], rng.integers(0, 2**63, size=more, dtype=np.uint64)]
+        apart[k] = lost + more
+        rows.append((k, setblocks.wide_sketch(a).tolist(), setblocks.wide_sketch(b).tolist()))
+    found = spark.createDataFrame(rows, "k int, x array<long>, y array<long>")
+    for r in found.select("k", setblocks._bits_apart("x", "y").alias("n"), setblocks._bits_apart("y", "x").alias("m")).collect():
+        assert r.n == r.m and 0.5 * apart[r.k] <= r.n <= apart[r.k]
+
+
+def test_sets_are_sent_for_few_pairs_that_are_not_similar(spark, monkeypatch):
+    """Long texts that share 200 words of 450: too many bits for a short sketch, ruled out before sets are sent."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(200)]
+    values = [" ".join([f"x{rng.randrange(10**6)}" for _ in range(250)] + passage) for _ in range(30)]
+    near = [" ".join(edited(rng, [f"w{i}" for i in range(300)], 3)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(values + near)), "doc_id long, text string").repartition(3)
+    sent, plain = [], setblocks.verified
+    monkeypatch.setattr(setblocks, "verified", lambda pairs, *rest: sent.append(pairs.count()) or plain(pairs, *rest))
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert kept == set(roots_of(values + near, similar)) and sum(sent) < 60
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in found.split("\n") if "/shuffle_" in x}
+
+    key, before = session.SHUFFLE_CLEANUP, files()
+    setting = spark.conf.get(key, None)
+    table = session.materialize(spark.range(1000).repartition(3, "id").groupBy("id").count(), "table")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 1000 and spark.conf.get(key, None) == setting
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert simhash.keep_first(docs).count() == 0
