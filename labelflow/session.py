@@ -18,6 +18,7 @@ RUNTIME_CONF = {
 }
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -26,6 +27,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> SparkSession:
+    """Rows travel to Python in Arrow batches of about ``most`` bytes, whatever the length of their texts.
+
+    Otherwise a batch is 10,000 rows, held several times outside the heap by the executor and its Python worker. The
+    setting stays on the session, because the caller executes what is returned; one that it has made itself is kept.
+    """
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, most)
+    return spark
+
+
 def get_spark(master: str = "local[8]", app: str = "labelflow", **conf: str) -> SparkSession:
     """A local session for tests and the benchmark; on a cluster pass your own session."""
     builder = (

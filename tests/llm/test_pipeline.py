@@ -4,12 +4,14 @@ import hashlib
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from labelflow.llm import bpe, mixing, pii, simhash, toxicity
 from labelflow.llm.queries import ORACLES, QUERIES
 from labelflow.llm.setblocks import words_of
+from labelflow.session import ARROW_BYTES, small_batches
 from oracle import compare, connect
 from test_setblocks import roots_of
 
@@ -75,3 +77,26 @@ def test_stages_keep_all_columns(spark):
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
         kept = out.collect()
         assert kept and all(r["row"] == 7 and r["row_hash"] == "h" and r["root"] == "r" for r in kept), name
+
+
+def test_stages_bound_arrow_batches_by_bytes(spark):
+    """Stages that hand texts to Python leave batches of about 4 MB, however long the texts; a caller's own bound stays."""
+    docs = spark.createDataFrame([(1, "one two three", "en", "a", 13)], "doc_id long, text string, lang string, source string, n_chars long")
+    long = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 10000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    before = spark.conf.get(ARROW_BYTES, None)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name in ("toxicity", "simhash_near_dedup", "bpe"):
+                spark.conf.unset(ARROW_BYTES)
+                stage(spark, docs, FOLDER)
+                found = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+                assert sum(found) > 20_000_000 and max(found) < 5_000_000, name
+        spark.conf.set(ARROW_BYTES, "1m")
+        assert small_batches(spark).conf.get(ARROW_BYTES) == "1m"
+    finally:
+        spark.conf.unset(ARROW_BYTES) if before is None else spark.conf.set(ARROW_BYTES, before)
