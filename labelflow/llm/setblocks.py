@@ -14,9 +14,11 @@ Pairs are ruled out by their sizes and by parity sketches (the sketches of two s
 sets): a short one inside the buckets, then one of a bit or two per shingle, so that few dissimilar pairs are left. Only
 the texts of those are sent as sets of 64-bit hashes and compared exactly.
 
-Keys are matched in three passes. First each text is compared with one of the texts that are the smallest of its
-buckets; what is similar is one group from then on, however many near copies it holds. Then, in the buckets that still
-hold several groups, one pair of every two groups is compared, and at last all pairs of groups that are still apart.
+Keys are matched in four passes. First each text is compared with one of the texts that are the smallest of its
+buckets; what is similar is one group from then on, however many near copies it holds. In a few rounds each text of a
+bucket that still holds several groups is compared with the next ``REACH`` ones of other groups, in an order of the bucket's
+and the round's own, so the pairs grow with the rows and large groups of near copies meet. Then, in the buckets that are
+left, one pair of every two groups is compared, and at last all pairs of groups that are still apart.
 
 Null and empty texts have an empty set and link to nothing here. Texts of one to four words are one shingle. Repeated
 rows and copies enter as one text.
@@ -40,7 +42,9 @@ WORDS = 5
 SIMILARITY = 0.8
 CHUNK = 4096
 ROWS = 256
-SKETCH = ("k0", "k1", "k2", "k3")
+ROUNDS = 3
+REACH = 2
+SKETCH = tuple(f"k{i}" for i in range(16))
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -254,10 +258,11 @@ def verified(pairs: DataFrame, texts: DataFrame, s: float, size: int = WORDS) ->
     return both.where(enough).select("a", "b", "fp_a", "fp_b")
 
 
-def _across(s: float):
+def _across(s: float, reach: int | None = None):
     """Pairs of different groups in each bucket; rows come sorted by bucket (and chunk of it).
 
-    Rows at distance 1, 2, 3 ... are compared for all buckets of a batch at once.
+    Rows at distance 1, 2, 3 ... are compared for all buckets of a batch at once; with ``reach`` each row is compared only
+    with the first rows of the next ``reach`` stretches of other groups.
     """
     ratio = (1 - s) / (1 + s)
 
@@ -265,14 +270,19 @@ def _across(s: float):
         key, tid, root = (part[c].to_numpy() for c in ("bucket", "tid", "root"))
         n, side = part["n"].to_numpy(), part["side"].to_numpy()
         bits = part[list(SKETCH)].to_numpy().view(np.uint64)
+        ends = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (root[1:] != root[:-1])) + 1, len(part)]
+        following = np.repeat(ends, np.diff(np.r_[0, ends]))
         at, step, a, b = np.arange(len(part)), 0, [], []
-        while True:
+        to = at
+        while reach is None or step < reach:
             step += 1
-            at = at[at + step < len(part)]
-            at = at[key[at] == key[at + step]]
+            to = to + 1 if reach is None else following[to]
+            at, to = at[to < len(part)], to[to < len(part)]
+            same = key[at] == key[to]
+            at, to = at[same], to[same]
             if not len(at):
                 break
-            i, k = at, at + step
+            i, k = at, to
             ok = (root[i] != root[k]) & (np.minimum(n[i], n[k]) >= s * np.maximum(n[i], n[k]) - 1e-9)
             ok &= (side[i] != side[k]) | (side[i] < 0)
             i, k = i[ok], k[ok]
@@ -301,23 +311,31 @@ def _across(s: float):
     return work
 
 
-def _open_pairs(rows: DataFrame, s: float) -> DataFrame:
-    """Pairs (a, b) of different groups in one bucket that sizes and sketches allow.
+def _open_pairs(rows: DataFrame, short: DataFrame, s: float, turn: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of different groups in one bucket that sizes and sketches allow.
 
-    ``rows``: (bucket, tid, root, n and the sketch). A bucket of more than ``CHUNK`` texts is cut into chunks, and every chunk
-    and pair of chunks is searched on its own.
+    ``rows``: (bucket, tid, root); ``short``: (tid, n and the sketch). A bucket of more than ``CHUNK`` texts is cut into
+    chunks, and every chunk and pair of chunks is searched on its own. With ``turn``, the number of a round, a text meets
+    the next ones of its chunk only.
     """
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.count("*").alias("size"))
     mixed = mixed.where("r <> q").select("bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     found = rows.join(mixed, "bucket").withColumn("mine", F.pmod(F.xxhash64("tid"), F.col("chunks")))
-    spread = found.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    found = found.join(short, "tid")
+    if turn is None:
+        spread = found.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        order = F.col("tid")
+    else:
+        spread = found.withColumn("other", F.col("mine"))
+        order = F.xxhash64("tid", "bucket", F.lit(turn))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1))
     # A chunk enters its pair with another one as a side of its own; pairs inside a chunk come from (mine, mine).
-    dealt = spread.select(
-        F.xxhash64("bucket", low, high).alias("bucket"), "tid", "root", "n", *SKETCH, side.cast("int").alias("side"))
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "tid")
-    return dealt.mapInPandas(_across(s), "a long, b long").distinct()
+    dealt = spread.select(F.xxhash64("bucket", low, high).alias("bucket"), "tid", "root", "n", *SKETCH,
+                          side.cast("int").alias("side"), order.alias("place"))
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "place").drop("place")
+    pairs = dealt.mapInPandas(_across(s, None if turn is None else REACH), "a long, b long")
+    return materialize(pairs.distinct(), "candidates")
 
 
 def _moved(table: DataFrame, roots: DataFrame, column: str) -> DataFrame:
@@ -361,10 +379,21 @@ def similar_links(docs: DataFrame, fingerprint, s: float = SIMILARITY, size: int
     links = materialize(verified(stars, texts, s, size), "links")
     roots = components(links)
 
-    short = texts.select("tid", "n", *SKETCH).withColumn("root", F.col("tid"))
-    rows = shared.select("bucket", "tid").join(_moved(short, roots, "root"), "tid")
-    rest = _open_pairs(materialize(rows, "rows"), s).join(stars, ["a", "b"], "left_anti")
-    rest = materialize(possible(rest, texts, s), "possible")
+    short, tried = texts.select("tid", "n", *SKETCH), stars
+
+    def open_pairs(turn: int | None) -> DataFrame:
+        rows = _moved(shared.select("bucket", "tid", F.col("tid").alias("root")), roots, "root")
+        rest = _open_pairs(materialize(rows, "rows"), short, s, turn).join(tried, ["a", "b"], "left_anti")
+        return materialize(possible(rest, texts, s), "possible")
+
+    for turn in range(ROUNDS):
+        few = open_pairs(turn)
+        more = materialize(verified(few, texts, s, size), "links")
+        if more.isEmpty():
+            break
+        links, tried = links.union(more), tried.union(few)
+        roots = components(links)
+    rest = open_pairs(None)
     ends = rest.select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"))
     ends = materialize(_moved(_moved(ends, roots, "p"), roots, "q"), "ends")
     pair = F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")

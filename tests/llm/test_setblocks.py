@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from labelflow import session
@@ -146,6 +147,28 @@ def test_sets_are_sent_for_few_pairs_that_are_not_similar(spark, monkeypatch):
     assert kept == set(roots_of(values + near, similar)) and sum(sent) < 60
 
 
+def test_few_pairs_of_long_texts_that_share_a_passage_leave_the_buckets(spark, monkeypatch):
+    """60 texts of 700 words share 400: every pair meets in buckets, and 256 bits of 700 shingles rule none out."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(400)]
+    values = [" ".join([f"x{rng.randrange(10**6)}" for _ in range(300)] + passage) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").repartition(3)
+    left, plain = [], setblocks.possible
+    monkeypatch.setattr(setblocks, "possible", lambda pairs, *rest: left.append(pairs.distinct().count()) or plain(pairs, *rest))
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert kept == set(range(60)) and sum(left[1:]) < 200
+
+
+def test_rounds_compare_a_text_with_the_next_of_other_groups():
+    part = pd.DataFrame({"bucket": [1] * 6 + [2] * 2, "tid": range(8), "root": [0, 0, 2, 0, 0, 5, 6, 7], "n": 1, "side": -1}
+                        | {k: 0 for k in setblocks.SKETCH})
+    pairs = lambda reach: {(r.a, r.b) for f in setblocks._across(0.8, reach)(iter([part])) for r in f.itertuples()}
+    every = {(0, 2), (1, 2), (2, 3), (2, 4), (0, 5), (1, 5), (2, 5), (3, 5), (4, 5), (6, 7)}
+    assert pairs(None) == every
+    assert pairs(1) == {(0, 2), (1, 2), (2, 3), (3, 5), (4, 5), (6, 7)}
+    assert pairs(3) == every - {(2, 4)}  # 4 is not the first of its stretch
+
+
 def test_shuffle_files_go_with_the_write(spark):
     def files():
         found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
